@@ -25,7 +25,8 @@ DEFAULTS = {
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "clauselens", extra: dict | None = None) -> SparkSession:
     """A session for local runs: UI off, AQE on, UTC."""
-    b = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+    b = (SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false"))
     if master:
         b = b.master(master)
     if shuffle_partitions:
