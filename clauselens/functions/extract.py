@@ -49,42 +49,57 @@ def rule_parties(text: Column) -> Column:
 
 
 def rule_effective_date(text: Column) -> Column:
-    """Raw effective/commencement date text."""
+    """Raw effective/commencement date text (the group is never empty, so
+    an empty extract means no match)."""
     rx = "(?i)" + DATE_RX
-    return F.when(text.rlike(rx), py_strip(F.regexp_extract(text, rx, 1)))
+    g = F.regexp_extract(text, rx, 1)
+    return F.when(g != "", py_strip(g))
 
 
 def rule_governing_law(text: Column) -> Column:
-    """Governing-law clause text, up to the first `` , . \\n`` or end."""
+    """Governing-law clause text, up to the first `` , . \\n`` or end
+    (the group is never empty; an all-punctuation clause counts as absent)."""
     rx = "(?i)" + LAW_RX
-    return F.when(text.rlike(rx),
-                  blank_to_null(py_strip(F.regexp_extract(text, rx, 1), LAW_STRIP)))
+    return blank_to_null(py_strip(F.regexp_extract(text, rx, 1), LAW_STRIP))
 
 
-def find_span(text: Column, head_rx: str, tail: int,
-              window: int = P.SPAN_WINDOW,
-              confidence: float = P.RULE_SPAN_CONFIDENCE,
-              source: str = "regex") -> Column:
-    """First match of ``head_rx`` + up to ``tail`` chars, widened to ``window``.
+def span_probe(text: Column, head_rx: str) -> tuple:
+    """Prefix and head lengths of the first match (one scan + one anchored match).
 
-    The matched region is ``[s, e)`` with ``e = min(n, max(s+h+tail, s+window))``
-    where ``h`` is the head length; the text is stripped, offsets are not.
+    Both are plain columns; stage them in one ``select`` and build the span
+    from them in the next, so each regex runs once per row. The head is never
+    empty, so a zero head length means no match.
     """
-    rx = "(?is)^(.*?)(" + head_rx + ")"
+    s = F.length(F.regexp_extract(text, "(?is)^(.*?)" + head_rx, 1))
+    # The head re-matched at ``s`` only (anchored): cheap, and zero when absent.
+    h = F.length(F.regexp_extract(F.substring(text, s + 1, 1 << 30), "(?is)^(?:" + head_rx + ")", 0))
+    return s, h
+
+
+def span_from_probe(text: Column, s: Column, h: Column, tail: int,
+                    window: int = P.SPAN_WINDOW, confidence: float = P.RULE_SPAN_CONFIDENCE,
+                    source: str = "regex") -> Column:
+    """X4 from staged probe columns: ``[s, e)`` with
+    ``e = min(n, max(s + h + tail, s + window))``; text stripped, offsets kept."""
     n = F.length(text)
-    s = F.length(F.regexp_extract(text, rx, 1))
-    h = F.length(F.regexp_extract(text, rx, 2))
     e = F.least(n, F.greatest(s + h + F.lit(tail), s + F.lit(window)))
-    return F.when(
-        text.rlike("(?is)" + head_rx),
-        F.struct(
-            py_strip(F.substring(text, s + 1, e - s)).alias("text"),
-            s.cast("int").alias("start"),
-            e.cast("int").alias("end"),
-            F.lit(confidence).cast("double").alias("confidence"),
-            F.lit(source).alias("source"),
-        ),
-    )
+    return F.when(h > 0, F.struct(
+        py_strip(F.substring(text, s + 1, e - s)).alias("text"),
+        s.cast("int").alias("start"),
+        e.cast("int").alias("end"),
+        F.lit(confidence).cast("double").alias("confidence"),
+        F.lit(source).alias("source"),
+    ))
+
+
+def find_span(text: Column, head_rx: str, tail: int,
+              window: int = P.SPAN_WINDOW,
+              confidence: float = P.RULE_SPAN_CONFIDENCE,
+              source: str = "regex") -> Column:
+    """X4 in one expression: first match of ``head_rx`` + up to ``tail`` chars,
+    widened to ``window``. For hot paths stage ``span_probe`` first."""
+    s, h = span_probe(text, head_rx)
+    return span_from_probe(text, s, h, tail, window, confidence, source)
 
 
 def rule_payment_terms(text: Column) -> Column:
@@ -129,6 +144,11 @@ def fallback_governing_law(text: Column, places, whole_word: bool = False) -> Co
                   F.coalesce(canonical_place(cand, places, whole_word), cand))
 
 
+def fallback_law_candidate(text: Column) -> Column:
+    """X7 step 1: the looser clause text, stripped (may be empty)."""
+    return py_strip(F.regexp_extract(text, "(?i)" + LAW_FALLBACK_RX, 1), LAW_STRIP)
+
+
 def gazetteer_place(text: Column, places, prefix: int = P.PLACE_PREFIX_CHARS) -> Column:
     """First known place name (whole word, exact case) in the first ``prefix`` chars."""
     head = F.left(text, F.lit(prefix))
@@ -137,6 +157,15 @@ def gazetteer_place(text: Column, places, prefix: int = P.PLACE_PREFIX_CHARS) ->
     return blank_to_null(F.regexp_extract(head, rx, 1))
 
 
+def fallback_party_names(text: Column, prefix: int = P.PARTY_PREFIX_CHARS,
+                         suffixes=P.CORPORATE_SUFFIXES, limit: int = 4) -> Column:
+    """X9 without the empty-to-NULL step (stage it, then test ``size``)."""
+    head = F.left(text, F.lit(prefix))
+    names = F.transform(F.regexp_extract_all(head, F.lit(party_fallback_rx(suffixes)), 0),
+                        lambda x: py_strip(x))
+    return F.slice(F.array_distinct(F.filter(names, lambda x: F.length(x) >= 3)), 1, limit)
+
+
 def fallback_parties(text: Column, prefix: int = P.PARTY_PREFIX_CHARS,
                      suffixes=P.CORPORATE_SUFFIXES, limit: int = 4) -> Column:
     """Distinct company names (length >= 3) in the first ``prefix`` chars, first 4."""

@@ -103,11 +103,25 @@ def norm_party_name(name: Column) -> Column:
     return F.upper(py_strip(collapse_ws(F.coalesce(name, F.lit(""))), PARTY_EDGE_CHARS))
 
 
+UNROLLED_PARTIES = 4
+
+
 def party_key(parties: Column) -> Column:
-    """First two non-blank names, normalised, sorted, joined by `` | ``."""
-    names = F.transform(F.filter(parties, lambda x: x.isNotNull() & (F.length(py_strip(x)) > 0)),
-                        norm_party_name)
-    key = F.array_join(F.array_sort(F.slice(names, 1, 2)), " | ")
+    """First two non-blank names, normalised, sorted, joined by `` | ``.
+
+    Arrays of up to four names (rule and fallback output) use an unrolled,
+    code-generated expression; longer arrays fall back to higher-order
+    functions, which Spark interprets row by row.
+    """
+    def nonblank(x):
+        return x.isNotNull() & (F.length(py_strip(x)) > 0)
+
+    elems = [F.try_element_at(parties, F.lit(i)) for i in range(1, UNROLLED_PARTIES + 1)]
+    short = F.slice(F.array_compact(F.array(
+        *[F.when(nonblank(x), norm_party_name(x)) for x in elems])), 1, 2)
+    long_ = F.slice(F.transform(F.filter(parties, nonblank), norm_party_name), 1, 2)
+    names = F.when(F.size(parties) <= UNROLLED_PARTIES, short).otherwise(long_)
+    key = F.array_join(F.array_sort(names), " | ")
     # An empty key counts as no key, like an empty string in Python.
     return F.when(parties.isNotNull() & (F.size(names) > 0) & (key != ""), key)
 

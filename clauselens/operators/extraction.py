@@ -72,28 +72,40 @@ def extract_fields(docs: DataFrame, policy: P.Policy = P.current(),
 
 def _with_fallbacks(docs: DataFrame, policy: P.Policy, text_col: str, id_col: str,
                     keep_text: bool) -> DataFrame:
+    """Staged projections; every expensive regex result is its own column so
+    it runs once per row (Catalyst keeps non-trivial expressions that are
+    read more than once in their own projection)."""
     t = F.col(text_col)
+    pt_s, pt_h = X.span_probe(t, X.PAYMENT_HEAD_RX)
+    tc_s, tc_h = X.span_probe(t, X.TERMINATION_HEAD_RX)
+    law_fb_rx = "(?i)" + X.LAW_FALLBACK_RX
     stage1 = docs.select(
         F.col(id_col).alias("doc_id"),
         t.alias("_t"),
         X.rule_parties(t).alias("_r_parties"),
         X.rule_effective_date(t).alias("effective_date"),
         X.rule_governing_law(t).alias("_r_law"),
-        X.rule_payment_terms(t).alias("payment_terms"),
-        X.rule_termination(t).alias("termination_clause"),
+        pt_s.alias("_pt_s"), pt_h.alias("_pt_h"),
+        tc_s.alias("_tc_s"), tc_h.alias("_tc_h"),
         F.length(t).cast("int").alias("_char_count"),
     )
     tt = F.col("_t")
-    law_rx_hit = tt.rlike("(?i)" + X.LAW_FALLBACK_RX)
+    law_rx_hit = tt.rlike(law_fb_rx)
     stage2 = stage1.select(
         "*",
-        F.when(F.col("_r_parties").isNull(), X.fallback_parties(tt)).alias("_f_parties"),
-        F.when(F.col("_r_law").isNull() & law_rx_hit,
-               blank_to_null(X.fallback_governing_law(tt, policy.places, policy.whole_word_places))
-               ).alias("_f_law"),
+        X.span_from_probe(tt, F.col("_pt_s"), F.col("_pt_h"), X.PAYMENT_TAIL).alias("payment_terms"),
+        X.span_from_probe(tt, F.col("_tc_s"), F.col("_tc_h"), X.TERMINATION_TAIL).alias("termination_clause"),
+        F.when(F.col("_r_parties").isNull(), X.fallback_party_names(tt)).alias("_fp_names"),
+        F.when(F.col("_r_law").isNull() & law_rx_hit, X.fallback_law_candidate(tt)).alias("_fb_cand"),
         F.when(F.col("_r_law").isNull() & ~law_rx_hit,
                X.gazetteer_place(tt, policy.places)).alias("_g_law"),
     )
+    stage3 = stage2.select(
+        "*",
+        F.when(F.size("_fp_names") > 0, F.col("_fp_names")).alias("_f_parties"),
+        blank_to_null(F.coalesce(X.canonical_place(F.col("_fb_cand"), policy.places, policy.whole_word_places),
+                                 F.col("_fb_cand"))).alias("_f_law"),
+    )
     r_law = F.col("_r_law")
     if policy.canonical_law:
         r_law = F.coalesce(X.canonical_place(r_law, policy.places, policy.whole_word_places), r_law)
@@ -114,7 +126,7 @@ def _with_fallbacks(docs: DataFrame, policy: P.Policy, text_col: str, id_col: st
     ]
     if keep_text:
         out.append(F.col("_t").alias("text"))
-    return stage2.select(*out)
+    return stage3.select(*out)
 
 
 def extract_record(extracted: DataFrame) -> DataFrame:

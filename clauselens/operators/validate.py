@@ -33,7 +33,7 @@ def issue(type_: str, **fields) -> Column:
 
 def keep_issues(*candidates: Column) -> Column:
     """Array of the non-NULL candidates, in order."""
-    return F.filter(F.array(*candidates), lambda x: x.isNotNull())
+    return F.array_compact(F.array(*candidates))
 
 
 def is_missing(field: str) -> Column:

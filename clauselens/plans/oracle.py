@@ -348,3 +348,84 @@ def with_ctes(names, body: str, policy: P.Policy = P.current()) -> str:
 __all__ = ["with_ctes", "q", "strip", "squash", "truthy", "rx", "lst", "chars", "WS",
            "normalize_date", "normalize_amount", "net_days", "norm_party", "party_key",
            "contains_any", "count_occ", "clamp_quote", "bucket", "weight_case", "stopwords"]
+
+
+# ------------------------------------------------------------ text mining
+
+SPLIT_MARK = 57344  # a private-use code point marks sentence boundaries
+
+
+def split_sentences_list(text: str) -> str:
+    """List of kept sentences (before de-duplication)."""
+    from ..operators.textmine import SENTENCE_SPLIT_RX  # noqa: F401  (same rule, RE2 form below)
+    t = f"trim(regexp_replace(coalesce({text}, ''), {q(WS_CLASS + '+')}, ' ', 'g'), ' ')"
+    marked = f"regexp_replace({t}, '([.?!])\\s+([A-Z0-9(])', '\\1' || chr({SPLIT_MARK}) || '\\2', 'g')"
+    parts = f"list_transform(string_split({marked}, chr({SPLIT_MARK})), lambda x: {strip('x')})"
+    return (f"list_filter({parts}, lambda x: length(x) >= {P.SENTENCE_MIN_CHARS} "
+            f"AND length(x) <= {P.SENTENCE_MAX_CHARS})")
+
+
+def sentences_from(table: str, id_cols, text: str) -> str:
+    """One row per distinct-in-text sentence with ``sentence_pos`` (0-based)."""
+    ids = ", ".join(id_cols)
+    return f"""
+SELECT {ids}, CAST(unnest(generate_series(0, len(d) - 1)) AS BIGINT) AS sentence_pos, unnest(d) AS sentence FROM (
+  SELECT {ids}, list_filter(k, lambda x, i: list_position(k, x) = i) AS d FROM (
+    SELECT {ids}, {split_sentences_list(text)} AS k FROM {table}))"""
+
+
+def terms_sql(sentence: str) -> str:
+    stop = lst(stopwords.english())
+    return f"list_filter(regexp_extract_all(lower({sentence}), {q('[\\p{L}\\p{N}_]{2,}')}), lambda t: NOT list_contains({stop}, t))"
+
+
+def tfidf_ctes(sents: str, max_features: int = P.TFIDF_MAX_FEATURES) -> list:
+    """CTE list (name, sql) scoring distinct sentences of the CTE ``sents(sid, sentence)``."""
+    return [
+        ("t_ds", f"SELECT sentence, count(*) AS m, min(sid) AS first_sid FROM {sents} GROUP BY sentence"),
+        ("t_dt", f"""SELECT sentence, m, first_sid, list_concat(tok, CASE WHEN len(tok) >= 2 THEN
+            list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]) ELSE [] END) AS terms
+            FROM (SELECT *, {terms_sql('sentence')} AS tok FROM t_ds)"""),
+        ("t_ex", """SELECT first_sid, m, term, count(*) AS tf FROM (SELECT first_sid, m, unnest(terms) AS term FROM t_dt)
+            GROUP BY first_sid, m, term"""),
+        ("t_st", "SELECT term, sum(m * tf) AS ctf, sum(m) AS df FROM t_ex GROUP BY term"),
+        ("t_n", "SELECT sum(m) AS n FROM t_ds"),
+        ("t_vocab", f"""SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM
+            (SELECT * FROM t_st ORDER BY ctf DESC, term LIMIT {max_features}) CROSS JOIN t_n"""),
+        ("t_per", """SELECT first_sid, sum(tf * idf) AS sw, sum((tf * idf) * (tf * idf)) AS sw2
+            FROM t_ex JOIN t_vocab USING (term) GROUP BY first_sid"""),
+        ("t_scored", """SELECT t_ds.sentence, t_ds.m, t_ds.first_sid,
+            coalesce(CASE WHEN sw2 > 0 THEN sw / sqrt(sw2) END, 0.0) AS score
+            FROM t_ds LEFT JOIN t_per USING (first_sid)"""),
+    ]
+
+
+def boost_sql(sentence: str, keywords=P.RISK_KEYWORDS, weight: float = P.KEYWORD_BOOST) -> str:
+    low = f"lower({sentence})"
+    return "(" + " + ".join(count_occ(low, k.lower()) for k in keywords) + f") * {weight}"
+
+
+def summary_ctes(top_k: int = P.TOP_K_SUMMARY_SENTENCES) -> list:
+    return [
+        ("t_fin", f"SELECT sentence, first_sid, round(score + {boost_sql('sentence')}, 9) AS rank_score FROM t_scored"),
+        ("t_best", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(left(sentence, {P.SUMMARY_KEY_CHARS}))
+            ORDER BY rank_score DESC, first_sid) AS rn FROM t_fin) WHERE rn = 1"""),
+        ("t_top", f"SELECT sentence, first_sid, rank_score FROM t_best ORDER BY rank_score DESC, first_sid LIMIT {top_k}"),
+    ]
+
+
+def with_extra(base_names, extra_ctes, body: str, policy: P.Policy = P.current()) -> str:
+    """``with_ctes`` plus ad-hoc CTEs appended after the named ones."""
+    sql = with_ctes(base_names, "", policy) if base_names else "WITH "
+    tail = ",\n".join(f"{n} AS ({s})" for n, s in extra_ctes)
+    if base_names:
+        return sql.rstrip("\n") + ",\n" + tail + "\n" + body
+    return "WITH " + tail + "\n" + body
+
+
+def snippets_sql() -> str:
+    per_issue = ("list_transform(issues, lambda i: CASE i.field WHEN 'payment_terms' THEN pt_text "
+                 "WHEN 'termination_clause' THEN tc_text END)")
+    return f"""
+SELECT doc_id, CAST(unnest(generate_series(0, len(sn) - 1)) AS BIGINT) AS snippet_pos, unnest(sn) AS snippet FROM (
+  SELECT doc_id, list_filter(list_concat([pt_text, tc_text], {per_issue}), lambda s: {truthy('s')}) AS sn FROM validated)"""

@@ -571,3 +571,88 @@ def markdown_table(spark, sf):
     return FN.markdown_rows(pf(spark, sf).per_doc,
                             ["doc_id", "risk_score", "risk_bucket", "issues_count", "payment_net_days",
                              "governing_law"])
+
+
+# ============================================================ text mining
+
+from ..operators import textmine as TM  # noqa: E402
+from ..sources.tables import documents as _documents  # noqa: E402
+
+
+def _doc_sentences(spark, sf):
+    """Sentences of every document: ``(doc_id, sentence_pos, sentence, sid)``."""
+    s = TM.split_sentences(_documents(spark, sf), ["doc_id"], "text")
+    return s.select("*", F.struct("doc_id", "sentence_pos").alias("sid"))
+
+
+def _contract_sentences(spark, sf):
+    """Sentences of the risky contract snippets with ids (doc, snippet, sentence)."""
+    sn = TM.risky_snippets(pf(spark, sf).validated)
+    s = TM.split_sentences(sn, ["doc_id", "snippet_pos"], "snippet")
+    return s.select("*", F.struct("doc_id", "snippet_pos", "sentence_pos").alias("sid"))
+
+
+_DOC_SENTS = ("doc_sents", O.sentences_from("documents", ["doc_id"], "text"))
+_DOC_SID = ("sents", "SELECT struct_pack(doc_id := doc_id, sentence_pos := sentence_pos) AS sid, sentence FROM doc_sents")
+_SNIPS = ("snips", O.snippets_sql())
+_CON_SENTS = ("con_sents", O.sentences_from("snips", ["doc_id", "snippet_pos"], "snippet"))
+_CON_SID = ("sents", "SELECT struct_pack(doc_id := doc_id, snippet_pos := snippet_pos, sentence_pos := sentence_pos) "
+                     "AS sid, sentence FROM con_sents")
+
+
+@query("risky_snippets", O.with_extra(["validated"], [_SNIPS], "SELECT * FROM snips"))
+def risky_snippets(spark, sf):
+    """Clause texts of every contract plus the clause text of each issue naming a clause."""
+    return TM.risky_snippets(pf(spark, sf).validated)
+
+
+@query("split_sentences", O.with_extra([], [_DOC_SENTS], "SELECT * FROM doc_sents"))
+def split_sentences(spark, sf):
+    """Sentences of every document (30-400 chars, distinct within the document)."""
+    return TM.split_sentences(_documents(spark, sf), ["doc_id"], "text")
+
+
+@query("tfidf_sentence_score", O.with_extra([], [_DOC_SENTS, _DOC_SID] + O.tfidf_ctes("sents"), """
+SELECT sentence, m AS occurrences, first_sid.doc_id AS first_doc, first_sid.sentence_pos AS first_pos,
+  round(score, 6) AS score FROM t_scored"""))
+def tfidf_sentence_score(spark, sf):
+    """TF-IDF row-sum score of every distinct sentence of the documents table."""
+    s = TM.tfidf_scores(_doc_sentences(spark, sf))
+    return s.select("sentence", F.col("m").alias("occurrences"), F.col("first_sid.doc_id").alias("first_doc"),
+                    F.col("first_sid.sentence_pos").alias("first_pos"), r6(F.col("score")).alias("score"))
+
+
+@query("keyword_boost", O.with_extra([], [_DOC_SENTS], f"""
+SELECT doc_id, sentence_pos, {O.boost_sql('sentence')} AS boost FROM doc_sents"""))
+def keyword_boost(spark, sf):
+    """T4: risk-keyword boost of every document sentence."""
+    s = _doc_sentences(spark, sf)
+    return s.select("doc_id", "sentence_pos", TM.keyword_boost(F.col("sentence")).alias("boost"))
+
+
+@query("corpus_summary", O.with_extra(["validated"], [_SNIPS, _CON_SENTS, _CON_SID] + O.tfidf_ctes("sents")
+                                      + O.summary_ctes(), """
+SELECT sentence, first_sid.doc_id AS first_doc, first_sid.snippet_pos AS first_snippet,
+  first_sid.sentence_pos AS first_pos, round(rank_score, 6) AS score FROM t_top"""))
+def corpus_summary(spark, sf):
+    """T5: the 10-sentence extractive summary of the risky contract clauses."""
+    top = TM.corpus_summary(_contract_sentences(spark, sf))
+    return top.select("sentence", F.col("first_sid.doc_id").alias("first_doc"),
+                      F.col("first_sid.snippet_pos").alias("first_snippet"),
+                      F.col("first_sid.sentence_pos").alias("first_pos"), r6(F.col("rank_score")).alias("score"))
+
+
+@query("document_summary", O.with_extra([], [_DOC_SENTS, _DOC_SID] + O.tfidf_ctes("sents") + O.summary_ctes(), """
+SELECT sentence, first_sid.doc_id AS first_doc, first_sid.sentence_pos AS first_pos,
+  round(rank_score, 6) AS score FROM t_top"""))
+def document_summary(spark, sf):
+    """T5 over the whole documents table."""
+    top = TM.corpus_summary(_doc_sentences(spark, sf))
+    return top.select("sentence", F.col("first_sid.doc_id").alias("first_doc"),
+                      F.col("first_sid.sentence_pos").alias("first_pos"), r6(F.col("rank_score")).alias("score"))
+
+
+@query("clause_themes")
+def clause_themes(spark, sf):
+    """Six clause themes (TF-IDF + KMeans) with their ten heaviest terms."""
+    return TM.clause_themes(_contract_sentences(spark, sf))
