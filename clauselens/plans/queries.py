@@ -656,3 +656,298 @@ def document_summary(spark, sf):
 def clause_themes(spark, sf):
     """Six clause themes (TF-IDF + KMeans) with their ten heaviest terms."""
     return TM.clause_themes(_contract_sentences(spark, sf))
+
+
+# ================================================================== chunks
+
+from ..functions import chunks as CH  # noqa: E402
+from ..operators import explore as EX  # noqa: E402
+
+_HINTS = P.FIELD_HINTS
+_STRIDE = P.CHUNK_SIZE - P.CHUNK_OVERLAP
+
+
+def _chunks(df, text="text", ids=("doc_id",)):
+    c = df.select(*ids, F.explode(CH.make_chunks(F.col(text), P.CHUNK_SIZE, P.CHUNK_OVERLAP)).alias("c"))
+    return c.select(*ids, F.col("c.idx").alias("idx"), F.col("c.start").alias("chunk_start"),
+                    F.col("c.end").alias("chunk_end"), F.col("c.text").alias("chunk_text"))
+
+
+def _chunks_sql(table: str) -> str:
+    s, o, st = P.CHUNK_SIZE, P.CHUNK_OVERLAP, _STRIDE
+    return f"""
+SELECT doc_id, CAST(i AS BIGINT) AS idx, CAST(i * {st} AS BIGINT) AS chunk_start,
+  CAST(least(n, i * {st} + {s}) AS BIGINT) AS chunk_end, substring(text, i * {st} + 1, least(n, i * {st} + {s}) - i * {st}) AS chunk_text
+FROM (SELECT doc_id, text, n, unnest(range(0, kl + 1)) AS i FROM
+  (SELECT doc_id, text, length(text) AS n, CAST(greatest(0, ceil((length(text) - {s}) / {st}.0)) AS BIGINT) AS kl FROM {table} WHERE length(text) > 0))
+UNION ALL
+SELECT doc_id, kl + 1, n - {o}, n, substring(text, n - {o} + 1, {o}) FROM
+  (SELECT doc_id, text, length(text) AS n, CAST(greatest(0, ceil((length(text) - {s}) / {st}.0)) AS BIGINT) AS kl FROM {table} WHERE length(text) > 0)
+WHERE {o} > 0 AND n - {o} > kl * {st}"""
+
+
+@query("make_chunks", O.with_extra([], [("ch", _chunks_sql("documents"))], """
+SELECT doc_id, idx, chunk_start, chunk_end, md5(chunk_text) AS chunk_md5 FROM ch"""))
+def make_chunks(spark, sf):
+    """2000-char chunks with 150-char overlap (global offsets) of every document."""
+    c = _chunks(_documents(spark, sf))
+    return c.select("doc_id", "idx", "chunk_start", "chunk_end", F.md5("chunk_text").alias("chunk_md5"))
+
+
+def _score_sql(text: str, hints) -> str:
+    return "(" + " + ".join(f"CAST(contains(lower({text}), {O.q(h)}) AS BIGINT)" for h in dict.fromkeys(hints)) + ")"
+
+
+_FIELD_SCORES_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, idx, {O.q(f)} AS field, {_score_sql('chunk_text', h)} AS score FROM ch" for f, h in _HINTS)
+
+
+def _field_scores(c):
+    parts = [c.select("doc_id", "idx", F.lit(f).alias("field"),
+                      CH.keyword_score(F.col("chunk_text"), h).cast("bigint").alias("score")) for f, h in _HINTS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("chunk_keyword_score", O.with_extra(["contracts"], [("ch", _chunks_sql("contracts"))], _FIELD_SCORES_SQL))
+def chunk_keyword_score(spark, sf):
+    """Distinct field hints contained in each contract chunk."""
+    return _field_scores(_chunks(pf(spark, sf).docs))
+
+
+@query("chunk_prefilter_top5", O.with_extra([], [("ch", _chunks_sql("documents")), ("sc", _FIELD_SCORES_SQL)], """
+SELECT doc_id, field, rank, idx, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, idx) AS BIGINT) AS rank FROM sc)
+WHERE rank <= 5"""))
+def chunk_prefilter_top5(spark, sf):
+    """C4: per document and field the five best chunks by hint score (stable on ties), in-row."""
+    d = _documents(spark, sf).select("doc_id", CH.make_chunks(F.col("text"), P.CHUNK_SIZE, P.CHUNK_OVERLAP).alias("chunks"))
+    parts = []
+    for f, h in _HINTS:
+        top = CH.prefilter_top(F.col("chunks"), h, 5)
+        parts.append(d.select("doc_id", F.lit(f).alias("field"), F.posexplode(top).alias("r0", "c"))
+                     .select("doc_id", "field", (F.col("r0") + 1).alias("rank"), F.col("c.idx").alias("idx"),
+                             F.col("c.keyword_score").cast("bigint").alias("score")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ================================================================= explore
+
+_SEL = EX.Selection(risk_buckets=("high", "medium"), net_days=(30, 60))
+_SEL_SQL = "risk_bucket IN ('high', 'medium') AND (payment_net_days BETWEEN 30 AND 60 OR payment_net_days IS NULL)"
+
+
+@query("filter_options", W(["per_doc"], """
+SELECT DISTINCT 'risk_bucket' AS dimension, risk_bucket AS value FROM per_doc WHERE risk_bucket IS NOT NULL AND risk_bucket <> ''
+UNION ALL SELECT DISTINCT 'governing_law', governing_law FROM per_doc WHERE governing_law IS NOT NULL AND governing_law <> ''
+UNION ALL SELECT DISTINCT 'party_key', party_key FROM per_doc WHERE party_key IS NOT NULL AND party_key <> ''"""))
+def filter_options(spark, sf):
+    """E1."""
+    return EX.filter_options(pf(spark, sf).per_doc)
+
+
+@query("apply_filters", W(["per_doc"], f"SELECT * FROM per_doc WHERE {_SEL_SQL}"))
+def apply_filters(spark, sf):
+    """high/medium risk with 30-60 net days (documents without net days kept)."""
+    return EX.apply_filters(pf(spark, sf).per_doc, _SEL)
+
+
+@query("net_days_bounds", W(["per_doc"], """
+SELECT CAST(coalesce(min(payment_net_days), 0) AS BIGINT) AS nd_min,
+  CAST(CASE WHEN min(payment_net_days) IS NULL THEN 200 ELSE greatest(max(payment_net_days), min(payment_net_days) + 10) END AS BIGINT) AS nd_max
+FROM per_doc"""))
+def net_days_bounds(spark, sf):
+    """E3."""
+    return EX.net_days_bounds(pf(spark, sf).per_doc)
+
+
+@query("top100_filtered", W(["per_doc"], f"""
+SELECT doc_id, risk_score, risk_bucket, issues_count, payment_net_days, governing_law, party_key FROM per_doc
+WHERE {_SEL_SQL} ORDER BY risk_score DESC, doc_id LIMIT 100"""))
+def top100_filtered(spark, sf):
+    """E4."""
+    return EX.top_filtered(EX.apply_filters(pf(spark, sf).per_doc, _SEL))
+
+
+@query("risk_histogram", W(["per_doc"], f"SELECT risk_bucket, count(*) AS documents FROM per_doc WHERE {_SEL_SQL} GROUP BY 1"))
+def risk_histogram(spark, sf):
+    """K8: bucket counts of the selection."""
+    return K.risk_histogram(EX.apply_filters(pf(spark, sf).per_doc, _SEL))
+
+
+@query("findings_semi_join", W(["per_doc", "findings"], f"""
+SELECT * FROM findings WHERE doc_id IN (SELECT doc_id FROM per_doc WHERE {_SEL_SQL})
+  OR NOT EXISTS (SELECT 1 FROM per_doc WHERE {_SEL_SQL})"""))
+def findings_semi_join(spark, sf):
+    """E5: findings of the selected documents."""
+    p = pf(spark, sf)
+    return EX.findings_of(FN.findings(p.validated), EX.apply_filters(p.per_doc, _SEL), p.per_doc)
+
+
+_TYPES = ("NET_DAYS_OUTLIER", "PAYMENT_AMOUNT_HIGH")
+
+
+@query("findings_by_type", W(["findings"], f"SELECT * FROM findings WHERE issue_type IN {tuple(_TYPES)}"))
+def findings_by_type(spark, sf):
+    """E6."""
+    return EX.findings_by_type(FN.findings(pf(spark, sf).validated), _TYPES)
+
+
+_Q_LAW = "Which contracts are governed by California law?"
+_Q_TERM = "Which contracts allow termination with less than 45 days notice?"
+
+
+@query("question_filter", W(["per_doc"], "SELECT * FROM per_doc WHERE contains(lower(governing_law), 'california')"))
+def question_filter(spark, sf):
+    """E7: 'Which contracts are governed by California law?'"""
+    return EX.question_filter(pf(spark, sf).per_doc, _Q_LAW)
+
+
+@query("question_filter_termination", W(["validated"], f"""
+SELECT doc_id, CAST(TRY_CAST(nullif(regexp_extract(tc_text, {O.q(EX.NOTICE_DAYS_RX)}, 1), '') AS INTEGER) AS BIGINT) AS termination_notice_days
+FROM validated WHERE TRY_CAST(nullif(regexp_extract(tc_text, {O.q(EX.NOTICE_DAYS_RX)}, 1), '') AS INTEGER) < 45"""))
+def question_filter_termination(spark, sf):
+    """E7: 'Which contracts allow termination with less than 45 days notice?'"""
+    v = pf(spark, sf).validated.select(
+        "doc_id", EX.termination_notice_days(F.col("termination_clause.text")).alias("termination_notice_days"))
+    return EX.question_filter(v, _Q_TERM)
+
+
+@query("suggest_schema")
+def suggest_schema(spark, sf):
+    """Type probes over every per-document column; suggestion ``text``."""
+    return EX.suggest_schema(pf(spark, sf).per_doc)
+
+
+# ============================================================ strict policy
+
+_ST = P.strict()
+
+
+def _strict(spark, sf):
+    return R.strict_per_doc(pf(spark, sf).first_pass, _ST)
+
+
+def _strict_terms_sql(text: str) -> str:
+    arr = "[" + ", ".join(f"CASE WHEN contains(lower({text}), {O.q(t.lower())}) THEN {O.q(t)} END" for t in _ST.strict_ambiguity_terms) + "]"
+    return f"list_sort(list_filter({arr}, lambda x: x IS NOT NULL))"
+
+
+_STRICT_BASE = f"""
+SELECT doc_id, governing_law, nd, effective_date, parties, pt_text, pt_start, tc_text, tc_start,
+  (CASE WHEN parties IS NULL OR len(parties) = 0 THEN 1 ELSE 0 END
+   + CASE WHEN NOT {O.truthy('effective_date')} THEN 1 ELSE 0 END
+   + CASE WHEN NOT {O.truthy('governing_law')} THEN 1 ELSE 0 END
+   + CASE WHEN pt_start IS NULL THEN 1 ELSE 0 END
+   + CASE WHEN tc_start IS NULL THEN 1 ELSE 0 END) AS n_missing,
+  CASE WHEN {O.truthy('governing_law')} AND governing_law NOT IN ({', '.join(O.q(x) for x in _ST.approved_laws)}) THEN 1 ELSE 0 END AS notice,
+  CASE WHEN pt_start IS NOT NULL THEN {_strict_terms_sql('pt_text')} ELSE [] END AS pt_terms,
+  CASE WHEN tc_start IS NOT NULL THEN {_strict_terms_sql('tc_text')} ELSE [] END AS tc_terms,
+  coalesce(len(list_filter(parties, lambda x: contains(x, '[*') OR NOT regexp_matches(x, '[A-Za-z]'))) > 0, false) AS redacted
+FROM first_pass"""
+_STRICT_SCORED = f"""
+SELECT *, least(20.0, 3.0 * n_missing + 1.0 * notice + CASE WHEN len(pt_terms) > 0 THEN 1.0 ELSE 0.0 END
+  + CASE WHEN len(tc_terms) > 0 THEN 1.0 ELSE 0.0 END + CASE WHEN redacted THEN 1.0 ELSE 0.0 END) AS score FROM s_base"""
+
+
+def _strict_sql(body: str) -> str:
+    return O.with_extra(["first_pass"], [("s_base", _STRICT_BASE), ("s_scored", _STRICT_SCORED)], body)
+
+
+@query("strict_risk_score", _strict_sql(f"""
+SELECT doc_id, CAST(score AS BIGINT) AS risk_score, {O.bucket('score', 4.0, 8.0)} AS risk_bucket FROM s_scored"""))
+def strict_risk_score(spark, sf):
+    """L1: capped integer-weight score and 4/8 buckets of the strict profile."""
+    return _strict(spark, sf).select("doc_id", "risk_score", "risk_bucket")
+
+
+@query("strict_missing", W(["first_pass"], " UNION ALL ".join(
+    f"SELECT doc_id, '{f}' AS field FROM first_pass WHERE {c}" for f, c in (
+        ("parties", "parties IS NULL OR len(parties) = 0"),
+        ("effective_date", f"NOT {O.truthy('effective_date')}"),
+        ("governing_law", f"NOT {O.truthy('governing_law')}"),
+        ("payment_terms", "pt_start IS NULL"),
+        ("termination_clause", "tc_start IS NULL")))))
+def strict_missing(spark, sf):
+    """L2: MISSING on all five schema fields."""
+    x = _strict(spark, sf).select("doc_id", F.explode("_strict_issues").alias("i"))
+    return x.where(F.col("i.type") == "MISSING").select("doc_id", F.col("i.field").alias("field"))
+
+
+@query("nonstandard_law", _strict_sql("SELECT doc_id, governing_law FROM s_base WHERE notice = 1"))
+def nonstandard_law(spark, sf):
+    """L3: governing law outside the approved list (exact raw match)."""
+    x = _strict(spark, sf).select("doc_id", "governing_law", F.explode("_strict_issues").alias("i"))
+    return x.where(F.col("i.type") == "NOTICE").select("doc_id", "governing_law")
+
+
+@query("doc_tags", _strict_sql("""
+SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN governing_law IS NOT NULL AND length(governing_law) > 0 THEN 'law:' || governing_law END,
+  CASE WHEN nd IS NOT NULL AND nd <= 30 THEN 'net:fast' END,
+  CASE WHEN n_missing > 0 THEN 'incomplete' END], lambda x: x IS NOT NULL), ',') AS tags FROM s_base"""))
+def doc_tags(spark, sf):
+    """L4: law / fast-payment / incomplete tags per document."""
+    return _strict(spark, sf).select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("ambiguous_terms", _strict_sql("""
+SELECT term, count(*) AS mentions FROM (SELECT unnest(list_concat(pt_terms, tc_terms)) AS term FROM s_base)
+GROUP BY term ORDER BY mentions DESC, term LIMIT 10"""))
+def ambiguous_terms(spark, sf):
+    """The corpus' most frequent matched ambiguity terms (top 10)."""
+    x = _strict(spark, sf).select(F.explode("_strict_issues").alias("i")).where(
+        (F.col("i.type") == "AMBIGUOUS") & F.col("i.field").isin("payment_terms", "termination_clause"))
+    t = x.select(F.explode(F.split(F.col("i.value"), ", ")).alias("term"))
+    return (t.groupBy("term").agg(F.count(F.lit(1)).alias("mentions"))
+            .orderBy(F.desc("mentions"), "term").limit(_ST.top_n_ambiguous_terms))
+
+
+_AMT_RX = r"(?i)(USD|US\$|\$)\s?([0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?|\d+(?:\.\d{2})?)"
+
+
+@query("payment_amounts", W(["first_pass"], f"""
+SELECT doc_id, CAST(pos - 1 AS BIGINT) AS pos, upper(cur) AS currency, TRY_CAST(replace(amt, ',', '') AS DOUBLE) AS amount FROM (
+  SELECT doc_id, unnest(generate_series(1, len(c))) AS pos, unnest(c) AS cur, unnest(a) AS amt FROM (
+    SELECT doc_id, regexp_extract_all(pt_text, {O.q(_AMT_RX)}, 1) AS c, regexp_extract_all(pt_text, {O.q(_AMT_RX)}, 2) AS a
+    FROM first_pass WHERE pt_text IS NOT NULL))"""))
+def payment_amounts(spark, sf):
+    """Every currency amount of the payment terms."""
+    s = _strict(spark, sf).select("doc_id", F.posexplode("payment_amounts").alias("pos", "p"))
+    return s.select("doc_id", "pos", F.col("p.currency").alias("currency"), F.col("p.amount").alias("amount"))
+
+
+@query("redacted_parties", _strict_sql("SELECT doc_id FROM s_base WHERE redacted"))
+def redacted_parties(spark, sf):
+    """Documents whose party names look redacted."""
+    return pf(spark, sf).first_pass.where(R.redacted_parties(F.col("parties"))).select("doc_id")
+
+
+@query("portfolio_summary", _strict_sql("""
+SELECT count(*) AS documents, round(avg(CAST(score AS BIGINT)), 6) AS avg_risk_score,
+  median(CAST(score AS BIGINT)) AS median_risk_score,
+  count(*) FILTER (WHERE score < 4) AS low, count(*) FILTER (WHERE score >= 4 AND score < 8) AS medium,
+  count(*) FILTER (WHERE score >= 8) AS high FROM s_scored"""))
+def portfolio_summary(spark, sf):
+    """Strict-profile portfolio summary."""
+    s = K.portfolio_summary(_strict(spark, sf))
+    return s.select("documents", r6(F.col("avg_risk_score")).alias("avg_risk_score"), "median_risk_score",
+                    "low", "medium", "high")
+
+
+@query("issue_type_counts", _strict_sql("""
+SELECT issue_type, sum(n) AS issues FROM (
+  SELECT 'MISSING' AS issue_type, n_missing AS n FROM s_base
+  UNION ALL SELECT 'NOTICE', notice FROM s_base
+  UNION ALL SELECT 'AMBIGUOUS', (CASE WHEN len(pt_terms) > 0 THEN 1 ELSE 0 END) + (CASE WHEN len(tc_terms) > 0 THEN 1 ELSE 0 END)
+     + (CASE WHEN redacted THEN 1 ELSE 0 END) FROM s_base)
+GROUP BY issue_type HAVING sum(n) > 0"""))
+def issue_type_counts(spark, sf):
+    """Strict issues per type."""
+    return K.issue_type_counts(_strict(spark, sf), "_strict_issues").select(
+        "issue_type", F.col("issues").cast("bigint").alias("issues"))
