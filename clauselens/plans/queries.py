@@ -951,3 +951,261 @@ def issue_type_counts(spark, sf):
     """Strict issues per type."""
     return K.issue_type_counts(_strict(spark, sf), "_strict_issues").select(
         "issue_type", F.col("issues").cast("bigint").alias("issues"))
+
+
+# ========================================================== sources / sinks
+
+from ..operators import model as MD  # noqa: E402
+from ..operators import report as RP  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..schema import PER_DOC  # noqa: E402
+
+
+@query("scan_text_corpus", "SELECT doc_id, CAST(length(text) AS BIGINT) AS char_count FROM documents")
+def scan_text_corpus(spark, sf):
+    """Document ids and character counts (code points)."""
+    return _documents(spark, sf).select("doc_id", F.length("text").alias("char_count"))
+
+
+@query("short_text_flag", f"SELECT doc_id, length({O.strip('text')}) < {P.SHORT_TEXT_CHARS} AS short_text FROM documents")
+def short_text_flag(spark, sf):
+    """Documents whose trimmed text is shorter than 50 characters."""
+    return _documents(spark, sf).select("doc_id", FS.short_text_flag(F.col("text")).alias("short_text"))
+
+
+def _flat_sql(url: str) -> str:
+    path = f"regexp_extract({url}, {O.q(r'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)')}, 1)"
+    rel = f"regexp_replace({path}, '^/+', '')"
+    folders = f"regexp_extract({rel}, '^(.*)/[^/]*$', 1)"
+    name = f"regexp_extract({rel}, '([^/]*)$', 1)"
+    stem = (f"CASE WHEN regexp_matches({name}, {O.q(r'^.+\.[^.]+$')}) THEN regexp_extract({name}, "
+            f"{O.q(r'^(.+)\.[^.]+$')}, 1) ELSE {name} END")
+    return f"(CASE WHEN {folders} <> '' THEN replace({folders}, '/', '__') || '__' || {stem} ELSE {stem} END) || '.txt'"
+
+
+@query("flat_doc_name", f"SELECT page_id, {_flat_sql('url')} AS doc_name FROM pages")
+def flat_doc_name(spark, sf):
+    """Flat document name of every page's URL path."""
+    from ..sources.tables import read_table
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", FS.flat_name(FS.url_path(F.col("url"))).alias("doc_name"))
+
+
+@query("ingest_skip_existing", """
+SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages WHERE page_id IS NOT NULL)""")
+def ingest_skip_existing(spark, sf):
+    """Documents not yet present among the ingested pages (left-anti join on id)."""
+    from ..sources.tables import read_table
+    existing = read_table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"))
+    return FS.skip_existing(_documents(spark, sf).select("doc_id", "source"), existing)
+
+
+_HTML_SQL = (f"trim(regexp_replace(regexp_replace(html, {O.q(FS.HTML_DROP_RX)}, ' ', 'g'), "
+             f"{O.q(O.WS_CLASS + '+')}, ' ', 'g'), ' ')")
+
+
+@query("ingest_pages", f"""
+SELECT page_id, {_flat_sql('url')} AS doc_name, {_HTML_SQL} AS text,
+  length({_HTML_SQL}) < {P.SHORT_TEXT_CHARS} AS short_text FROM pages""")
+def ingest_pages(spark, sf):
+    """S3 (converter = tag stripping): page text, flat name and short-text flag."""
+    from ..sources.tables import read_table
+    p = read_table(spark, sf, "pages").select("page_id", FS.flat_name(FS.url_path(F.col("url"))).alias("doc_name"),
+                                              FS.html_to_text(F.col("html")).alias("text"))
+    return p.select("*", FS.short_text_flag(F.col("text")).alias("short_text"))
+
+
+@query("ingest_error_split", """
+SELECT page_id, CASE WHEN contains(lower(html), '<body') THEN 'converted' ELSE 'failed' END AS status FROM pages""")
+def ingest_error_split(spark, sf):
+    """Converted vs failed pages (a page without a body fails; the run continues)."""
+    from ..sources.tables import read_table
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", F.when(F.lower("html").contains("<body"), "converted").otherwise("failed").alias("status"))
+
+
+def _pages_as_files(spark, sf) -> str:
+    """Write every page as one HTML file under <lang>/ (derived input for S3)."""
+    from ..sources.tables import read_table
+    root = FS.work_dir(spark, "pages")
+    p = read_table(spark, sf, "pages").select(
+        F.regexp_extract(FS.url_path(F.col("url")), "^/([^/]+)/", 1).alias("part"), "html")
+    p.where(F.col("part") != "").write.option("maxRecordsPerFile", 1).partitionBy("part").text(root)
+    return root
+
+
+@query("ingest_files")
+def ingest_files(spark, sf):
+    """Binary-file ingest of the pages written as files, with the
+    HTML converter hook; ``(doc_id, source_path, chars, error)``."""
+    root = _pages_as_files(spark, sf)
+    parts = ["part=en", "part=fr", "part=de", "part=es", "part=missing"]
+    conv = FS.ingest(spark, root, parts, FS.html_converter, glob="*.txt")
+    return conv.select("doc_id", "source_path", F.length("text").alias("chars"), "error")
+
+
+@query("text_corpus_roundtrip")
+def text_corpus_roundtrip(spark, sf):
+    """Documents written as text files and scanned back (whole-text, id = file name)."""
+    root = FS.work_dir(spark, "texts")
+    _documents(spark, sf).select("text").write.option("maxRecordsPerFile", 1).text(root)
+    return FS.scan_text(spark, root, "*.txt")
+
+
+@query("sink_roundtrip")
+def sink_roundtrip(spark, sf):
+    """Per-document metrics written as CSV and JSON, read back with a schema."""
+    pd_ = pf(spark, sf).per_doc
+    root = FS.work_dir(spark, "sinks")
+    FS.write_csv(pd_, root + "/per_doc_csv")
+    FS.write_json(pd_, root + "/per_doc_json")
+    a = FS.read_csv(spark, root + "/per_doc_csv", PER_DOC)
+    b = FS.read_json(spark, root + "/per_doc_json", PER_DOC)
+    return a.select(F.lit("csv").alias("sink"), "*").unionByName(b.select(F.lit("json").alias("sink"), "*"))
+
+
+@query("scan_extract_json")
+def scan_extract_json(spark, sf):
+    """Extract records written as JSON and scanned with the record schema."""
+    from ..operators.extraction import extract_record
+    from ..schema import EXTRACT
+    root = FS.work_dir(spark, "extract")
+    FS.write_json(extract_record(pf(spark, sf).extracted), root)
+    return FS.read_json(spark, root, EXTRACT)
+
+
+@query("scan_validated_docs")
+def scan_validated_docs(spark, sf):
+    """Validated records scanned back; the ``_report`` file beside them is ignored."""
+    from ..schema import VALIDATED
+    v = pf(spark, sf).validated
+    root = FS.work_dir(spark, "validated")
+    rec = v.select(*[c for c in v.columns if c not in ("doc_id", "party_key")], F.col("doc_id").alias("_doc_id"))
+    FS.write_json(rec, root)
+    # A report file next to the records, as the validator writes one.
+    spark.createDataFrame([("{}",)], "value string").coalesce(1).write.text(root + "/_crossref_report")
+    return FS.read_json(spark, root, VALIDATED)
+
+
+@query("scan_artifacts")
+def scan_artifacts(spark, sf):
+    """Artifact loads; a missing artifact is an empty table of its schema."""
+    root = FS.work_dir(spark, "artifacts")
+    FS.write_csv(pf(spark, sf).per_doc, root + "/per_doc")
+    present = FS.read_csv(spark, root + "/per_doc", PER_DOC)
+    missing = FS.read_csv(spark, root + "/findings_missing", PER_DOC)
+    return present.unionByName(missing)
+
+
+@query("report_lines")
+def report_lines(spark, sf):
+    """The cross-reference and analysis reports as markdown lines (bounded sections)."""
+    p = pf(spark, sf)
+    lines = RP.crossref_markdown(p.validated) + RP.analysis_markdown(p.per_doc, FN.findings(p.validated))
+    return spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "line_no int, line string")
+
+
+@query("kpi_document")
+def kpi_document(spark, sf):
+    """K9: all KPIs as one JSON document."""
+    return K.kpi_document(pf(spark, sf).per_doc)
+
+
+# =================================================================== hooks
+
+def _unresolved_contracts(spark, sf):
+    from ..operators.extraction import extract_fields
+    return extract_fields(pf(spark, sf).docs, keep_text=True)
+
+
+@query("chunk_fuzzy_rank")
+def chunk_fuzzy_rank(spark, sf):
+    """Fuzzy re-rank (partial ratio) of each document's prefiltered chunks, top-k kept."""
+    return MD.rank_chunks(_documents(spark, sf), [f for f, _ in P.FIELD_HINTS]).select(
+        "doc_id", "field", "rank", "pre_rank", "chunk_start", "fuzzy")
+
+
+@query("chunk_topk")
+def chunk_topk(spark, sf):
+    """The chunk sent to the model per (contract, field) whose rule value fails the gate."""
+    from ..operators.extraction import confidence_gate
+    e = _unresolved_contracts(spark, sf)
+    gate = confidence_gate(e).where(~F.col("passes"))
+    r = MD.rank_chunks(e.join(gate.select("doc_id").distinct(), "doc_id", "left_semi"), [f for f, _ in P.SCHEMA_FIELDS])
+    return r.join(gate.select("doc_id", "field"), ["doc_id", "field"], "left_semi").select(
+        "doc_id", "field", "rank", "chunk_start", F.length("chunk_text").alias("chunk_chars"))
+
+
+@query("model_extract")
+def model_extract(spark, sf):
+    """Model candidates (deterministic stub model) for fields failing the gate."""
+    from ..operators.extraction import confidence_gate
+    e = _unresolved_contracts(spark, sf)
+    gate = confidence_gate(e).where(~F.col("passes"))
+    r = MD.rank_chunks(e.join(gate.select("doc_id").distinct(), "doc_id", "left_semi"), [f for f, _ in P.SCHEMA_FIELDS])
+    r = r.join(gate.select("doc_id", "field"), ["doc_id", "field"], "left_semi")
+    return MD.call_extractor(r, MD.keyword_stub_extractor, partitions=P.MODEL_CONCURRENCY)
+
+
+@query("globalize_offsets")
+def globalize_offsets(spark, sf):
+    """Model offsets made global."""
+    return MD.globalize_offsets(REGISTRY["model_extract"](spark, sf))
+
+
+@query("best_candidate")
+def best_candidate(spark, sf):
+    """Best non-empty candidate per (document, field)."""
+    b = MD.best_candidate(MD.globalize_offsets(REGISTRY["model_extract"](spark, sf)))
+    return b.select("doc_id", "field", "best.*")
+
+
+@query("extract_with_model")
+def extract_with_model(spark, sf):
+    """X10 complete: rule -> fallback -> model cascade with provenance (stub model)."""
+    m = MD.apply_model(_unresolved_contracts(spark, sf), MD.keyword_stub_extractor, partitions=P.MODEL_CONCURRENCY)
+    return m.select("doc_id", F.col("payment_terms.text").alias("payment_terms"),
+                    F.col("termination_clause.text").alias("termination_clause"), "governing_law",
+                    F.to_json("_provenance").alias("provenance"))
+
+
+@query("model_memo")
+def model_memo(spark, sf):
+    """Model answers memoised in a Parquet table; the second pass is served from it."""
+    from ..operators.extraction import confidence_gate
+    e = _unresolved_contracts(spark, sf)
+    gate = confidence_gate(e).where(~F.col("passes"))
+    r = MD.rank_chunks(e.join(gate.select("doc_id").distinct(), "doc_id", "left_semi"), [f for f, _ in P.SCHEMA_FIELDS])
+    r = r.join(gate.select("doc_id", "field"), ["doc_id", "field"], "left_semi")
+    memo = MD.ModelMemo(spark, FS.work_dir(spark, "memo"), "stub")
+    memo.lookup_or_call(r, MD.keyword_stub_extractor).count()
+    return memo.lookup_or_call(r, MD.keyword_stub_extractor)
+
+
+@query("entity_hook")
+def entity_hook(spark, sf):
+    """Entity-recogniser fallback for contracts the rules left without parties or law."""
+    from ..operators.extraction import extract_fields
+    from ..policy import current
+    e = extract_fields(pf(spark, sf).docs, current().with_(use_fallback=False), keep_text=True)
+    out = MD.apply_recognizer(e, MD.regex_recognizer)
+    return out.select("doc_id", F.array_join("parties", " ; ").alias("parties"), "governing_law")
+
+
+# =============================================================== streaming
+
+@query("incremental_ingest")
+def incremental_ingest(spark, sf):
+    """Conversation turns arriving in two file batches, extracted by a
+    stream with availableNow triggers; each turn is processed exactly once."""
+    from ..sources.tables import read_table
+    from ..streaming.incremental import incremental_ingest as run
+    conv = read_table(spark, sf, "conversations")
+    root = FS.work_dir(spark, "stream")
+    src, sink, ck = root + "/in", root + "/out", root + "/ck"
+    cut = conv.agg(F.percentile_approx("conv_id", 0.5).alias("c")).collect()[0]["c"]
+    conv.where(F.col("conv_id") <= cut).write.parquet(src + "/batch=1")
+    run(spark, src, conv.schema, sink, ck, "concat(conv_id, '-', turn)")
+    conv.where(F.col("conv_id") > cut).write.parquet(src + "/batch=2")
+    run(spark, src, conv.schema, sink, ck, "concat(conv_id, '-', turn)")
+    return spark.read.parquet(sink)
