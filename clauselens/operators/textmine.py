@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .. import policy as P
 from ..functions.text import collapse_ws, count_occurrences, py_strip, truthy_str
 from ..plans import stopwords
+from ..session import materialize
 
 # Sentence boundary and token patterns.
 SENTENCE_SPLIT_RX = r"(?<=[.?!])\s+(?=[A-Z0-9(])"
@@ -106,7 +107,8 @@ def distinct_sentences(sentences: DataFrame, sid: str = "sid", text: str = "sent
 
 
 def tfidf_scores(sentences: DataFrame, sid: str = "sid", text: str = "sentence",
-                 max_features: int = P.TFIDF_MAX_FEATURES, stop_words=None) -> DataFrame:
+                 max_features: int = P.TFIDF_MAX_FEATURES, stop_words=None,
+                 materialize_mode: str = "checkpoint") -> DataFrame:
     """``(sentence, m, first_sid, score)`` per distinct sentence.
 
     ``score`` is the row sum of the L2-normalised TF-IDF vector with smooth
@@ -116,6 +118,10 @@ def tfidf_scores(sentences: DataFrame, sid: str = "sid", text: str = "sentence",
     d = distinct_sentences(sentences, sid, text)
     d = d.select(text, "m", "first_sid",
                  term_counts_col(terms_col(F.col(text), stop_words)).alias("tfs"))
+    # Read four times below (term statistics, weights, sentence count, final
+    # join): written once to the session's checkpoint folder instead of
+    # re-splitting and re-tokenising the corpus for each reader.
+    d = materialize(d, materialize_mode)
     ex = d.select("first_sid", "m", F.inline("tfs"))
     stats = ex.groupBy("term").agg(F.sum(F.col("m") * F.col("tf")).alias("ctf"),
                                     F.sum("m").alias("df"))
@@ -145,9 +151,10 @@ def keyword_boost(sentence: Column, keywords=P.RISK_KEYWORDS, weight: float = P.
 
 def corpus_summary(sentences: DataFrame, sid: str = "sid", text: str = "sentence",
                    top_k: int = P.TOP_K_SUMMARY_SENTENCES, keywords=P.RISK_KEYWORDS,
-                   max_features: int = P.TFIDF_MAX_FEATURES, stop_words=None) -> DataFrame:
+                   max_features: int = P.TFIDF_MAX_FEATURES, stop_words=None,
+                   materialize_mode: str = "checkpoint") -> DataFrame:
     """T5: best sentences first, one per 80-character lower-cased prefix, top ``top_k``."""
-    s = tfidf_scores(sentences, sid, text, max_features, stop_words)
+    s = tfidf_scores(sentences, sid, text, max_features, stop_words, materialize_mode)
     total = F.round(F.col("score") + keyword_boost(F.col(text), keywords), SCORE_DIGITS)
     s = s.select(text, "first_sid", total.alias("rank_score"))
     key = F.lower(F.left(F.col(text), F.lit(P.SUMMARY_KEY_CHARS)))
