@@ -106,8 +106,8 @@ def norm_party_name(name: Column) -> Column:
 UNROLLED_PARTIES = 4
 
 
-def party_key(parties: Column) -> Column:
-    """First two non-blank names, normalised, sorted, joined by `` | ``.
+def party_key_names(parties: Column) -> Column:
+    """First two non-blank names, normalised (unsorted).
 
     Arrays of up to four names (rule and fallback output) use an unrolled,
     code-generated expression; longer arrays fall back to higher-order
@@ -120,10 +120,19 @@ def party_key(parties: Column) -> Column:
     short = F.slice(F.array_compact(F.array(
         *[F.when(nonblank(x), norm_party_name(x)) for x in elems])), 1, 2)
     long_ = F.slice(F.transform(F.filter(parties, nonblank), norm_party_name), 1, 2)
-    names = F.when(F.size(parties) <= UNROLLED_PARTIES, short).otherwise(long_)
+    return F.when(F.size(parties) <= UNROLLED_PARTIES, short).otherwise(long_)
+
+
+def party_key_from_names(names: Column) -> Column:
+    """N5 from staged ``party_key_names``; an empty key counts as no key."""
     key = F.array_join(F.array_sort(names), " | ")
-    # An empty key counts as no key, like an empty string in Python.
-    return F.when(parties.isNotNull() & (F.size(names) > 0) & (key != ""), key)
+    return F.when(names.isNotNull() & (F.size(names) > 0) & (key != ""), key)
+
+
+def party_key(parties: Column) -> Column:
+    """First two non-blank names, normalised, sorted, joined by `` | ``.
+    (In wide projections stage ``party_key_names`` first.)"""
+    return party_key_from_names(F.when(parties.isNotNull(), party_key_names(parties)))
 
 
 def ambiguity_flag(text: Column, terms) -> Column:

@@ -79,13 +79,32 @@ def normalized_columns(policy: P.Policy = P.current()) -> list:
 
 
 def validate_first_pass(extracted: DataFrame, policy: P.Policy = P.current()) -> DataFrame:
-    """V5: normalised values, party key and first-pass issues."""
-    norm = extracted.select("*", *normalized_columns(policy),
-                            N.party_key(F.col("parties")).alias("party_key"))
+    """V5: normalised values, party key and first-pass issues.
+
+    Two projections: values read more than once (normalised date, party
+    names, ambiguity flags) are columns of the first, so Catalyst keeps them
+    there and the second reads them instead of recomputing them in every
+    branch that needs them.
+    """
+    pt, tc = F.col("payment_terms.text"), F.col("termination_clause.text")
+    staged = extracted.select(
+        "*", *normalized_columns(policy),
+        F.when(F.col("parties").isNotNull(), N.party_key_names(F.col("parties"))).alias("_pk_names"),
+        (truthy_str(pt) & N.ambiguity_flag(pt, policy.ambiguity_terms)).alias("_pt_amb"),
+        (truthy_str(tc) & N.ambiguity_flag(tc, policy.ambiguity_terms)).alias("_tc_amb"),
+    )
     issues = keep_issues(
         issue_bad_date(),
-        issue_ambiguous("payment_terms", policy.ambiguity_terms),
-        issue_ambiguous("termination_clause", policy.ambiguity_terms),
+        _ambiguous_from_flag("payment_terms", F.col("_pt_amb")),
+        _ambiguous_from_flag("termination_clause", F.col("_tc_amb")),
         *issue_missing(policy.required_fields),
     )
-    return norm.select("*", issues.alias("_issues"))
+    return staged.select(*extracted.columns, "effective_date_normalized", "payment_amount_normalized",
+                         "payment_net_days", N.party_key_from_names(F.col("_pk_names")).alias("party_key"),
+                         issues.alias("_issues"))
+
+
+def _ambiguous_from_flag(field: str, flag: Column) -> Column:
+    span = F.col(field)
+    return F.when(flag, issue("AMBIGUOUS", field=F.lit(field), reason=F.lit(AMBIGUOUS_REASON),
+                              span=F.struct(span["start"].alias("start"), span["end"].alias("end"))))
