@@ -109,11 +109,11 @@ def _with_fallbacks(docs: DataFrame, policy: P.Policy, text_col: str, id_col: st
     r_law = F.col("_r_law")
     if policy.canonical_law:
         r_law = F.coalesce(X.canonical_place(r_law, policy.places, policy.whole_word_places), r_law)
-    prov = F.map_from_entries(F.filter(F.array(
+    prov = F.map_from_entries(F.array_compact(F.array(
         F.when(F.col("_f_parties").isNotNull(), F.struct(F.lit("parties"), _prov("entity"))),
         F.when(F.col("_f_law").isNotNull(), F.struct(F.lit("governing_law"), _prov("fallback"))),
         F.when(F.col("_g_law").isNotNull(), F.struct(F.lit("governing_law"), _prov("entity"))),
-    ), lambda x: x.isNotNull()))
+    )))
     out = [
         "doc_id",
         F.coalesce(F.col("_r_parties"), F.col("_f_parties")).alias("parties"),

@@ -94,24 +94,17 @@ def section_of(issue_type: Column) -> Column:
 def report_sections(fnd: DataFrame, rows: int = P.REPORT_SECTION_ROWS) -> DataFrame:
     """first ``rows`` findings of each section in document order.
 
-    The window runs after a filter to section types and an explicit
-    ``repartition`` on the section would be a 5-key shuffle; instead each
-    section's rows are ranked by a global order on (doc_id, issue_pos), which
-    Spark computes as a per-partition top-k before the single-partition merge.
+    ``row_number() <= rows`` over the section lets Spark insert a group limit
+    before the shuffle (each map task forwards at most ``rows`` rows per
+    section), so a section holding most findings never lands whole in one task.
     """
     tagged = fnd.select("*", section_of(F.col("issue_type")).alias("section")).where(
         F.col("section").isNotNull())
-    parts = []
-    for title, _ in SECTIONS:
-        parts.append(tagged.where(F.col("section") == title)
-                     .orderBy("doc_id", "issue_pos").limit(rows))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     w = Window.partitionBy("section").orderBy("doc_id", "issue_pos")
-    return out.select("section", F.row_number().over(w).cast("bigint").alias("row"),
-                      "doc_id", "issue_pos", "issue_type", "field", "payment_net_days",
-                      "payment_amount", "quote")
+    ranked = tagged.select("*", F.row_number().over(w).cast("bigint").alias("row"))
+    return ranked.where(F.col("row") <= rows).select(
+        "section", "row", "doc_id", "issue_pos", "issue_type", "field", "payment_net_days",
+        "payment_amount", "quote")
 
 
 def report_quotes(sections: DataFrame) -> DataFrame:

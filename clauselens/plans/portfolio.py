@@ -30,12 +30,15 @@ _CACHE: dict = {}
 
 class Portfolio:
     def __init__(self, spark: SparkSession, sf_dir: str, policy: P.Policy = P.current(),
-                 docs: DataFrame | None = None, materialize_mode: str = "persist"):
+                 docs: DataFrame | None = None, materialize_mode: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.policy = policy
         self._docs = docs
-        self.materialize_mode = materialize_mode
+        # "persist" (cache, recomputed from lineage if an executor is lost) or
+        # "checkpoint" (written to the shared checkpoint folder, lineage cut);
+        # set clauselens.materialize=checkpoint on large clusters.
+        self.materialize_mode = materialize_mode or spark.conf.get("clauselens.materialize", "persist")
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, policy: P.Policy = P.current()) -> "Portfolio":

@@ -174,6 +174,18 @@ def extract_cascade(spark, sf):
                     F.col("_provenance")["governing_law"]["source"].alias("law_source"))
 
 
+@query("extract_record", W(["extracted"], """
+SELECT doc_id AS _doc_id, array_to_string(parties, ' ; ') AS parties, effective_date, governing_law,
+  pt_text AS payment_terms, tc_text AS termination_clause, char_count AS _char_count FROM extracted"""))
+def extract_record(spark, sf):
+    """The extract record (schema fields + ``_doc_id`` + ``_char_count``)."""
+    from ..operators.extraction import extract_record as rec
+    r = rec(pf(spark, sf).extracted)
+    return r.select("_doc_id", F.array_join("parties", " ; ").alias("parties"), "effective_date", "governing_law",
+                    F.col("payment_terms.text").alias("payment_terms"),
+                    F.col("termination_clause.text").alias("termination_clause"), "_char_count")
+
+
 _GATE_SQL = " UNION ALL ".join(
     f"SELECT doc_id, '{f}' AS field, {cond} AS passes FROM extracted" for f, cond in (
         ("parties", "parties IS NOT NULL"),
@@ -723,17 +735,13 @@ SELECT doc_id, field, rank, idx, score FROM (
 WHERE rank <= 5"""))
 def chunk_prefilter_top5(spark, sf):
     """C4: per document and field the five best chunks by hint score (stable on ties), in-row."""
-    d = _documents(spark, sf).select("doc_id", CH.make_chunks(F.col("text"), P.CHUNK_SIZE, P.CHUNK_OVERLAP).alias("chunks"))
-    parts = []
-    for f, h in _HINTS:
-        top = CH.prefilter_top(F.col("chunks"), h, 5)
-        parts.append(d.select("doc_id", F.lit(f).alias("field"), F.posexplode(top).alias("r0", "c"))
-                     .select("doc_id", "field", (F.col("r0") + 1).alias("rank"), F.col("c.idx").alias("idx"),
-                             F.col("c.keyword_score").cast("bigint").alias("score")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    d = _documents(spark, sf).select(
+        "doc_id", CH.make_chunks(F.col("text"), P.CHUNK_SIZE, P.CHUNK_OVERLAP).alias("chunks"))
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), CH.prefilter_top(F.col("chunks"), h, 5).alias("top"))
+                          for f, h in _HINTS])
+    x = d.select("doc_id", F.inline(per_field)).select("doc_id", "field", F.posexplode("top").alias("r0", "c"))
+    return x.select("doc_id", "field", (F.col("r0") + 1).alias("rank"), F.col("c.idx").alias("idx"),
+                    F.col("c.keyword_score").cast("bigint").alias("score"))
 
 
 # ================================================================= explore
