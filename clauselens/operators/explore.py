@@ -80,13 +80,14 @@ def top_filtered(filtered: DataFrame, n: int = P.EXPLORE_TOP_ROWS) -> DataFrame:
 def findings_of(findings: DataFrame, filtered: DataFrame, per_doc: DataFrame) -> DataFrame:
     """E5: findings of the kept documents; all findings when nothing is kept.
 
-    A semi-join on ``doc_id``; the "nothing kept" case is decided with a
-    one-row existence check, not by collecting the selection.
+    One semi-join on ``doc_id`` against the kept ids, or against all ids when
+    the selection is empty (decided by a one-row existence check, not by
+    collecting the selection); the findings are computed once.
     """
     kept = filtered.select("doc_id")
     any_kept = kept.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
-    semi = findings.join(kept, "doc_id", "left_semi")
-    return semi.where(any_kept > 0).unionByName(findings.where(any_kept == 0))
+    keys = kept.unionByName(per_doc.select("doc_id").where(any_kept == 0))
+    return findings.join(keys, "doc_id", "left_semi")
 
 
 def findings_by_type(findings: DataFrame, types) -> DataFrame:
@@ -126,8 +127,8 @@ def question_filter(docs: DataFrame, question: str) -> DataFrame:
 
 
 def suggest_schema(df: DataFrame) -> DataFrame:
-    """Per column, the share of values that parse as number / date; the
-    suggestion stays ``text`` as in the original, probes are informative."""
+    """Per column, how many values are present and how many parse as a
+    number / ISO date; the suggestion stays ``text`` as in the original."""
     probes = []
     for c in df.columns:
         s = F.col(c).cast("string")
