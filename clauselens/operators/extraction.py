@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import policy as P
 from ..functions import extract as X
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, py_strip
 
 SCHEMA_KEYS = tuple(f for f, _ in P.SCHEMA_FIELDS)
 
@@ -78,29 +78,37 @@ def _with_fallbacks(docs: DataFrame, policy: P.Policy, text_col: str, id_col: st
     t = F.col(text_col)
     pt_s, pt_h = X.span_probe(t, X.PAYMENT_HEAD_RX)
     tc_s, tc_h = X.span_probe(t, X.TERMINATION_HEAD_RX)
-    law_fb_rx = "(?i)" + X.LAW_FALLBACK_RX
+    party_rx = "(?is)" + X.PARTY_RX
     stage1 = docs.select(
         F.col(id_col).alias("doc_id"),
         t.alias("_t"),
-        X.rule_parties(t).alias("_r_parties"),
+        # The whole party match (never empty when found); its groups are read
+        # from this short string in the next projection, not from the text.
+        F.regexp_extract(t, party_rx, 0).alias("_party_m"),
         X.rule_effective_date(t).alias("effective_date"),
         X.rule_governing_law(t).alias("_r_law"),
         pt_s.alias("_pt_s"), pt_h.alias("_pt_h"),
         tc_s.alias("_tc_s"), tc_h.alias("_tc_h"),
         F.length(t).cast("int").alias("_char_count"),
     )
-    tt = F.col("_t")
-    law_rx_hit = tt.rlike(law_fb_rx)
+    tt, pm = F.col("_t"), F.col("_party_m")
     stage2 = stage1.select(
         "*",
+        F.when(pm != "", F.array(py_strip(F.regexp_extract(pm, party_rx, 1), X.PARTY_STRIP),
+                                 py_strip(F.regexp_extract(pm, party_rx, 2), X.PARTY_STRIP))).alias("_r_parties"),
         X.span_from_probe(tt, F.col("_pt_s"), F.col("_pt_h"), X.PAYMENT_TAIL).alias("payment_terms"),
         X.span_from_probe(tt, F.col("_tc_s"), F.col("_tc_h"), X.TERMINATION_TAIL).alias("termination_clause"),
-        F.when(F.col("_r_parties").isNull(), X.fallback_party_names(tt)).alias("_fp_names"),
-        F.when(F.col("_r_law").isNull() & law_rx_hit, X.fallback_law_candidate(tt)).alias("_fb_cand"),
-        F.when(F.col("_r_law").isNull() & ~law_rx_hit,
-               X.gazetteer_place(tt, policy.places)).alias("_g_law"),
+        F.when(pm == "", X.fallback_party_names(tt)).alias("_fp_names"),
+        # Looser law clause, only where the rule found none (group never empty when found).
+        F.when(F.col("_r_law").isNull(), F.regexp_extract(tt, "(?i)" + X.LAW_FALLBACK_RX, 1)).alias("_fb_g"),
     )
+    fb = F.col("_fb_g")
     stage3 = stage2.select(
+        "*",
+        F.when(fb != "", py_strip(fb, X.LAW_STRIP)).alias("_fb_cand"),
+        F.when(fb == "", X.gazetteer_place(tt, policy.places)).alias("_g_law"),
+    )
+    stage3 = stage3.select(
         "*",
         F.when(F.size("_fp_names") > 0, F.col("_fp_names")).alias("_f_parties"),
         blank_to_null(F.coalesce(X.canonical_place(F.col("_fb_cand"), policy.places, policy.whole_word_places),
