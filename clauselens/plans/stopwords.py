@@ -1,27 +1,26 @@
-"""Spark's English stop-word list, shared by the Spark plan and the oracle.
+"""The English stop-word list, shared by the Spark plan and the oracle.
 
-The list ships with Spark (``StopWordsRemover.loadDefaultStopWords``); it is
-read here straight from the MLlib jar so the oracle needs no JVM.
+Fixed values: the default English list of Apache Spark MLlib's
+``StopWordsRemover`` (Apache License 2.0), in file order. Kept as plain data so
+that importing the queries needs no JVM and no jar beside pyspark;
+``tests/test_entry.py`` compares it with Spark's own.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
-RESOURCE = "org/apache/spark/ml/feature/stopwords/english.txt"
+_ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+herself it its itself they them their theirs themselves what which who whom this that these those am is are
+was were be been being have has had having do does did doing a an the and but if or because as until while of
+at by for with about against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll she'll
+we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't
+mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+"""
 
 
-@functools.lru_cache(maxsize=1)
 def english() -> tuple:
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            if RESOURCE in z.namelist():
-                words = z.read(RESOURCE).decode("utf-8").split()
-                return tuple(words)
-    raise FileNotFoundError("Spark MLlib stop-word list not found")
+    return tuple(_ENGLISH.split())
