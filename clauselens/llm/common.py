@@ -7,14 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import apply_defaults, ensure_checkpoint_dir
 
-#: Entries of a per-task word table before it starts anew (about 60 MB).
-WORD_TABLE_LIMIT = 400_000
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session defaults, shipped package and checkpoint folder."""
@@ -34,19 +30,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembered within a task and bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_TABLE_LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 on uint64 arrays."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -54,18 +37,78 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: list, hashes: WordHashes, k: int) -> np.ndarray:
-    """64-bit hash of each run of ``k`` words; fewer words give one hash of all of
-    them, none give an empty array. The order of the words matters."""
+#: ``[^\x20\x09-\x0D]``: the bytes that words of the contracts are made of.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+
+_BASE = 0xD6E8FEB86659FD93
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LONG = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Powers:
+    up = _powers(_BASE, 1 << 12)
+    down = _powers(_BASE_INVERSE, 1 << 12)
+
+    @classmethod
+    def upto(cls, n: int):
+        if len(cls.up) < n:
+            size = 1 << int(n - 1).bit_length()
+            cls.up, cls.down = _powers(_BASE, size), _powers(_BASE_INVERSE, size)
+        return cls.up, cls.down
+
+
+def _hash_part(a: np.ndarray, in_word: np.ndarray):
+    n = len(a)
+    edge = np.diff(in_word.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _Powers.upto(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[a] * up[:n], out=total[1:])
+    h = (total[end] - total[start]) * down[start]
+    return mix64(h ^ (end - start).astype(np.uint64)), start, end
+
+
+def hash_words(text: bytes, word_bytes: np.ndarray = NOT_SPACE):
+    """(64-bit hash, start, end) of every run of ``word_bytes`` in the text.
+
+    A hash is the word's polynomial over the bytes, taken for all words at once from
+    running sums, so it does not depend on the place. Texts over 1 MB are hashed in
+    pieces that end between words, which bounds the memory.
+    """
+    a = np.frombuffer(text, np.uint8)
+    in_word = word_bytes[a]
+    if len(a) <= _LONG:
+        return _hash_part(a, in_word)
+    gaps = np.flatnonzero(~in_word)
+    parts, at = [], 0
+    while at < len(a):
+        k = np.searchsorted(gaps, at + _LONG)
+        to = int(gaps[k]) + 1 if k < len(gaps) else len(a)
+        h, s, e = _hash_part(a[at:to], in_word[at:to])
+        parts.append((h, s + at, e + at))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of each run of ``k`` word hashes; fewer words give one hash of all
+    of them, none give an empty array. The order of the words matters."""
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = hashes.of(words)
     k = min(k, n)
-    out = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mix64(out ^ h[i:n - k + 1 + i]) + np.uint64(0x9E3779B97F4A7C15)
-    return out
+    out = words[:n - k + 1] + np.uint64(k)
+    for i in range(1, k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i:n - k + 1 + i]
+    return mix64(out)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

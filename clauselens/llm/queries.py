@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
+from . import decontam, langid, quality_rules, urlfilter
 from .common import prepare
 
 
@@ -12,18 +12,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_quality_rules(spark, sf_dir):
+    """Rule statistics of all documents, judged by an isolation forest."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_url_filter(spark, sf_dir):
+    """Verdicts of the contract's rules on all page URLs."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.contract_rules(spark))
+
+
+def op5_language_id(spark, sf_dir):
+    """Language of all documents by compression with per-language dictionaries."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     """Benchmark decontamination of all documents (prefix-filtered set join)."""
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
+    op2_quality_rules, op4_url_filter, op5_language_id,
     op7_decontamination,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op4_url_filter": f"""
+WITH r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, {_LOW.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+k AS (SELECT DISTINCT host, path FROM u),
+b AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+      FROM k JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN b USING (host, path)""",
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE
       regexp_extract_all({_LOW.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') END AS w FROM documents),
