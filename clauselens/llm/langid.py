@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, prepare
 
-SAMPLE_TEXTS = 192
+SAMPLE_TEXTS = 400
 SLICE_CHARS = 600
 LEVEL = 3
 PIECE_CHARS = 8192
