@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, quality_rules, urlfilter
+from . import decontam, langid, neardup, pieces, quality_rules, urlfilter
 from .common import prepare
 
 
@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_sentencepiece(spark, sf_dir):
+    """N-best SentencePiece segmentation of all documents, decoded again."""
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark, sf_dir):
     """Rule statistics of all documents, judged by an isolation forest."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -38,7 +43,7 @@ def op7_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_near_duplicates, op4_url_filter, op5_language_id,
+    op1_sentencepiece, op2_quality_rules, op3_near_duplicates, op4_url_filter, op5_language_id,
     op7_decontamination,
 )}
 
