@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, pieces, quality_rules, urlfilter
+from . import decontam, langid, neardup, pieces, quality_rules, urlfilter, wrappers
 from .common import prepare
 
 
@@ -37,6 +37,11 @@ def op5_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark, sf_dir):
+    """Main text of all pages by host wrappers."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark, sf_dir):
     """Benchmark decontamination of all documents (prefix-filtered set join)."""
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -44,7 +49,7 @@ def op7_decontamination(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_quality_rules, op3_near_duplicates, op4_url_filter, op5_language_id,
-    op7_decontamination,
+    op6_html_extraction, op7_decontamination,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
