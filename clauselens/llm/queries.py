@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, pieces, quality_rules, urlfilter, wrappers
+from . import decontam, langid, licenses, neardup, pieces, quality_rules, urlfilter, wrappers
 from .common import prepare
 
 
@@ -47,9 +47,14 @@ def op7_decontamination(spark, sf_dir):
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_scan(spark, sf_dir):
+    """License notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_templates(spark))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_quality_rules, op3_near_duplicates, op4_url_filter, op5_language_id,
-    op6_html_extraction, op7_decontamination,
+    op6_html_extraction, op7_decontamination, op8_license_scan,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,4 +97,5 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op8_license_scan": licenses.oracle_sql(),
 }
