@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, neardup, pieces, quality_rules, urlfilter, wrappers
+from . import decontam, langid, licenses, neardup, pieces, quality_model, quality_rules, urlfilter, warc, wrappers
 from .common import prepare
 
 
@@ -52,9 +52,20 @@ def op8_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_templates(spark))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    """Quality of all documents by a weakly supervised hashed linear scorer."""
+    return quality_model.classify(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_derivatives(spark, sf_dir):
+    """Metadata and plain-text conversion records of all pages, by their digests."""
+    return warc.digests(warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_quality_rules, op3_near_duplicates, op4_url_filter, op5_language_id,
-    op6_html_extraction, op7_decontamination, op8_license_scan,
+    op6_html_extraction, op7_decontamination, op8_license_scan, op9_quality_classifier,
+    op10_warc_derivatives,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
