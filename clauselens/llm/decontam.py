@@ -198,20 +198,35 @@ def _rarity(docs: DataFrame, block: Block) -> np.ndarray:
     return out
 
 
+class PrefixBlocks:
+    """The blocks of a benchmark, one at a time, with their prefixes chosen."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, block_pairs: int):
+        self.docs = docs
+        self.wins = written(item_windows(benchmark, window=window), "windows")
+        self.n = max(1, -(-self.wins.count() // block_pairs))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self):
+        for i in range(self.n):
+            block = Block(self.wins.where(F.pmod(F.xxhash64("win", "item"), F.lit(self.n)) == i).toLocalIterator())
+            block.choose_prefix(_rarity(self.docs, block))
+            yield block
+
+
 def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS,
           block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """Per document row ``(doc_id, n_words, starts, ends, items)``: disjoint hit word
     spans and the ids of the items with an occurring window."""
     spark = prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    wins = written(item_windows(benchmark, window=window), "windows")
-    n_blocks = max(1, -(-wins.count() // block_pairs))
+    blocks = PrefixBlocks(docs, benchmark, window, block_pairs)
+    n_blocks = len(blocks)
     schema = "doc_id long, digest binary, n_words long, starts array<long>, ends array<long>, items array<string>"
     parts = []
-    for i in range(n_blocks):
-        mine = wins.where(F.pmod(F.xxhash64("win", "item"), F.lit(n_blocks)) == i)
-        block = Block(mine.toLocalIterator())
-        block.choose_prefix(_rarity(docs, block))
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
 
         def find(batches, shared=shared):
@@ -270,3 +285,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     return s.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
                     (F.size("starts") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS,
+                      block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """The rows of ``docs`` without any window of a benchmark item, all columns. One
+    narrow pass per block of the benchmark; texts are not shuffled."""
+    prepare(docs.sparkSession)
+    for block in PrefixBlocks(docs.select("text"), benchmark, window, block_pairs):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches, shared=shared):
+            bl = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not len(bl.matches(bl.doc_words(words_of(t)))[0]) for t in texts(b)], pa.bool_()))
+
+        if len(block.codes):
+            docs = map_batches(docs, clean, docs.schema)
+    return docs
