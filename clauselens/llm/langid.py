@@ -11,8 +11,9 @@ rejected, and so is one without letters.
 
 Training: text and non-null lang of documents whose crc32(doc_id as text) mod 4 is
 not 2. A dictionary holds up to ``SAMPLE_TEXTS`` slices of ``SLICE_CHARS`` characters
-from distinct texts chosen by hash (a documented, bounded sample); predictions cover
-whole texts and use nothing but the text.
+(longer ones with fewer texts, as many characters in all) from distinct texts chosen by
+hash (a documented, bounded sample); predictions cover whole texts and use nothing but
+the text.
 
 Edge cases: null, empty and letterless texts get ``und``, score 0, rejected; so does
 everything when no language was learned. With one learned language the margin is
@@ -34,7 +35,7 @@ from .common import map_batches, prepare
 
 SAMPLE_TEXTS = 400
 SLICE_CHARS = 600
-LEVEL = 3
+LEVEL = 9
 PIECE_CHARS = 8192
 MIN_MARGIN = 0.01
 UNDETERMINED = "und"
@@ -62,16 +63,18 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, slice_chars: int =
     each; languages with more training rows come first."""
     rows = docs.select("doc_id", "text", "lang").where(
         "doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").where(~held_out("doc_id"))
-    rows = rows.select("lang", F.xxhash64("text").alias("h"),
-                       F.expr(f"substring(text, 1 + cast(pmod(xxhash64(text), greatest(length(text) - {slice_chars}, 1)) as int), "
-                              f"{slice_chars})").alias("piece"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # The texts with the smallest hashes: first a share of the hash range that holds
-    # about four times the sample, then the exact cut.
-    wide, share = 1 << 40, F.lit(0)
+    # The texts with the smallest hashes: a share of the hash range that holds about four
+    # times the sample, then the exact cut. With few texts the slices are longer.
+    wide, share, length = 1 << 40, F.lit(0), F.lit(0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(wide, -(-wide * 4 * sample_texts // n)))).otherwise(share)
-    some = (rows.where(F.pmod("h", F.lit(wide)) < share).select("lang", F.pmod("h", F.lit(wide)).alias("h"), "piece")
+        here = F.col("lang") == lang
+        share = F.when(here, F.lit(min(wide, -(-wide * 4 * sample_texts // n)))).otherwise(share)
+        length = F.when(here, F.lit(max(slice_chars, slice_chars * sample_texts // n))).otherwise(length)
+    h = F.xxhash64("text")
+    start = F.pmod(h, F.greatest(F.length("text") - length, F.lit(1))).cast("int") + 1
+    some = (rows.where(F.pmod(h, F.lit(wide)) < share)
+            .select("lang", F.pmod(h, F.lit(wide)).alias("h"), F.substr("text", start, length).alias("piece"))
             .distinct().collect())                      # about 4 * sample_texts rows a language
     out: dict = {}
     for r in sorted(some, key=lambda r: (r["lang"], r["h"], r["piece"])):

@@ -13,8 +13,10 @@
    (limit: threshold minus five standard errors) and then exact verification on full sets.
 4. Connected components of the links so far tell which buckets still hold several
    components. Only there the members outside the bucket's main component are compared
-   with the bucket's other components, so no link between candidates is lost, and
-   a large group of near copies is never expanded into all its pairs.
+   with the bucket's other components, so no link between candidates is lost. Before,
+   all meet a third centre, the most typical member, and an exact bound from rare
+   shingles (``OpenBuckets``) keeps a large group of near copies from
+   being expanded into all its pairs.
 5. Components: alternating large-star and small-star rounds on DataFrames, written to
    the shared folder each round.
 
@@ -42,6 +44,9 @@ EMPTY = 0xFFFF
 MISS = 1e-4
 #: Standard errors below the threshold at which an estimate still goes to verification.
 SLACK = 5.0
+#: Buckets with more open members are bounded by rare shingles, and what is rare.
+WIDE_BUCKET = 64
+RARE_DOCS = 12
 
 
 def band_rows(threshold: float, registers: int = REGISTERS, miss: float = MISS) -> int:
@@ -205,6 +210,77 @@ def _ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def _possible(most, percent: int):
+    """Whether sets of n_x and n_y shingles with an intersection of at most ``most`` may be linked."""
+    return 100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)
+
+
+class OpenBuckets:
+    """The rows of buckets that hold several components, and what bounds their links.
+
+    In buckets of up to ``WIDE_BUCKET`` members pairs are few and made directly. Among the
+    documents of wider buckets a shingle is rare if at most ``RARE_DOCS`` have it. Pairs
+    that share a rare shingle come from these shingles (at most 66 pairs each). All other
+    pairs share frequent shingles only, so their intersection is at most the smaller
+    number of frequent shingles. In a large group of near copies the edits of a copy are
+    rare, so this exact bound rules out nearly all pairs that are no links before they
+    are made.
+    """
+
+    def __init__(self, rows: DataFrame, sets: DataFrame, percent: int):
+        """``rows``: (key, rep, bands)."""
+        self.percent = percent
+        wide = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WIDE_BUCKET).select("key")
+        wide = rows.join(wide, "key", "left_semi").select("rep").distinct()
+        has = written(sets.join(wide, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")), "shingles")
+        few = has.groupBy("s").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") <= RARE_DOCS).select("s")
+        ids = has.join(few, "s").groupBy("s").agg(F.array_sort(F.collect_list("rep")).alias("ids"))    # at most RARE_DOCS
+        self.rare = written(ids.groupBy("ids").agg(F.count(F.lit(1)).alias("k")), "rare")
+        per = self.rare.select(F.explode("ids").alias("rep"), "k").groupBy("rep").agg(F.sum("k").alias("rare"))
+        facts = (sets.join(rows.select("rep").distinct(), "rep", "left_semi")
+                 .select("rep", F.size("shingles").cast("long").alias("n")).join(per, "rep", "left")
+                 .select("rep", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("frequent")))
+        self.facts = written(facts, "facts")
+        self.rows = rows.join(self.facts, "rep").where(F.col("frequent") * 100 >= F.col("n") * percent)
+
+    def to_centre(self, root) -> DataFrame:
+        """Pairs of members with the bucket's document that has most frequent shingles,
+        the one nearest to what the bucket has in common."""
+        rows = written(root(self.rows, "rep", "comp"), "open")
+        centre = rows.groupBy("key").agg(F.max(F.struct("frequent", "rep", "n", "comp")).alias("c"))
+        pairs = (rows.join(centre, "key").where("comp != c.comp").withColumnsRenamed({"n": "n_x"})
+                 .withColumn("n_y", F.col("c.n")).withColumn("other", F.col("c.rep")))
+        return pairs.where(_possible(F.least("frequent", "c.frequent"), self.percent)).select(*_ordered("rep", "other")).distinct()
+
+    def pairs(self, root) -> DataFrame:
+        """All pairs of different components of a bucket that the bound leaves."""
+        facts = root(self.facts, "rep", "comp")
+        x, y = (facts.select(*(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "frequent", "comp"))) for k in "xy")
+        two = self.rare.select("k", "ids", F.explode("ids").alias("rep_x"))
+        two = two.select("k", "rep_x", F.explode(F.filter("ids", lambda i: i > F.col("rep_x"))).alias("rep_y"))
+        sharing = (two.groupBy("rep_x", "rep_y")
+                   .agg(F.sum("k").alias("k")).join(x, "rep_x").join(y, "rep_y")
+                   .where("comp_x != comp_y").where(_possible(F.least("frequent_x", "frequent_y") + F.col("k"), self.percent)))
+
+        rows = root(self.rows, "rep", "comp")
+        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.max("frequent").alias("f"))
+        main = (sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"),
+                                         F.min("n").alias("n_y"), F.max("f").alias("f_y"))
+                .where("comps > 1").select("key", F.col("m.comp").alias("main"), "n_y", "f_y"))
+        # The best partner that the bucket may hold bounds every member of it.
+        rows = rows.join(main, "key").withColumnRenamed("n", "n_x")
+        most = F.least("frequent", "f_y")
+        rows = written(rows.withColumn("n_y", F.greatest("n_y", most)).where(_possible(most, self.percent))
+                       .select("key", "rep", "bands", "comp", "main", F.col("n_x").alias("n"), "frequent"), "open")
+        small, other = (r.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "bands", "n", "frequent", "comp")))
+                        for r, k in ((rows.where("comp != main"), "x"), (rows, "y")))
+        # A pair that meets in several buckets is made in one of them.
+        once = F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("key")
+        near = small.join(other, "key").where(
+            (F.col("comp_x") != F.col("comp_y")) & _possible(F.least("frequent_x", "frequent_y"), self.percent) & once)
+        return near.select(*_ordered("rep_x", "rep_y")).unionByName(sharing.select(*_ordered("rep_x", "rep_y"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept. Documents are linked
     if 100 * intersection >= ``percent`` * union of their sets of ``shingle`` words."""
@@ -212,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     rows = band_rows(percent / 100)
     all_rows = written(sketched(docs, shingle, rows, percent / 100), "sketches")
     real = all_rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # Rows that share a doc_id are one document, whatever their texts.
     twice = (real.select("doc_id", "digest").groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2"))
              .where("d1 != d2").select("doc_id"))
@@ -238,30 +314,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     own = (real.join(twice, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes, "digest")
            .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     edges = written(check.links(first).unionByName(own), "links")
-    root = components(edges)
-
-    def rooted(df: DataFrame, col: str, to: str) -> DataFrame:
-        r = root.select(F.col("node").alias(col), F.col("root").alias(to))
-        return df.join(r, col, "left").withColumn(to, F.coalesce(to, col))
-
-    apart = rooted(rooted(stars, "a", "ra"), "b", "rb").where("ra != rb").select("a", "b")
-    found = written(check.links(apart), "links")
-    edges = edges.unionByName(found)
-    root = written(components(edges), "roots")
-
-    # Buckets that still hold several components: every member outside the main one
-    # meets the other components of the bucket; centres have met everyone already.
-    placed = rooted(members, "rep", "comp")
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = (sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"))
-            .where("comps > 1 AND size > 3").select("key", F.col("m.comp").alias("main")))
-    open_rows = written(placed.join(main, "key").where("rep != c1 AND rep != c2").select("key", "rep", "comp", "main"), "open")
-    small = open_rows.where("comp != main").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    rest = (small.join(open_rows.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy")), "key")
-            .where("cx != cy").select(*_ordered("x", "y")).distinct())
-    rest = written(check.likely(rest), "rest")
-    found = written(check.links(rest), "links")
-    edges = edges.unionByName(found)
+
+    def rooted(links: DataFrame):
+        """Function (frame, id column, name): adds the component of the id."""
+        roots = written(components(links), "roots")
+
+        def of(df: DataFrame, col: str, to: str) -> DataFrame:
+            r = roots.select(F.col("node").alias(col), F.col("root").alias(to))
+            return df.join(r, col, "left").withColumn(to, F.coalesce(to, col))
+        return of
+
+    root = rooted(edges)
+    apart = root(root(stars, "a", "ra"), "b", "rb").where("ra != rb").select("a", "b")
+    edges = edges.unionByName(written(check.links(apart), "links"))
+    root = rooted(edges)
+
+    # Buckets that still hold several components; their centres have met everyone already.
+    torn = (root(members, "rep", "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
+            .where("lo != hi AND size > 3").select("key"))
+    bands = reps.select(F.col("doc_id").alias("rep"), "bands").dropDuplicates(["rep"])
+    rows = members.join(torn, "key", "left_semi").where("rep != c1 AND rep != c2").select("key", "rep").join(bands, "rep")
+    buckets = OpenBuckets(written(rows, "open"), sets, percent)
+    edges = edges.unionByName(written(check.links(written(check.likely(buckets.to_centre(root)), "stars")), "links"))
+    root = rooted(edges)
+    edges = edges.unionByName(written(check.links(written(check.likely(buckets.pairs(root)), "rest")), "links"))
     root = components(edges).withColumnRenamed("node", "rep")
 
     placed = (all_rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(root, "rep", "left")
