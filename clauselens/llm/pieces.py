@@ -16,8 +16,8 @@ add up.
 
 Scores are the model's piece scores; a character without a piece costs the lowest
 score less 10 (``UNKNOWN_PENALTY``) and is written as byte pieces if the model has
-them, else as the unknown piece. Ties go to the segmentation whose last piece is
-longest, then the one before it, and to earlier units. Models with identity
+them, else as the unknown piece. Of equally good best segmentations the one whose last
+piece is longest wins, then the one before it; further ties have a fixed order. Models with identity
 normalisation are supported (others are refused); the dummy prefix follows the model.
 
 Edge cases: null texts give null results, empty ones no pieces and score 0; text that
@@ -30,7 +30,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import operator
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ LONG_UNIT = 48
 TEXTS_AT_ONCE = 128
 MARK = "▁"
 
+_PRIORITY = operator.itemgetter(0, 1)
 _DIGIT = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -92,36 +95,42 @@ class Lattice:
         return self.unit.findall(MARK + marked if self.dummy_prefix else marked)
 
     def search(self, unit: str, n_best: int) -> list:
-        """Up to ``n_best`` (score, ids) of a unit, best first."""
-        n, pieces = len(unit), self.pieces
-        ending: list = [[] for _ in range(n + 1)]            # (start, score, id or None)
-        best = [float("-inf")] * (n + 1)
+        """Up to ``n_best`` (score, ids) of a unit, best first.
+
+        The heuristic is exact, so every entry of the agenda leads to a segmentation of
+        just its estimate, and the agenda never needs more entries than results are
+        missing: memory is the forward scores and ``n_best`` paths, however long the unit.
+        """
+        n, get, longest, unknown = len(unit), self.pieces.get, self.longest, (None, self.unknown_score)
+        best = array("d", [float("-inf")]) * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                hit = pieces.get(unit[i:j])
-                if hit is not None:
-                    single |= j == i + 1
-                    ending[j].append((i, hit[1], hit[0]))
-                    if best[i] + hit[1] > best[j]:
-                        best[j] = best[i] + hit[1]
-            if not single:
-                ending[i + 1].append((i, self.unknown_score, None))
-                best[i + 1] = max(best[i + 1], best[i] + self.unknown_score)
-        # Agenda: (-(score so far + exact best to here), lengths from the end, position, ...)
-        agenda, out, done = [(-best[n], (), n, 0.0, None)], [], [0] * (n + 1)
+            here = best[i]
+            for j in range(i + 1, min(n, i + longest) + 1):
+                hit = get(unit[i:j])
+                if hit is None:
+                    if j > i + 1:
+                        continue
+                    hit = unknown
+                if here + hit[1] > best[j]:
+                    best[j] = here + hit[1]
+        # Agenda: (-(score so far + best to here), order, position, score so far, pieces from the end)
+        agenda, order, out = [(-best[n], 0, n, 0.0, None)], 0, []
         while agenda and len(out) < n_best:
-            _, lengths, at, so_far, tail = heapq.heappop(agenda)
-            if done[at] >= n_best:           # n better ways already led here
-                continue
-            done[at] += 1
+            _, _, at, so_far, tail = agenda.pop(0)
             if not at:
                 out.append((so_far, self._ids(unit, tail)))
                 continue
-            for start, score, piece in ending[at]:
-                heapq.heappush(agenda, (-(so_far + score + best[start]), lengths + (start - at,), start,
-                                        so_far + score, (start, at, piece, tail)))
+            for start in range(at - 1, max(0, at - longest) - 1, -1):
+                hit = get(unit[start:at])
+                if hit is None:
+                    if start < at - 1:
+                        continue
+                    hit = unknown
+                order -= 1                   # of equal ones the newest first: the longest piece
+                agenda.append((-(so_far + hit[1] + best[start]), order, start, so_far + hit[1], (start, at, hit[0], tail)))
+            agenda.sort(key=_PRIORITY)
+            del agenda[n_best - len(out):]
         return out
 
     def _ids(self, unit: str, tail) -> list:
