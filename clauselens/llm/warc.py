@@ -169,13 +169,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     that its header gives. Records are split at the version line."""
     raw = spark.read.option("lineSep", CRLF * 2 + "WARC/1.1" + CRLF).text(path)
     text = F.regexp_replace("value", r"\A(WARC/1\.[01]\r\n)", "")
-    text = F.regexp_replace(text, r"\r\n\r\n\z", "")
     at = F.locate(CRLF * 2, text)
     rows = raw.where("length(trim(value)) > 0").select(F.substr(text, F.lit(1), at - 1).alias("head"), F.substr(text, at + 4).alias("block"))
     pair = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"),
                               F.trim(F.substr(x, F.locate(":", x) + 1)).alias("value"))
     rows = rows.select(F.transform(F.split("head", CRLF), pair).alias("headers"), "block")
+    # The last record of a file still has its two line breaks.
+    size = header_value("Content-Length").cast("long")
+    rows = rows.withColumn("block", F.when((F.octet_length("block") == size + 4) & F.endswith("block", F.lit(CRLF * 2)),
+                                           F.expr("left(block, length(block) - 4)")).otherwise(F.col("block")))
     return rows.select(header_value("WARC-Record-ID").alias("record_id"), header_value("WARC-Type").alias("record_type"),
                        header_value("WARC-Refers-To").alias("refers_to"), header_value("WARC-Target-URI").alias("target_uri"),
                        header_value("WARC-Date").alias("warc_date"), "headers", "block",
-                       (F.octet_length("block") == header_value("Content-Length").cast("long")).alias("complete"))
+                       (F.octet_length("block") == size).alias("complete"))
