@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
         classes, (real["doc_id"] == classes["rep"]) & (real["digest"] == classes["digest"]), "left_semi")
     keys = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     # Buckets with two or more different documents, and their members with two centres.
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("c1"), F.max("rep").alias("c2")).where("c1 != c2")
+    buckets = written(keys.groupBy("key").agg(F.min("rep").alias("c1"), F.max("rep").alias("c2")).where("c1 != c2"), "buckets")
     members = written(keys.join(buckets, "key").distinct(), "members")
 
     in_bucket = written(members.select("rep").distinct(), "reps")
