@@ -149,31 +149,31 @@ def fallback_law_candidate(text: Column) -> Column:
     return py_strip(F.regexp_extract(text, "(?i)" + LAW_FALLBACK_RX, 1), LAW_STRIP)
 
 
-def gazetteer_place(text: Column, places, prefix: int = P.PLACE_PREFIX_CHARS) -> Column:
-    """First known place name (whole word, exact case) in the first ``prefix`` chars."""
-    head = F.left(text, F.lit(prefix))
+def _head(text: Column, prefix: int | None) -> Column:
+    return text if prefix is None else F.left(text, F.lit(prefix))
+
+
+def gazetteer_place(text: Column, places, prefix: int | None = P.PLACE_PREFIX_CHARS) -> Column:
+    """First known place name (whole word, exact case); ``prefix`` limits the characters read."""
+    head = _head(text, prefix)
     alts = "|".join(places_by_length(places))
     rx = r"\b(" + alts + r")\b"
     return blank_to_null(F.regexp_extract(head, rx, 1))
 
 
-def fallback_party_names(text: Column, prefix: int = P.PARTY_PREFIX_CHARS,
-                         suffixes=P.CORPORATE_SUFFIXES, limit: int = 4) -> Column:
+def fallback_party_names(text: Column, prefix: int | None = P.PARTY_PREFIX_CHARS,
+                         suffixes=P.CORPORATE_SUFFIXES, limit: int = P.MAX_FALLBACK_PARTIES) -> Column:
     """X9 without the empty-to-NULL step (stage it, then test ``size``)."""
-    head = F.left(text, F.lit(prefix))
+    head = _head(text, prefix)
     names = F.transform(F.regexp_extract_all(head, F.lit(party_fallback_rx(suffixes)), 0),
                         lambda x: py_strip(x))
     return F.slice(F.array_distinct(F.filter(names, lambda x: F.length(x) >= 3)), 1, limit)
 
 
-def fallback_parties(text: Column, prefix: int = P.PARTY_PREFIX_CHARS,
-                     suffixes=P.CORPORATE_SUFFIXES, limit: int = 4) -> Column:
-    """Distinct company names (length >= 3) in the first ``prefix`` chars, first 4."""
-    head = F.left(text, F.lit(prefix))
-    names = F.transform(F.regexp_extract_all(head, F.lit(party_fallback_rx(suffixes)), 0),
-                        lambda x: py_strip(x))
-    names = F.array_distinct(F.filter(names, lambda x: F.length(x) >= 3))
-    names = F.slice(names, 1, limit)
+def fallback_parties(text: Column, prefix: int | None = P.PARTY_PREFIX_CHARS,
+                     suffixes=P.CORPORATE_SUFFIXES, limit: int = P.MAX_FALLBACK_PARTIES) -> Column:
+    """The first ``limit`` distinct company names (length >= 3)."""
+    names = fallback_party_names(text, prefix, suffixes, limit)
     return F.when(F.size(names) > 0, names)
 
 

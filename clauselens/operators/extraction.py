@@ -98,7 +98,7 @@ def _with_fallbacks(docs: DataFrame, policy: P.Policy, text_col: str, id_col: st
                                  py_strip(F.regexp_extract(pm, party_rx, 2), X.PARTY_STRIP))).alias("_r_parties"),
         X.span_from_probe(tt, F.col("_pt_s"), F.col("_pt_h"), X.PAYMENT_TAIL).alias("payment_terms"),
         X.span_from_probe(tt, F.col("_tc_s"), F.col("_tc_h"), X.TERMINATION_TAIL).alias("termination_clause"),
-        F.when(pm == "", X.fallback_party_names(tt)).alias("_fp_names"),
+        F.when(pm == "", X.fallback_party_names(tt, policy.party_prefix_chars, limit=policy.max_fallback_parties)).alias("_fp_names"),
         # Looser law clause, only where the rule found none (group never empty when found).
         F.when(F.col("_r_law").isNull(), F.regexp_extract(tt, "(?i)" + X.LAW_FALLBACK_RX, 1)).alias("_fb_g"),
     )
@@ -106,7 +106,7 @@ def _with_fallbacks(docs: DataFrame, policy: P.Policy, text_col: str, id_col: st
     stage3 = stage2.select(
         "*",
         F.when(fb != "", py_strip(fb, X.LAW_STRIP)).alias("_fb_cand"),
-        F.when(fb == "", X.gazetteer_place(tt, policy.places)).alias("_g_law"),
+        F.when(fb == "", X.gazetteer_place(tt, policy.places, policy.place_prefix_chars)).alias("_g_law"),
     )
     stage3 = stage3.select(
         "*",
@@ -143,12 +143,22 @@ def extract_record(extracted: DataFrame) -> DataFrame:
                             "_char_count", "_provenance")
 
 
-def confidence_gate(extracted: DataFrame, policy: P.Policy = P.current()) -> DataFrame:
-    """X11 per (doc, field): does the current value pass the gate?"""
-    checks = []
+def _gate_checks(policy: P.Policy) -> list:
+    """(field, passes) per schema field."""
+    out = []
     for f, kind in P.SCHEMA_FIELDS:
         c = F.col(f)
-        ok = (X.confident(c, policy.regex_confidence, policy.min_span_len) if kind == "span"
-              else X.present(c))
-        checks.append(F.struct(F.lit(f).alias("field"), F.coalesce(ok, F.lit(False)).alias("passes")))
+        ok = X.confident(c, policy.regex_confidence, policy.min_span_len) if kind == "span" else X.present(c)
+        out.append((f, F.coalesce(ok, F.lit(False))))
+    return out
+
+
+def gate_fields(policy: P.Policy = P.current()):
+    """X11 as a column: names of the fields that fail the gate."""
+    return F.array_compact(F.array(*[F.when(~ok, F.lit(f)) for f, ok in _gate_checks(policy)]))
+
+
+def confidence_gate(extracted: DataFrame, policy: P.Policy = P.current()) -> DataFrame:
+    """X11 per (doc, field): does the current value pass the gate?"""
+    checks = [F.struct(F.lit(f).alias("field"), ok.alias("passes")) for f, ok in _gate_checks(policy)]
     return extracted.select("doc_id", F.inline(F.array(*checks)))

@@ -20,8 +20,9 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .. import policy as P
@@ -73,48 +74,69 @@ def _lcs(a: str, b: str) -> int:
     return m - bin(v).count("1")
 
 
-def fuzzy_score_udf(hints):
-    """U4 as a vectorised UDF: max partial ratio of the hints over a lower-cased chunk."""
-    hints = list(hints)
+@pandas_udf(T.ArrayType(T.DoubleType()))
+def fuzzy_scores(hints: pd.Series, texts: pd.Series) -> pd.Series:
+    """U4 vectorised: per row the best partial ratio of the hints for each of its texts
+    (a null text scores 100: it holds a hint)."""
+    return pd.Series([[100.0 if t is None else max(partial_ratio(h, t.lower()) for h in hs) for t in ts]
+                      for hs, ts in zip(hints, texts)])
 
-    @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").str.lower().map(lambda t: max(partial_ratio(h, t) for h in hints))
 
-    return score
+# ------------------------------------------------------------------ C4-C6
 
+def _with_containment(hints):
+    def of(c):
+        held = CH.hint_contained(c["text"], hints) if hints else F.lit(False)
+        return F.struct(c["start"].alias("chunk_start"), c["text"].alias("chunk_text"), held.alias("contained"))
+    return of
 
-# ------------------------------------------------------------------ C4-C6
 
 def rank_chunks(docs: DataFrame, fields, policy: P.Policy = P.current(),
-                text_col: str = "text", keep: int = 5) -> DataFrame:
+                text_col: str = "text", keep: int | None = None) -> DataFrame:
     """Per (document, field) the top ``model_top_k_chunks`` chunks.
 
-    Prefilter by keyword score in-row (top ``keep``, stable); fuzzy re-rank
-    only chunks without a contained hint (contained = 100) via U4.
+    Prefilter by keyword score (top ``keep``, stable), then fuzzy re-rank, all inside the
+    row: nothing is shuffled. A chunk with a contained hint scores 100. The fuzzy UDF (U4)
+    is handed texts only for rows with several chunks, and of them the chunks without a
+    hint; elsewhere the order cannot depend on it and the score of such a chunk is 0. With a column
+    ``failing`` (names of fields) only these fields of a row are ranked.
     """
     hints = dict(policy.field_hints)
+    keep = policy.prefilter_chunks if keep is None else keep
+    wanted = "failing" in docs.columns
     chunks = CH.make_chunks(F.col(text_col), policy.chunk_size, policy.chunk_overlap)
-    parts = []
+    if wanted:
+        chunks = F.when(F.size("failing") > 0, chunks)
+    x = docs.select("doc_id", *(["failing"] if wanted else []), chunks.alias("chunks"))
+    entries = []
     for f in fields:
         h = hints.get(f, ())
-        top = CH.prefilter_top(chunks, h, keep) if h else chunks
-        x = docs.select("doc_id", F.lit(f).alias("field"), F.posexplode(top).alias("pre_rank", "c"))
-        x = x.select("doc_id", "field", "pre_rank", F.col("c.start").alias("chunk_start"),
-                     F.col("c.text").alias("chunk_text"))
-        if h:
-            fuzzy = F.when(CH.hint_contained(F.col("chunk_text"), h), F.lit(100.0)).otherwise(
-                fuzzy_score_udf(h)(F.col("chunk_text")))
-        else:
-            fuzzy = F.lit(0.0)
-        parts.append(x.select("*", fuzzy.alias("fuzzy")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # Groups hold at most ``keep`` chunks, so this window sorts tiny groups.
-    w = Window.partitionBy("doc_id", "field").orderBy(F.desc("fuzzy"), F.asc("pre_rank"))
-    return (out.select("*", F.row_number().over(w).alias("rank"))
-            .where(F.col("rank") <= policy.model_top_k_chunks))
+        top = CH.prefilter_top(F.col("chunks"), h, keep) if h else F.col("chunks")
+        scored = F.transform(top, _with_containment(h))
+        entry = F.struct(F.lit(f).alias("field"), F.array(*map(F.lit, h)).cast("array<string>").alias("hints"), scored.alias("top"))
+        entries.append(F.when(F.array_contains("failing", f), entry) if wanted else entry)
+    # explode_outer: with explode an inferred filter would compute all of this twice
+    t = (x.select("doc_id", F.explode_outer(F.array_compact(F.array(*entries))).alias("t")).where("t IS NOT NULL")
+         .select("doc_id", "t.*"))
+    unclear = (F.size("hints") > 0) & (F.size("top") > 1) & F.exists("top", lambda c: ~c["contained"])
+    misses = F.when(unclear, F.transform("top", lambda c: F.when(~c["contained"], c["chunk_text"])))
+    scored = t.withColumn("scores", fuzzy_scores("hints", F.coalesce(misses, F.array().cast("array<string>"))))
+    order = F.array_sort(F.transform("top", lambda c, i: F.struct(
+        (-F.coalesce(F.get("scores", i), F.when(c["contained"], 100.0).otherwise(0.0))).alias("minus"), i.alias("pre_rank"),
+        c["chunk_start"].alias("chunk_start"), c["chunk_text"].alias("chunk_text"))))
+    best = F.slice(order, 1, policy.model_top_k_chunks)
+    return (scored.select("doc_id", "field", F.posexplode(best).alias("pos", "c"))
+            .select("doc_id", "field", F.col("c.pre_rank").alias("pre_rank"), F.col("c.chunk_start").alias("chunk_start"),
+                    F.col("c.chunk_text").alias("chunk_text"), (-F.col("c.minus")).alias("fuzzy"), (F.col("pos") + 1).alias("rank")))
+
+
+def failing_fields(extracted: DataFrame, policy: P.Policy = P.current(), text_col: str = "text") -> DataFrame:
+    """``(doc_id, text, failing)``: the fields of every row that fail the confidence gate,
+    from the row alone (no join back to the texts). Rows without any are not filtered here:
+    the filter would be pushed below the extraction and run all its patterns again."""
+    from .extraction import gate_fields
+
+    return extracted.select("doc_id", F.col(text_col).alias("text"), gate_fields(policy).alias("failing"))
 
 
 # ------------------------------------------------------------------ C7-C9
@@ -123,7 +145,8 @@ def call_extractor(requests: DataFrame, extractor_factory: Callable[[], Callable
                    partitions: int | None = None) -> DataFrame:
     """One extractor per task over Arrow batches; any failure -> no candidate.
 
-    ``partitions`` bounds how many tasks call the model at once.
+    Tasks follow the data; a limit on calls at a time belongs into the extractor.
+    ``partitions`` deals the requests to that many tasks instead.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = extractor_factory()
@@ -171,19 +194,17 @@ def apply_model(extracted: DataFrame, extractor_factory, policy: P.Policy = P.cu
                 partitions: int | None = None, memo: "ModelMemo | None" = None) -> DataFrame:
     """X10 last step: fields failing the gate take the best model candidate.
 
-    ``extracted`` must carry ``text`` (``extract_fields(..., keep_text=True)``).
+    ``extracted`` must carry ``text`` (``extract_fields(..., keep_text=True)``); the result
+    does not, so that no text is shuffled to its answers.
     """
-    from .extraction import SCHEMA_KEYS, confidence_gate
+    from .extraction import SCHEMA_KEYS
 
-    gate = confidence_gate(extracted, policy).where(~F.col("passes"))
-    todo = extracted.select("doc_id", "text").join(gate.select("doc_id").distinct(), "doc_id", "left_semi")
-    ranked = rank_chunks(todo, SCHEMA_KEYS, policy).join(gate.select("doc_id", "field"), ["doc_id", "field"],
-                                                          "left_semi")
+    ranked = rank_chunks(failing_fields(extracted, policy), SCHEMA_KEYS, policy)
     cands = memo.lookup_or_call(ranked, extractor_factory, partitions) if memo else \
         call_extractor(ranked, extractor_factory, partitions)
     best = best_candidate(globalize_offsets(cands))
     piv = best.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "best"))).alias("m"))
-    out = extracted.join(piv, "doc_id", "left")
+    out = extracted.drop("text").join(piv, "doc_id", "left")
     cols = []
     for f, kind in P.SCHEMA_FIELDS:
         b = F.col("m")[f]
@@ -201,7 +222,7 @@ def apply_model(extracted: DataFrame, extractor_factory, policy: P.Policy = P.cu
         for f, _ in P.SCHEMA_FIELDS]), lambda x: x.isNotNull()))
     prov = F.map_concat(F.map_filter("_provenance", lambda k, v: ~F.array_contains(F.map_keys(prov_add), k)),
                         prov_add)
-    rest = [c for c in extracted.columns if c not in SCHEMA_KEYS and c != "_provenance"]
+    rest = [c for c in out.columns if c not in SCHEMA_KEYS and c not in ("_provenance", "m")]
     return out.select(*rest, *cols, prov.alias("_provenance"))
 
 
@@ -210,36 +231,35 @@ def apply_model(extracted: DataFrame, extractor_factory, policy: P.Policy = P.cu
 class ModelMemo:
     """Answers keyed by (model, field, sha256(chunk)) in a Parquet table.
 
-    Requests already answered are removed with a left-anti join before the
-    call; new answers are appended after it.
+    Requests already answered are removed with a left-anti join, equal chunks are asked
+    once, and every answer is appended, empty ones too (text NULL), so nothing is asked
+    twice. Memoised offsets are relative to the chunk.
     """
 
+    SCHEMA = "model string, field string, chunk_sha string, text string, start int, end int, confidence double"
+
     def __init__(self, spark, path: str, model: str):
         self.spark, self.path, self.model = spark, path, model
 
-    def _table(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except Exception:  # noqa: BLE001 - no memo yet
-            return None
+    def _table(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
     def lookup_or_call(self, ranked: DataFrame, extractor_factory, partitions=None) -> DataFrame:
-        req = ranked.select("*", F.sha2(F.col("chunk_text"), 256).alias("chunk_sha"),
-                            F.lit(self.model).alias("model"))
-        memo = self._table()
-        if memo is not None:
-            todo = req.join(memo.select("model", "field", "chunk_sha"), ["model", "field", "chunk_sha"], "left_anti")
-        else:
-            todo = req
-        fresh = call_extractor(todo.drop("chunk_sha", "model"), extractor_factory, partitions)
-        answers = fresh.select(F.lit(self.model).alias("model"), "field", "chunk_sha", "chunk_start",
-                               "text", "start", "end", "confidence")
-        answers.write.mode("append").parquet(self.path)
-        table = self.spark.read.parquet(self.path).dropDuplicates(["model", "field", "chunk_sha"])
-        hits = req.join(table.select("model", "field", "chunk_sha", F.col("chunk_start").alias("memo_start"),
-                                     "text", "start", "end", "confidence"), ["model", "field", "chunk_sha"])
-        # Memoised offsets are relative to the chunk they came from.
-        shift = F.col("chunk_start") - F.col("memo_start")
+        key = ["model", "field", "chunk_sha"]
+        req = ranked.select("*", F.sha2(F.col("chunk_text"), 256).alias("chunk_sha"), F.lit(self.model).alias("model"))
+        todo = req.join(self._table().select(*key), key, "left_anti").dropDuplicates(key)
+        # Asked at offset 0, so answers are relative to the chunk.
+        fresh = call_extractor(todo.withColumn("chunk_start", F.lit(0)), extractor_factory, partitions)
+        asked = todo.select(*key).join(fresh.select("field", "chunk_sha", "text", "start", "end", "confidence"),
+                                       ["field", "chunk_sha"], "left")
+        asked.select(*key, "text", "start", "end", "confidence").write.mode("append").parquet(self.path)
+        table = self._table().dropDuplicates(key)
+        hits = req.drop("chunk_text").join(table.where("text IS NOT NULL"), key)
+        shift = F.col("chunk_start")
         return hits.select("doc_id", "field", F.col("rank").cast("int").alias("rank"),
                            F.col("chunk_start").cast("int").alias("chunk_start"), "chunk_sha", "text",
                            (F.col("start") + shift).cast("int").alias("start"),
@@ -271,35 +291,46 @@ def apply_recognizer(extracted: DataFrame, recognizer_factory: Callable[[], Call
                      policy: P.Policy = P.current()) -> DataFrame:
     """Entity-based fallback for rows whose rules found no parties or law.
 
-    Only those rows (and only the first 4000 characters) go to Python; the
-    recogniser is created once per task.
+    Only those rows go to Python, in place (nothing is shuffled; rows that need no
+    recogniser pass through as they are); the recogniser is created once per task.
+    Fields it fills have the provenance source ``entity``.
     """
-    places = set(policy.places)
+    places, limit, prefix = set(policy.places), policy.max_fallback_parties, policy.place_prefix_chars
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rec = recognizer_factory()
         for b in batches:
             parties, laws = [], []
-            for t in b["head"].fillna(""):
-                ents = rec(t) or []
+            for t in b.pop("text").fillna(""):
+                ents = rec(t[:prefix]) or []
                 names, seen = [], set()
                 for text, label in ents:
                     text = text.strip()
                     if label in ("ORG", "PERSON") and len(text) >= 3 and text not in seen:
                         names.append(text)
                         seen.add(text)
-                parties.append(names[:4] or None)
+                parties.append(names[:limit] or None)
                 laws.append(next((x for x, lab in ents if lab in ("GPE", "LOC") and x in places), None))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ent_parties": parties, "ent_law": laws})
-
-    need = extracted.where(F.col("parties").isNull() | F.col("governing_law").isNull())
-    req = need.select("doc_id", F.left("text", F.lit(policy.extra.get("entity_prefix", P.PLACE_PREFIX_CHARS)))
-                      .alias("head"))
-    ents = req.mapInPandas(run, "doc_id string, ent_parties array<string>, ent_law string")
-    j = extracted.join(ents, "doc_id", "left")
-    return j.select(*[c for c in extracted.columns if c not in ("parties", "governing_law")],
-                    F.coalesce("parties", "ent_parties").alias("parties"),
-                    F.coalesce("governing_law", "ent_law").alias("governing_law"))
+            yield b.assign(ent_parties=parties, ent_law=laws)
+
+    keep = [c for c in extracted.columns if c != "text"]
+    lacking = F.col("parties").isNull() | F.col("governing_law").isNull()
+    none = extracted.select(*keep, F.lit(None).cast("array<string>").alias("ent_parties"), F.lit(None).cast("string").alias("ent_law"))
+    # Rows travel as JSON of their other columns, which the hook passes on untouched.
+    packed = extracted.where(lacking).select(F.to_json(F.struct(*keep)).alias("row"), "text")
+    found = packed.mapInPandas(run, "row string, ent_parties array<string>, ent_law string")
+    found = found.select(F.from_json("row", extracted.select(*keep).schema).alias("r"), "ent_parties", "ent_law").select("r.*", "ent_parties", "ent_law")
+    both = none.where(~lacking).unionByName(found)
+    filled = F.map_from_entries(F.array_compact(F.array(*[
+        F.when(F.col(c).isNull() & F.col(e).isNotNull(), F.struct(F.lit(c), F.struct(
+            F.lit("entity").alias("source"), F.lit(None).cast("double").alias("confidence"))))
+        for c, e in (("parties", "ent_parties"), ("governing_law", "ent_law"))])))
+    cols = [c for c in keep if c not in ("parties", "governing_law", "_provenance")]
+    out = [F.coalesce("parties", "ent_parties").alias("parties"), F.coalesce("governing_law", "ent_law").alias("governing_law")]
+    if "_provenance" in keep:
+        out.append(F.map_concat(F.map_filter("_provenance", lambda k, v: ~F.array_contains(F.map_keys(filled), k)),
+                                filled).alias("_provenance"))
+    return both.select(*cols, *out)
 
 
 def regex_recognizer():
@@ -310,7 +341,7 @@ def regex_recognizer():
     gpe = re.compile(r"\b(" + "|".join(X.places_by_length(P.US_STATES + P.COUNTRIES)) + r")\b")
 
     def rec(text: str):
-        ents = [(m.group(0), "ORG") for m in org.finditer(text[:P.PARTY_PREFIX_CHARS])]
+        ents = [(m.group(0), "ORG") for m in org.finditer(text)]
         ents += [(m.group(1), "GPE") for m in gpe.finditer(text)]
         return ents
 

@@ -215,10 +215,10 @@ FROM contracts"""
     c["fb_raw"] = f"""
 SELECT *,
   CASE WHEN r_parties IS NULL THEN list_filter(list_transform(
-      regexp_extract_all(left(text, {P.PARTY_PREFIX_CHARS}), {fbp}), lambda x: {strip('x')}),
+      regexp_extract_all(text, {fbp}), lambda x: {strip('x')}),
       lambda x: length(x) >= 3) END AS fp_all,
   CASE WHEN r_law IS NULL AND fb_hit THEN nullif(coalesce({canonical_place(cand, p.places)}, {cand}), '') END AS f_law,
-  CASE WHEN r_law IS NULL AND NOT fb_hit THEN nullif(regexp_extract(left(text, {P.PLACE_PREFIX_CHARS}), {gaz}, 1), '') END AS g_law
+  CASE WHEN r_law IS NULL AND NOT fb_hit THEN nullif(regexp_extract(text, {gaz}, 1), '') END AS g_law
 FROM rules"""
     deps["fb_raw"] = ["rules"]
 

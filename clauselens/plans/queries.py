@@ -131,9 +131,9 @@ _GAZ = O.rx("", r"\b(" + "|".join(X.places_by_length(P.US_STATES + P.COUNTRIES))
 
 
 @query("governing_law_gazetteer", f"""
-SELECT doc_id, nullif(regexp_extract(left(text, {P.PLACE_PREFIX_CHARS}), {_GAZ}, 1), '') AS place FROM documents""")
+SELECT doc_id, nullif(regexp_extract(text, {_GAZ}, 1), '') AS place FROM documents""")
 def governing_law_gazetteer(spark, sf):
-    """First known place name in the first 4000 characters of each document."""
+    """First known place name of each document."""
     from ..sources.tables import documents
     return documents(spark, sf).select(
         "doc_id", X.gazetteer_place(F.col("text"), P.US_STATES + P.COUNTRIES).alias("place"))
@@ -146,10 +146,10 @@ _FBP = O.q(X.party_fallback_rx())
 SELECT doc_id, CASE WHEN len(d) > 0 THEN array_to_string(d[1:4], ' ; ') END AS parties,
   CAST(least(len(d), 4) AS BIGINT) AS n_parties
 FROM (SELECT doc_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS d FROM (
-  SELECT doc_id, list_filter(list_transform(regexp_extract_all(left(text, {P.PARTY_PREFIX_CHARS}), {_FBP}),
+  SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, {_FBP}),
     lambda x: {O.strip('x')}), lambda x: length(x) >= 3) AS a FROM documents))""")
 def party_fallback(spark, sf):
-    """Company names with a corporate suffix in the first 3000 characters of each document."""
+    """Company names with a corporate suffix in each document."""
     from ..sources.tables import documents
     names = X.fallback_parties(F.col("text"))
     return documents(spark, sf).select(
@@ -509,7 +509,7 @@ def kpi_top_law(spark, sf):
 
 
 @query("kpi_party_avg_risk", W(["per_doc"], """
-SELECT party_key, round(a, 6) AS avg_risk_score FROM (SELECT party_key, avg(risk_score) AS a FROM per_doc
+SELECT party_key, round(a, 6) AS avg_risk_score FROM (SELECT party_key, round(avg(risk_score), 6) AS a FROM per_doc
 WHERE party_key IS NOT NULL GROUP BY 1 ORDER BY a DESC, party_key LIMIT 10)"""))
 def kpi_party_avg_risk(spark, sf):
     """K5."""
@@ -1146,23 +1146,20 @@ def chunk_fuzzy_rank(spark, sf):
 @query("chunk_topk")
 def chunk_topk(spark, sf):
     """The chunk sent to the model per (contract, field) whose rule value fails the gate."""
-    from ..operators.extraction import confidence_gate
-    e = _unresolved_contracts(spark, sf)
-    gate = confidence_gate(e).where(~F.col("passes"))
-    r = MD.rank_chunks(e.join(gate.select("doc_id").distinct(), "doc_id", "left_semi"), [f for f, _ in P.SCHEMA_FIELDS])
-    return r.join(gate.select("doc_id", "field"), ["doc_id", "field"], "left_semi").select(
+    return _ranked_requests(spark, sf).select(
         "doc_id", "field", "rank", "chunk_start", F.length("chunk_text").alias("chunk_chars"))
 
 
+def _ranked_requests(spark, sf):
+    """The chunks sent to the model: of each contract the fields that fail the gate."""
+    return MD.rank_chunks(MD.failing_fields(_unresolved_contracts(spark, sf)), [f for f, _ in P.SCHEMA_FIELDS])
+
+
 @query("model_extract")
 def model_extract(spark, sf):
     """Model candidates (deterministic stub model) for fields failing the gate."""
-    from ..operators.extraction import confidence_gate
-    e = _unresolved_contracts(spark, sf)
-    gate = confidence_gate(e).where(~F.col("passes"))
-    r = MD.rank_chunks(e.join(gate.select("doc_id").distinct(), "doc_id", "left_semi"), [f for f, _ in P.SCHEMA_FIELDS])
-    r = r.join(gate.select("doc_id", "field"), ["doc_id", "field"], "left_semi")
-    return MD.call_extractor(r, MD.keyword_stub_extractor, partitions=P.MODEL_CONCURRENCY)
+    r = _ranked_requests(spark, sf)
+    return MD.call_extractor(r, MD.keyword_stub_extractor)
 
 
 @query("globalize_offsets")
@@ -1181,7 +1178,7 @@ def best_candidate(spark, sf):
 @query("extract_with_model")
 def extract_with_model(spark, sf):
     """X10 complete: rule -> fallback -> model cascade with provenance (stub model)."""
-    m = MD.apply_model(_unresolved_contracts(spark, sf), MD.keyword_stub_extractor, partitions=P.MODEL_CONCURRENCY)
+    m = MD.apply_model(_unresolved_contracts(spark, sf), MD.keyword_stub_extractor)
     return m.select("doc_id", F.col("payment_terms.text").alias("payment_terms"),
                     F.col("termination_clause.text").alias("termination_clause"), "governing_law",
                     F.to_json("_provenance").alias("provenance"))
@@ -1190,11 +1187,7 @@ def extract_with_model(spark, sf):
 @query("model_memo")
 def model_memo(spark, sf):
     """Model answers memoised in a Parquet table; the second pass is served from it."""
-    from ..operators.extraction import confidence_gate
-    e = _unresolved_contracts(spark, sf)
-    gate = confidence_gate(e).where(~F.col("passes"))
-    r = MD.rank_chunks(e.join(gate.select("doc_id").distinct(), "doc_id", "left_semi"), [f for f, _ in P.SCHEMA_FIELDS])
-    r = r.join(gate.select("doc_id", "field"), ["doc_id", "field"], "left_semi")
+    r = _ranked_requests(spark, sf)
     memo = MD.ModelMemo(spark, FS.work_dir(spark, "memo"), "stub")
     memo.lookup_or_call(r, MD.keyword_stub_extractor).count()
     return memo.lookup_or_call(r, MD.keyword_stub_extractor)

@@ -91,8 +91,12 @@ CHUNK_SIZE = 2000
 CHUNK_OVERLAP = 150
 RULE_SPAN_CONFIDENCE = 0.72
 SPAN_WINDOW = 600
-PARTY_PREFIX_CHARS = 3000
-PLACE_PREFIX_CHARS = 4000
+# Characters the fallbacks read; None = the whole text (a recogniser hook may want less).
+PARTY_PREFIX_CHARS = None
+PLACE_PREFIX_CHARS = None
+# Names kept from a fallback or recogniser, chunks kept by the keyword prefilter.
+MAX_FALLBACK_PARTIES = 4
+PREFILTER_CHUNKS = 5
 
 # Chunk hints per field, in field order.
 FIELD_HINTS = (
@@ -156,6 +160,10 @@ class Policy:
     use_fallback: bool = True
     field_hints: tuple = FIELD_HINTS
     places: tuple = US_STATES + COUNTRIES
+    party_prefix_chars: int | None = PARTY_PREFIX_CHARS
+    place_prefix_chars: int | None = PLACE_PREFIX_CHARS
+    max_fallback_parties: int = MAX_FALLBACK_PARTIES
+    prefilter_chunks: int = PREFILTER_CHUNKS
     # options that deviate from the original on purpose (all off by default)
     full_amounts: bool = False
     canonical_law: bool = False

@@ -75,13 +75,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a scratch one only if none is configured."""
+    """The session's checkpoint folder. A local master may do without one (tests, trials)
+    and gets a scratch folder; on a cluster a folder that all executors share must be set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="clauselens-ckpt-")
     sc.setCheckpointDir(path)
     return path
@@ -100,15 +103,3 @@ def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
-
-
-def scratch_dir(prefix: str = "clauselens-") -> str:
-    """A fresh local folder for tests and examples (never used on a cluster)."""
-    return tempfile.mkdtemp(prefix=prefix)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

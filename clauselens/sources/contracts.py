@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import read_table
+from .tables import read_table, spread
 
 # Placeholders {orders} {customer} {nation} are filled with DataFrames in Spark
 # and with view names in the DuckDB oracle.
@@ -50,7 +50,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)`` for every order of the given scale factor."""
     return spark.sql(
         CONTRACTS_SQL,
-        orders=read_table(spark, sf_dir, "orders"),
+        orders=spread(read_table(spark, sf_dir, "orders"), "o_orderkey"),
         customer=read_table(spark, sf_dir, "customer"),
         nation=read_table(spark, sf_dir, "nation"),
     )

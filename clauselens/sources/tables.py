@@ -23,9 +23,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by hash to at least the session's parallelism if its scan has fewer
+    splits (a small file is one split and would keep one core busy); otherwise as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *by)
+
+
 def documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """The ``documents`` table; ``lang`` is pushed down to the scan."""
     df = read_table(spark, sf_dir, "documents")
     if lang is not None:
         df = df.where(df["lang"] == lang)
-    return df
+    return spread(df, "doc_id")

@@ -52,3 +52,18 @@ def test_question_rules(spark):
                               "doc_id string, t string").select(
         "doc_id", EX.termination_notice_days(F.col("t")).alias("termination_notice_days"))
     assert ids(EX.question_filter(t, "Termination with less than 61 days?")) == ["x"]
+
+
+def test_question_names_a_place_anywhere(spark):
+    df = spark.createDataFrame([("a", "State of California"), ("b", "Texas"), ("c", None)], "doc_id string, governing_law string")
+    for q in ("List contracts governed by California law with high risk", "Show California contracts governed by state law",
+              "Which are governed by the laws of the State of California?", "Is California the governing law of any?"):
+        assert ids(EX.question_filter(df, q)) == ["a"], q
+    assert ids(EX.question_filter(df, "governed by Texas or California law")) == ["a", "b"]
+    assert ids(EX.question_filter(df, "Termination in less than 30 days")) == ["a", "b", "c"]   # no such column: all
+
+
+def test_filter_options_are_sorted(spark):
+    df = spark.createDataFrame([("low", "b", "p"), ("high", "a", None), ("low", "", "p")], "risk_bucket string, governing_law string, party_key string")
+    assert [tuple(r) for r in EX.filter_options(df).collect()] == [
+        ("governing_law", "a"), ("governing_law", "b"), ("party_key", "p"), ("risk_bucket", "high"), ("risk_bucket", "low")]

@@ -82,3 +82,47 @@ def test_flat_name(spark):
     df = spark.createDataFrame([("Part_I/Transport/file.pdf",), ("a.b.pdf",), (".hidden",)], "p string")
     assert [r[0] for r in df.select(FS.flat_name(F.col("p"))).collect()] == \
         ["Part_I__Transport__file.txt", "a.b.txt", ".hidden.txt"]
+
+
+def test_rank_chunks_in_the_row_and_fuzzy_only_where_order_matters(spark):
+    from clauselens.policy import current
+
+    p = current().with_(chunk_size=40, chunk_overlap=0, model_top_k_chunks=2)
+    docs = spark.createDataFrame([("a", "x" * 40 + "the invoce is duu now, that is all here " + "pay net 30" + "y" * 30, ["payment_terms"]),
+                                  ("b", "short", ["payment_terms", "governing_law"]), ("c", "net 30", [])],
+                                 "doc_id string, text string, failing array<string>")
+    got = [tuple(r) for r in MD.rank_chunks(docs, ["payment_terms", "governing_law"], p)
+           .select("doc_id", "field", "rank", "chunk_start", "fuzzy").orderBy("doc_id", "field", "rank").collect()]
+    assert [g[:4] for g in got] == [("a", "payment_terms", 1, 80), ("a", "payment_terms", 2, 40), ("b", "governing_law", 1, 0), ("b", "payment_terms", 1, 0)]
+    assert got[0][4] == 100.0 and 50 < got[1][4] < 100 and got[2][4] == 0.0
+    plan = MD.rank_chunks(docs, ["payment_terms"], p)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_memo_keeps_negatives_and_asks_equal_chunks_once(spark, tmp_path):
+    req = spark.createDataFrame([(d, "payment_terms", 1, 0, t) for d, t in (("a", "no hint"), ("b", "no hint"), ("c", "payment due."))],
+                                "doc_id string, field string, rank int, chunk_start int, chunk_text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting():
+        inner = MD.keyword_stub_extractor()
+
+        def f(*a):
+            calls.add(1)
+            return None if a[3] == "no hint" else inner(*a)
+        return f
+
+    memo = MD.ModelMemo(spark, str(tmp_path / "memo"), "stub")
+    assert [r["doc_id"] for r in memo.lookup_or_call(req, counting).collect()] == ["c"]
+    assert calls.value == 2
+    assert [r["doc_id"] for r in memo.lookup_or_call(req, counting).collect()] == ["c"] and calls.value == 2
+
+
+def test_recognizer_sets_provenance_and_passes_other_rows_through(spark):
+    from clauselens.policy import current
+    docs = spark.createDataFrame([("a", "Offered by Gamma Holdings Inc. in Texas."),
+                                  ("b", "Agreement between X Corp and Y Ltd. This is governed by the laws of Ohio. " * 3)], "doc_id string, text string")
+    e = extract_fields(docs, current().with_(use_fallback=False), keep_text=True)
+    r = {x["doc_id"]: x for x in MD.apply_recognizer(e, MD.regex_recognizer).collect()}
+    assert r["a"]["_provenance"]["parties"]["source"] == "entity" and r["a"]["_provenance"]["governing_law"]["source"] == "entity"
+    assert len(r) == 2 and (r["b"]["_provenance"] or {}).get("parties", {"source": "regex"})["source"] != "entity"
