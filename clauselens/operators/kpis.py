@@ -113,3 +113,14 @@ def portfolio_summary(strict_docs: DataFrame) -> DataFrame:
         F.count_if(F.col("risk_bucket") == "medium").alias("medium"),
         F.count_if(F.col("risk_bucket") == "high").alias("high"),
     )
+
+
+def strict_documents(strict_docs: DataFrame) -> DataFrame:
+    """All documents, riskiest first."""
+    return strict_docs.select("doc_id", "risk_score", "risk_bucket").orderBy(F.desc("risk_score"), "doc_id")
+
+
+def strict_high_risk(strict_docs: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` riskiest documents of the high bucket with their issues."""
+    return (strict_docs.where(F.col("risk_bucket") == "high").select("doc_id", "risk_score", "_strict_issues")
+            .orderBy(F.desc("risk_score"), "doc_id").limit(n))

@@ -1,5 +1,6 @@
-"""Markdown reports (S15, F5): every section is limited on the cluster and
-only those bounded rows are collected and formatted on the driver."""
+"""Markdown reports (S15, F5). Sections whose length follows the corpus are DataFrames of
+lines, sorted and written by Spark; only top-k sections are formatted on the driver. The
+headings and line formats are fixed values (the original's)."""
 
 from __future__ import annotations
 
@@ -12,40 +13,81 @@ from . import crossref, findings as FN, kpis as K
 LIST_ROWS = P.REPORT_EVIDENCE_ROWS
 
 
-def _rows(df: DataFrame, order, n: int):
-    return df.orderBy(*order).limit(n).collect()
+LINES = "part int, number double, name string, line string"
 
 
-def crossref_markdown(xr: DataFrame, n: int = LIST_ROWS) -> list:
-    """The cross-reference report; each list shows at most ``n`` entries."""
+def text_lines(spark, lines, part: int) -> DataFrame:
+    """Fixed lines of a report as a part of it."""
+    return spark.createDataFrame([(part, float(i), "", s) for i, s in enumerate(lines)], LINES)
+
+
+def _part(df: DataFrame, part: int, number, name, line) -> DataFrame:
+    return df.select(F.lit(part).alias("part"), F.lit(number).cast("double").alias("number") if not hasattr(number, "cast")
+                     else number.cast("double").alias("number"), name.alias("name"), line.alias("line"))
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """The lines sorted for writing (a distributed range sort)."""
+    return lines.orderBy("part", "number", "name")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One markdown text folder; part files are in the order of the report."""
+    in_order(lines).select("line").write.mode("overwrite").text(path)
+
+
+def crossref_lines(xr: DataFrame, n: int = LIST_ROWS) -> DataFrame:
+    """The cross-reference report as lines ``(part, number, name, line)``.
+
+    All governing laws and all parties are listed (their number grows with the corpus, so
+    the lines stay distributed); each of the four evidence lists shows at most ``n``.
+    """
+    spark = xr.sparkSession
     head = crossref.crossref_summary(xr).collect()[0]
-    lines = ["# Cross-Reference Report (Validator)\n",
-             f"- Documents: **{head['doc_count']}**",
-             f"- Median Net Days: **{head['net_days_median']}**",
-             f"- Top Governing Law: **{head['governing_law_top']}**\n",
-             "## Governing Law Distribution\n"]
-    laws = _rows(crossref.governing_law_counts(xr), [F.desc("contracts"), "first_doc"], n)
-    lines += [f"- {r['governing_law']}: {r['contracts']}" for r in laws] or ["_none_"]
-    lines += ["", "## Per-Party Contract Counts\n"]
-    parties = _rows(crossref.party_contract_counts(xr), [F.desc("contracts"), "party_key"], n)
-    lines += [f"- {r['party_key']}: {r['contracts']}" for r in parties] or ["_none_"]
+    laws, parties = crossref.governing_law_counts(xr), crossref.party_contract_counts(xr)
     ev = crossref.crossref_evidence(xr)
+    out = [text_lines(spark, [
+        "# Cross-Reference Report (Validator)\n", f"- Documents: **{head['doc_count']}**",
+        f"- Median Net Days: **{head['net_days_median']}**", f"- Top Governing Law: **{head['governing_law_top']}**\n",
+        "## Governing Law Distribution\n", *(["_none_"] if laws.isEmpty() else [])], 0)]
+    out.append(_part(laws, 1, -F.col("contracts"), F.col("first_doc"),
+                     F.concat(F.lit("- "), "governing_law", F.lit(": "), F.col("contracts").cast("string"))))
+    out.append(text_lines(spark, ["", "## Per-Party Contract Counts\n", *(["_none_"] if parties.isEmpty() else [])], 2))
+    out.append(_part(parties, 3, -F.col("contracts"), F.col("party_key"),
+                     F.concat(F.lit("- "), "party_key", F.lit(": "), F.col("contracts").cast("string"))))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    doc = F.concat(F.lit("- "), F.col("doc_id"), F.lit(": "))
     sections = (
         ("Inconsistent Governing Law (by Party)", "inconsistent_governing_law",
-         lambda r: f"- {r['doc_id']}: {r['party_key']} — value={r['value']} vs party_mode={r['reference']}"),
+         F.concat(doc, text("party_key"), F.lit(" — value="), text("value"), F.lit(" vs party_mode="), text("reference"))),
         ("Net Days Outliers", "net_days_outliers",
-         lambda r: f"- {r['doc_id']}: {r['value']} (median {r['reference']})" if r["reason"] == "far_from_median"
-         else f"- {r['doc_id']}: {r['value']} ({r['reason']})"),
+         F.concat(doc, text("value"), F.when(F.col("reason") == "far_from_median", F.concat(F.lit(" (median "), text("reference"), F.lit(")")))
+                  .otherwise(F.concat(F.lit(" ("), text("reason"), F.lit(")"))))),
         ("Net Days Drift vs Party Median", "net_days_party_drifts",
-         lambda r: f"- {r['doc_id']}: {r['party_key']} — {r['value']} vs party_median {r['reference']}"),
-        ("High Payment Amount Warnings", "amount_high_warnings",
-         lambda r: f"- {r['doc_id']}: amount={r['value']}"),
+         F.concat(doc, text("party_key"), F.lit(" — "), text("value"), F.lit(" vs party_median "), text("reference"))),
+        ("High Payment Amount Warnings", "amount_high_warnings", F.concat(doc, F.lit("amount="), text("value"))),
     )
-    for title, sec, fmt in sections:
-        lines += ["", f"## {title}\n"]
-        rows = _rows(ev.where(F.col("section") == sec), ["doc_id", "issue_pos"], n)
-        lines += [fmt(r) for r in rows] or ["_none_"]
-    return lines + [""]
+    for k, (title, sec, line) in enumerate(sections):
+        rows = ev.where(F.col("section") == sec).orderBy("doc_id", "issue_pos").limit(n)
+        out.append(text_lines(spark, ["", f"## {title}\n", *(["_none_"] if rows.isEmpty() else [])], 4 + 2 * k))
+        out.append(_part(rows, 5 + 2 * k, 0, F.concat("doc_id", F.lit(" "), F.lpad(F.col("issue_pos").cast("string"), 6, "0")), line))
+    out.append(text_lines(spark, [""], 4 + 2 * len(sections)))
+    whole = out[0]
+    for o in out[1:]:
+        whole = whole.unionByName(o)
+    return whole
+
+
+def summary_markdown(per_doc: DataFrame, sentences: DataFrame) -> list:
+    """The analyst's summary: KPIs and the extractive sentences (``TOP_K`` of them)."""
+    nd = K.kpi_net_days(per_doc).collect()[0]
+    avg = K.kpi_avg_risk(per_doc).collect()[0]["avg_risk_score"]
+    buckets = {r["risk_bucket"]: r["documents"] for r in K.kpi_risk_buckets(per_doc).collect()}
+    lines = ["# Corpus Summary (Analyst)\n", f"- Documents: **{per_doc.count()}**", f"- Average Risk Score: **{avg}**",
+             f"- Risk Buckets: **{buckets}**", f"- Net Days (Median / P90): **{nd['net_days_median']} / {nd['net_days_p90']}**\n",
+             "## Key Risk Sentences\n"]
+    rows = sentences.collect()                     # top-k sentences
+    return lines + ([f"- {r['sentence']}" for r in rows] or ["_none_"]) + [""]
 
 
 def analysis_markdown(per_doc: DataFrame, fnd: DataFrame, policy: P.Policy = P.current()) -> list:
@@ -57,7 +99,8 @@ def analysis_markdown(per_doc: DataFrame, fnd: DataFrame, policy: P.Policy = P.c
     lines = ["# Contract Analysis Report (Reporter)\n", "## Portfolio KPIs\n",
              f"- **Average Risk Score:** {avg}", f"- **Risk Buckets:** {buckets}",
              f"- **Net Days (Median / P90):** {nd['net_days_median']} / {nd['net_days_p90']}",
-             f"- **Top Governing Law:** {laws}", "",
+             f"- **Top Governing Law:** {laws}",
+             *[f"- **Highest Avg Risk:** {r['party_key']} ({r['avg_risk_score']})" for r in K.kpi_party_avg_risk(per_doc, 1).collect()], "",
              f"## Top {policy.top_risky_docs} Risky Documents\n"]
     cols = ["doc_id", "risk_score", "risk_bucket", "issues_count", "payment_net_days", "governing_law"]
     lines += FN.markdown_table(per_doc, cols, [F.desc("risk_score"), "doc_id"], policy.top_risky_docs)

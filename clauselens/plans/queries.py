@@ -971,6 +971,27 @@ def issue_type_counts(spark, sf):
         "issue_type", F.col("issues").cast("bigint").alias("issues"))
 
 
+_HIGH_SQL = """SELECT doc_id, CAST(score AS BIGINT) AS risk_score, CAST(n_missing + notice
+  + (CASE WHEN len(pt_terms) > 0 THEN 1 ELSE 0 END) + (CASE WHEN len(tc_terms) > 0 THEN 1 ELSE 0 END)
+  + (CASE WHEN redacted THEN 1 ELSE 0 END) AS BIGINT) AS n_issues
+FROM s_scored WHERE score >= 8 ORDER BY score DESC, doc_id LIMIT 10"""
+
+
+@query("strict_documents", _strict_sql(f"""
+SELECT doc_id, CAST(score AS BIGINT) AS risk_score, {O.bucket('score', 4.0, 8.0)} AS risk_bucket
+FROM s_scored ORDER BY risk_score DESC, doc_id"""))
+def strict_documents(spark, sf):
+    """All documents by strict risk."""
+    return K.strict_documents(_strict(spark, sf))
+
+
+@query("strict_high_risk", _strict_sql(_HIGH_SQL))
+def strict_high_risk(spark, sf):
+    """The ten riskiest documents of the high bucket, with how many issues they have."""
+    h = K.strict_high_risk(_strict(spark, sf))
+    return h.select("doc_id", "risk_score", F.size("_strict_issues").cast("bigint").alias("n_issues"))
+
+
 # ========================================================== sources / sinks
 
 from ..operators import model as MD  # noqa: E402
@@ -1117,10 +1138,12 @@ def scan_artifacts(spark, sf):
 
 @query("report_lines")
 def report_lines(spark, sf):
-    """The cross-reference and analysis reports as markdown lines (bounded sections)."""
+    """The cross-reference, analysis and summary reports as lines with their place."""
     p = pf(spark, sf)
-    lines = RP.crossref_markdown(p.validated) + RP.analysis_markdown(p.per_doc, FN.findings(p.validated))
-    return spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "line_no int, line string")
+    summary = TM.corpus_summary(_contract_sentences(spark, sf))
+    lines = RP.crossref_lines(p.validated)
+    more = RP.text_lines(spark, RP.analysis_markdown(p.per_doc, FN.findings(p.validated)) + RP.summary_markdown(p.per_doc, summary), 100)
+    return lines.unionByName(more)
 
 
 @query("kpi_document")

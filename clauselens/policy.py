@@ -207,3 +207,48 @@ def strict() -> Policy:
         approved_laws=US_STATES + COUNTRIES,
         strict_ambiguity_terms=STRICT_AMBIGUITY_TERMS,
     )
+
+
+def from_rules(validation: dict | None = None, analysis: dict | None = None, extraction: dict | None = None,
+               base: Policy | None = None) -> Policy:
+    """A policy from the three rules documents; keys that are absent keep the
+    ``base`` value. Unknown keys are ignored, as the original does."""
+    v, a, x = validation or {}, analysis or {}, extraction or {}
+    std, out, xref = (v.get(k, {}) for k in ("standards", "corpus_outliers", "cross_reference"))
+    base = base or current()
+    given = {
+        "required_fields": tuple(v["required_fields"]) if "required_fields" in v else None,
+        "ambiguity_terms": tuple(v["ambiguity_terms"]) if "ambiguity_terms" in v else None,
+        "net_days_standard": std.get("net_days_standard"),
+        "max_net_days": std.get("max_net_days"),
+        "amount_upper_warn": std.get("amount_upper_warn"),
+        "net_days_pct_from_median": out.get("net_days_pct_from_median"),
+        "check_party_law_consistency": xref.get("check_per_party_governing_law_consistency"),
+        "per_party_net_days_tolerance": xref.get("per_party_net_days_tolerance"),
+        "weights": tuple({**base.weight_map, **a["weights"]}.items()) if "weights" in a else None,
+        "buckets": tuple({**dict(base.buckets), **a["risk_buckets"]}.items()) if "risk_buckets" in a else None,
+        "score_cap": a.get("caps", {}).get("max_risk_score_per_doc"),
+        "top_k_summary": a.get("top_k_summary_sentences"),
+        "risk_keywords": tuple(a["risk_keywords"]) if "risk_keywords" in a else None,
+        "regex_confidence": x.get("regex_confidence"),
+        "min_span_len": x.get("min_span_len"),
+        "model_top_k_chunks": x.get("llm_top_k_chunks"),
+        "chunk_size": x.get("chunk_size"),
+        "chunk_overlap": x.get("chunk_overlap"),
+    }
+    return base.with_(**{k: val for k, val in given.items() if val is not None})
+
+
+def load_rules(spark, folder: str, base: Policy | None = None, validation: str = "validationrules.json",
+               analysis: str = "analystrules.json", extraction: str = "extractor.llm.json") -> Policy:
+    """``from_rules`` over the JSON files of a folder that Spark can read; a file that
+    is absent leaves its defaults."""
+    import json
+
+    def read(name):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return json.loads(spark.read.option("wholetext", True).text(path.toString()).first()[0])
+
+    return from_rules(read(validation), read(analysis), read(extraction), base)
