@@ -354,9 +354,9 @@ def drop_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     gone = result.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     twice = result.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.col("doc_id").alias("twice_id"))
-    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     if twice.isEmpty():
         return left
-    once = left.join(twice, F.col("doc_id") == F.col("twice_id"), "left_anti")
-    more = left.join(twice, F.col("doc_id") == F.col("twice_id"), "left_semi").dropDuplicates(["doc_id"])
+    once = left.join(twice, left["doc_id"] == twice["twice_id"], "left_anti")
+    more = left.join(twice, left["doc_id"] == twice["twice_id"], "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(more)
