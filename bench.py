@@ -37,6 +37,7 @@ HEADLINE = (
     "strict_risk_score",
     "apply_filters",
     "findings_semi_join",
+    "model_extract",
 )
 
 

@@ -42,10 +42,13 @@ class Portfolio:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, policy: P.Policy = P.current()) -> "Portfolio":
-        """One shared instance per (session, scale dir, policy)."""
+        """One shared instance per (session, scale dir, policy); an instance over another
+        folder or policy releases what the one before kept."""
         key = (spark.sparkContext.applicationId, id(spark), sf_dir, policy.name, policy)
         pf = _CACHE.get(key)
         if pf is None:
+            for old in list(_CACHE):
+                _CACHE.pop(old).release()
             pf = _CACHE[key] = cls(spark, sf_dir, policy)
         return pf
 
@@ -72,6 +75,9 @@ class Portfolio:
         return risk.per_doc_metrics(self.validated, self.policy)
 
     def release(self) -> None:
-        for name in ("first_pass", "validated"):
-            if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
+        """Give back what is cached; frames made from it stay valid and recompute."""
+        alive = self.spark.sparkContext._jsc is not None
+        for name in ("first_pass", "validated", "extracted", "per_doc"):
+            df = self.__dict__.pop(name, None)
+            if df is not None and alive and name in ("first_pass", "validated"):
+                df.unpersist()
