@@ -32,6 +32,7 @@ SAMPLE_ROWS = 6000
 EPOCHS = 150
 RATE = 0.5
 PENALTY = 1e-5
+WINDOW_WORDS = 200
 EM_ROUNDS = 200
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
@@ -42,6 +43,20 @@ _SHAPE = bytes(0x58 if 0x41 <= c <= 0x5A else 0x78 if 0x61 <= c <= 0x7A or c >=
                else c for c in range(256))
 
 
+def variety(words: np.ndarray) -> float:
+    """Mean share of distinct words over all consecutive windows of ``WINDOW_WORDS``
+    words; what is left at the end counts with the words before it as a full window.
+    Variety falls with length, so it is taken of as many words everywhere."""
+    n = len(words)
+    if n <= WINDOW_WORDS:
+        return len(np.unique(words)) / n
+    parts = words[:n // WINDOW_WORDS * WINDOW_WORDS].reshape(-1, WINDOW_WORDS)
+    if n % WINDOW_WORDS:
+        parts = np.concatenate([parts, words[None, -WINDOW_WORDS:]])
+    parts = np.sort(parts, 1)
+    return float((1 + (parts[:, 1:] != parts[:, :-1]).sum(1)).mean() / WINDOW_WORDS)
+
+
 class Text:
     """What the labellers and the features need of one text."""
 
@@ -71,8 +86,7 @@ class Text:
         if n >= 3:
             _, inverse, count = np.unique(shingle_hashes(self.words, 3), return_inverse=True, return_counts=True)
             self.repeated = float((count[inverse] > 1).mean())
-        part = self.words[:200]                # variety falls with length, so of as many words everywhere
-        self.variety = len(np.unique(part)) / len(part)
+        self.variety = variety(self.words)
 
 
 #: Labellers: name -> (vote, condition). Each votes one way or abstains.

@@ -28,6 +28,21 @@ def test_votes_round_trip():
     assert len(v) == len(M.LABELLERS) and set(v.tolist()) <= {0, 1, 2} and (v == M.BAD).any()
 
 
+def test_variety_is_of_the_whole_text():
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(5000)]
+    normal, few = " ".join(words), " ".join(rng.choice(words[:6], 4000))
+    alone = M.Text(" ".join(words[:150] + words[:50]).encode())
+    assert alone.variety == 0.75
+    holds = M.LABELLERS["little variety"][1]
+    tail = M.Text(f"{' '.join(words[:250])} {few}".encode())
+    assert tail.variety < 0.2 and holds(tail)
+    opening = M.Text(f"{' '.join(rng.choice(words[:6], 220))} {normal}".encode())
+    assert opening.variety > 0.9 and not holds(opening)
+    # The last window is a full one: 201 words are two windows.
+    assert M.Text(" ".join(["a"] * 200 + ["b"]).encode()).variety == (1 / 200 + 2 / 200) / 2
+
+
 def test_rows(spark, docs, empty):
     out = M.classify(docs).collect()
     by = {}
