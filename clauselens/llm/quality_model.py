@@ -7,8 +7,8 @@ probabilities per labeller and class is fitted by expectation-maximisation on th
 vote patterns of all documents, counted by pattern (at most 3 ** labellers groups).
 Its posterior labels train a linear scorer on hashed features (whole words, word-edge
 shapes and repetition levels, ``DIMENSIONS`` buckets) by logistic regression on a
-bounded sample of documents (``SAMPLE_ROWS``, chosen by text hash); every document is
-then scored on its whole text.
+bounded sample of distinct texts (the ``SAMPLE_ROWS`` smallest text hashes, each text
+once, however many copies it has); every document is then scored on its whole text.
 
 No label of the ``labels`` table is used; tests hold the result against them.
 
@@ -200,6 +200,15 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip((self.w[bucket] * value).sum() + self.b, -50, 50))))
 
 
+def sampled(docs: DataFrame, sample_rows: int) -> DataFrame:
+    """``(h, text)``: the rows whose text is among the ``sample_rows`` distinct non-empty
+    texts with the smallest hashes, the same ones on every run. Copies do not move the
+    bound, and with a non-empty text the sample is not empty."""
+    hashed = docs.where("length(text) > 0").select(F.xxhash64("text").alias("h"), "text")
+    chosen = hashed.select("h").distinct().orderBy("h").limit(sample_rows)
+    return hashed.join(F.broadcast(chosen), "h", "left_semi")
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS):
     """(LabelModel, Scorer); (None, None) without a document."""
 
@@ -216,21 +225,25 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS):
         return None, None
     model = LabelModel(np.array([r["pattern"] for r in seen]), np.array([r["n"] for r in seen], np.float64))
 
+    some = sampled(docs, sample_rows)
+
     def sample(batches):
+        seen = set()                            # at most sample_rows hashes: a task passes each text on once
         for b in batches:
             out = []
-            for t in texts(b):
+            for h, t in zip(b.column("h").to_pylist(), texts(b)):
+                if h in seen:
+                    continue
+                seen.add(h)
                 x = Text(t)
                 bucket, value = features(x)
-                out.append((votes(x), bucket.astype(np.int32).tobytes(), value.astype(np.float32).tobytes()))
-            cols = zip(*out) if out else ((), (), ())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()))],
-                                  names=["pattern", "bucket", "value"])
-
-    wide = 1 << 40
-    share = min(wide, wide * sample_rows // total)          # about sample_rows texts, the same ones on every run
-    some = docs.select("text").where("length(text) > 0").where(F.pmod(F.xxhash64("text"), F.lit(wide)) < share)
-    rows = map_batches(some, sample, "pattern long, bucket binary, value binary").toPandas()
+                out.append((h, votes(x), bucket.astype(np.int32).tobytes(), value.astype(np.float32).tobytes()))
+            cols = zip(*out) if out else ((),) * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                                  names=["h", "pattern", "bucket", "value"])
+
+    rows = (map_batches(some, sample, "h long, pattern long, bucket binary, value binary")
+            .dropDuplicates(["h"]).drop("h").toPandas())                       # at most sample_rows rows
     rows = rows.sort_values(["pattern", "bucket", "value"])
     data = [(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64))
             for b, v in zip(rows["bucket"], rows["value"])]

@@ -58,6 +58,25 @@ def test_rows(spark, docs, empty):
     assert [r["kept"] for r in M.classify(blank).collect()] == [False, False]
 
 
+def test_sample_is_of_distinct_texts_bounded_and_never_empty(spark):
+    rows = [(i, "the one text of nearly all rows. " * 9) for i in range(3000)] + [(9000 + i, f"text {i} of its own.") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert M.sampled(df, 10).select("text").distinct().count() == 10
+    assert M.sampled(df, 100).select("text").distinct().count() == 41
+    fitted = []
+    for n in (1, 10, 100):
+        with_rows = M.Scorer
+        M.Scorer = lambda data, target: fitted.append(len(data)) or with_rows(data, target)
+        try:
+            assert M.fit(df, n)[1] is not None
+        finally:
+            M.Scorer = with_rows
+    assert fitted == [1, 10, 41]
+    # Far more rows than the sample, two texts: the hash range of a share by rows would often hold none.
+    two = spark.range(4000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'SPAM!! NOW!!', 'a plain text of some words.') AS text")
+    assert M.classify(two, 2).where("score IS NULL").count() == 0
+
+
 def test_agrees_with_labels_that_it_never_saw(spark):
     sf = "/root/testdata/sf0.01"
     r = M.classify(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
