@@ -63,15 +63,16 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, slice_chars: int =
     each; languages with more training rows come first."""
     rows = docs.select("doc_id", "text", "lang").where(
         "doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").where(~held_out("doc_id"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    h = F.xxhash64("text")
+    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(h).alias("texts")).collect()
+    sizes = {r["lang"]: r["n"] for r in seen}
     # The texts with the smallest hashes: a share of the hash range that holds about four
-    # times the sample, then the exact cut. With few texts the slices are longer.
+    # times the sample of distinct texts, then the exact cut. With few texts the slices are longer.
     wide, share, length = 1 << 40, F.lit(0), F.lit(0)
-    for lang, n in sizes.items():
-        here = F.col("lang") == lang
+    for r in seen:
+        here, n = F.col("lang") == r["lang"], r["texts"]
         share = F.when(here, F.lit(min(wide, -(-wide * 4 * sample_texts // n)))).otherwise(share)
         length = F.when(here, F.lit(max(slice_chars, slice_chars * sample_texts // n))).otherwise(length)
-    h = F.xxhash64("text")
     start = F.pmod(h, F.greatest(F.length("text") - length, F.lit(1))).cast("int") + 1
     some = (rows.where(F.pmod(h, F.lit(wide)) < share)
             .select("lang", F.pmod(h, F.lit(wide)).alias("h"), F.substr("text", start, length).alias("piece"))

@@ -43,6 +43,20 @@ def test_narrow_margin_is_rejected_and_ties_go_to_the_larger_language():
     assert lang == "en" and score > 0
 
 
+def test_copies_do_not_shrink_a_dictionary(spark):
+    def rows_of(lang, texts, copies, start):
+        ids = (i for i in range(start, start + 10 ** 6) if zlib.crc32(str(i).encode()) % 4 != 2)
+        return [(next(ids), t, lang) for t in texts for _ in range(copies)]
+
+    few = [f"wort{chr(97 + i)} " * 4 for i in range(3)]
+    many = [f"mot{chr(97 + i // 26)}{chr(97 + i % 26)} " * 4 for i in range(60)]
+    rows = rows_of("de", few, 1000, 0) + rows_of("fr", many, 50, 10 ** 6) + rows_of("en", ["one text"], 1, 3 * 10 ** 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.learn(df, sample_texts=10, slice_chars=600)
+    assert list(got) == ["de", "fr", "en"] or list(got) == ["fr", "de", "en"]
+    assert len(set(got["de"].split())) == 3 and len(got["fr"].split()) == 10
+
+
 def test_filter_and_empty(spark, docs, empty):
     kept = L.keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() == L.identify(docs).where("NOT rejected").count()
