@@ -114,10 +114,9 @@ def estimate(a: np.ndarray, b: np.ndarray):
     return np.clip(j, 0, 1), n
 
 
-def sketched(docs: DataFrame, shingle: int, rows: int, threshold: float) -> DataFrame:
+def sketched(docs: DataFrame, shingle: int, rows: int, percent: int) -> DataFrame:
     """``(doc_id, n_shingles, digest, bands, sketch)`` per document row. Sets that no
-    different set can reach the threshold with (n < t / (1 - t)) have no bands."""
-    least = threshold / (1 - threshold)
+    different set can reach the threshold with (100 * n < percent * (n + 1)) have no bands."""
 
     def run(batches):
         for b in batches:
@@ -126,7 +125,7 @@ def sketched(docs: DataFrame, shingle: int, rows: int, threshold: float) -> Data
                 s = shingle_set(t, shingle)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                if len(s) >= least:
+                if len(s) * (100 - percent) >= percent:
                     k = sketch_of(s)
                     bands.append(band_keys(k, rows).view(np.int64))
                     sketch.append(k.tobytes())
@@ -218,8 +217,9 @@ def _possible(most, percent: int):
 class OpenBuckets:
     """The rows of buckets that hold several components, and what bounds their links.
 
-    In buckets of up to ``WIDE_BUCKET`` members pairs are few and made directly. Among the
-    documents of wider buckets a shingle is rare if at most ``RARE_DOCS`` have it. Pairs
+    With buckets of up to ``WIDE_BUCKET`` members only, pairs are few and made directly. Else
+    a shingle is rare if at most ``RARE_DOCS`` of the members of all open buckets have it,
+    wide or not, so the bound holds for any pair that meets in one of them. Pairs
     that share a rare shingle come from these shingles (at most 66 pairs each). All other
     pairs share frequent shingles only, so their intersection is at most the smaller
     number of frequent shingles. In a large group of near copies the edits of a copy are
@@ -231,8 +231,10 @@ class OpenBuckets:
         """``rows``: (key, rep, bands)."""
         self.percent = percent
         wide = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WIDE_BUCKET).select("key")
-        wide = rows.join(wide, "key", "left_semi").select("rep").distinct()
-        has = written(sets.join(wide, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")), "shingles")
+        members = rows.select("rep").distinct()
+        if wide.isEmpty():
+            members = members.limit(0)
+        has = written(sets.join(members, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")), "shingles")
         few = has.groupBy("s").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") <= RARE_DOCS).select("s")
         ids = has.join(few, "s").groupBy("s").agg(F.array_sort(F.collect_list("rep")).alias("ids"))    # at most RARE_DOCS
         self.rare = written(ids.groupBy("ids").agg(F.count(F.lit(1)).alias("k")), "rare")
@@ -286,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     if 100 * intersection >= ``percent`` * union of their sets of ``shingle`` words."""
     prepare(docs.sparkSession)
     rows = band_rows(percent / 100)
-    all_rows = written(sketched(docs, shingle, rows, percent / 100), "sketches")
+    all_rows = written(sketched(docs, shingle, rows, percent), "sketches")
     real = all_rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # Rows that share a doc_id are one document, whatever their texts.

@@ -62,6 +62,30 @@ def test_wide_buckets_take_the_bound_and_lose_no_link(spark, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+def test_pair_of_a_wide_and_a_narrow_member_is_made(spark):
+    # Document 0 is in a wide bucket and shares a small one with 500, which is in no wide one.
+    common = list(range(10 ** 6, 10 ** 6 + 100))
+    sets = {0: common, 500: common[:95] + [1], **{i: list(range(1000 * i, 1000 * i + 100)) for i in range(1, 80)}}
+    sets |= {i: list(range(1000 * i, 1000 * i + 100)) for i in (600, 601)}
+    rows = [(7, i, [7, 8] if i == 0 else [7]) for i in range(80)]
+    rows += [(8, 0, [7, 8]), (8, 500, [8]), (8, 600, [8]), (8, 601, [8])]
+    assert len([r for r in rows if r[0] == 7]) > N.WIDE_BUCKET >= 4
+    N.prepare(spark)
+    buckets = N.OpenBuckets(spark.createDataFrame(rows, "key long, rep long, bands array<long>"),
+                            spark.createDataFrame(list(sets.items()), "rep long, shingles array<long>"), 85)
+    got = {(r["a"], r["b"]) for r in buckets.pairs(lambda df, col, to: df.withColumn(to, N.F.col(col))).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b
+              and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    assert linked == {(0, 500)} and linked <= got
+
+
+def test_smallest_sets_that_can_be_linked(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i")]          # 4 and 5 shingles of five words: 4 of 5 shared
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(df, 5, 80).collect()}
+    assert got == brute(rows, 5, 80) == {1: 1, 2: 1}
+
+
 def test_edge_rows(spark, docs):
     rows = [(d, t) for d, t, _ in X.documents()]
     out = N.near_duplicates(docs).collect()
