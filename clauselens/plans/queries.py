@@ -1064,12 +1064,13 @@ def ingest_error_split(spark, sf):
 
 
 def _pages_as_files(spark, sf) -> str:
-    """Write every page as one HTML file under <lang>/ (derived input for S3)."""
+    """Write every page as one HTML file under its url's first folder (derived input for
+    S3); pages without one go to Spark's default partition folder."""
     from ..sources.tables import read_table
     root = FS.work_dir(spark, "pages")
     p = read_table(spark, sf, "pages").select(
         F.regexp_extract(FS.url_path(F.col("url")), "^/([^/]+)/", 1).alias("part"), "html")
-    p.where(F.col("part") != "").write.option("maxRecordsPerFile", 1).partitionBy("part").text(root)
+    p.write.option("maxRecordsPerFile", 1).partitionBy("part").text(root)
     return root
 
 
@@ -1078,8 +1079,8 @@ def ingest_files(spark, sf):
     """Binary-file ingest of the pages written as files, with the
     HTML converter hook; ``(doc_id, source_path, chars, error)``."""
     root = _pages_as_files(spark, sf)
-    parts = ["part=en", "part=fr", "part=de", "part=es", "part=missing"]
-    conv = FS.ingest(spark, root, parts, FS.html_converter, glob="*.txt")
+    parts = [p for p in FS.folders(spark, root) if p.startswith("part=")]
+    conv = FS.ingest(spark, root, [*parts, "part-missing"], FS.html_converter, glob="*.txt")
     return conv.select("doc_id", "source_path", F.length("text").alias("chars"), "error")
 
 

@@ -14,6 +14,7 @@ a cluster), never a machine-local folder.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -79,27 +80,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def folders(spark: SparkSession, path: str) -> list:
+    """Names of the folders directly under a path, sorted."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
 def ingest(spark: SparkSession, root: str, parts, converter_factory: Callable[[], Callable],
            glob: str = "*.pdf") -> DataFrame:
     """S3: convert every matching file under the chosen parts; missing parts
     are skipped; fails when nothing is found. Output ``CONVERTED`` rows."""
-    frames = []
-    for part in parts:
-        d = os.path.join(root, part)
-        if not path_exists(spark, d):
-            continue
-        frames.append(spark.read.format("binaryFile").option("pathGlobFilter", glob)
-                      .option("recursiveFileLookup", "true").load(d)
-                      .select("path", "content", F.lit(part).alias("part")))
-    if not frames:
+    found = [d for d in (os.path.join(root, part) for part in parts) if path_exists(spark, d)]
+    if not found:
         raise FileNotFoundError(f"no input parts found under {root}")
-    files = frames[0]
-    for f in frames[1:]:
-        files = files.unionByName(f)
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(found).select("path", "content"))
     if files.limit(1).count() == 0:
         raise FileNotFoundError(f"no {glob} files found under {root}")
     # Path relative to the root, starting with the part folder.
-    rel = F.regexp_extract("path", "/((?:" + "|".join(parts) + ")/.*)$", 1)
+    rel = F.regexp_extract("path", "/((?:" + "|".join(re.escape(part) for part in parts) + ")/.*)$", 1)
     named = files.select(flat_name(rel).alias("doc_id"), F.col("path").alias("source_path"), "content")
     return convert(named, converter_factory)
 
@@ -146,8 +146,6 @@ def html_to_text(html: Column) -> Column:
 
 def html_converter():
     """Converter hook for HTML bytes (used when pages arrive as files)."""
-    import re
-
     drop = re.compile(r"<script\b.*?</script>|<style\b.*?</style>|<[^>]+>", re.I | re.S)
 
     def conv(content: bytes):
