@@ -29,12 +29,12 @@ class Element:
 
 
 def _names(attributes: str) -> tuple:
-    """Words of class, id and role, without digits."""
+    """Tokens of class, id and role, their letter runs joined by hyphens, without digits."""
     if not attributes or "=" not in attributes:
         return ()
     out: list = []
     for _, v in _ATTRIBUTE.findall(attributes):
-        out += _NAME.findall(v.lower())
+        out += filter(None, ("-".join(_NAME.findall(token)) for token in v.lower().split()))
     return tuple(dict.fromkeys(out))
 
 

@@ -57,10 +57,27 @@ EXCLUDED_NAMES = frozenset(
     "subscription signup login search pagination pager toolbar complementary contentinfo dialog".split())
 
 
+#: Parts of a name: before a word they say that it is meant of another element, after
+#: it they say nothing more; and a header of these is the article's own.
+OTHERS = frozenset("no not non has have with without hide hides hidden show shows".split())
+PLACES = frozenset("container wrapper wrap box list area section block slot inner item items left right top bottom links".split())
+OWN = frozenset("article entry post story content page main".split())
+
+
+def _names_excluded(names) -> bool:
+    """Whether a class, id or role is an excluded word, or ends with one."""
+    for name in names:
+        parts = name.split("-")
+        while len(parts) > 1 and parts[-1] in PLACES:
+            parts.pop()
+        if parts[-1] in EXCLUDED_NAMES and OTHERS.isdisjoint(parts) and not (
+                parts[-1] == "header" and not OWN.isdisjoint(parts)):
+            return True
+    return False
+
+
 def excluded(e: Element) -> bool:
-    return e.tag in EXCLUDED_TAGS or (bool(e.names) and not EXCLUDED_NAMES.isdisjoint(e.names)
-                                      and e.tag not in ("article", "main", "body", "html")) \
-        or (e.tag == "article" and not EXCLUDED_NAMES.isdisjoint(e.names))
+    return e.tag in EXCLUDED_TAGS or (e.tag not in ("main", "body", "html") and _names_excluded(e.names))
 
 
 # An item of a wrapper is a list [kind, key, optional, repeated, body]:
@@ -159,22 +176,37 @@ def page_items(root: Element) -> list:
     return of(root, False, 0)
 
 
-def article_path(items: list) -> list:
-    """Keys from the page down to the element that holds the article."""
+def article_path(items: list, lift: bool = True) -> list:
+    """Keys from the page down to the element that holds the article. With ``lift``,
+    names do not exclude what holds a semantic element with more text than the best
+    element else, nor, where nothing else has text, what holds most of the slots' text."""
+    path, weight, semantic = _path(items, excluded)
+    if semantic or not lift:
+        return path
+    by_tag = lambda e: e.tag in EXCLUDED_TAGS
+    other, more, semantic = _path(items, by_tag)
+    if semantic and more > weight:
+        return other
+    return path or _path(items, by_tag, slots=True)[0]
+
+
+def _path(items: list, skip, slots: bool = False) -> tuple:
+    """(path, its unlinked characters, whether it is semantic)"""
     semantic: list = []
     weights: list = []
 
     def usable(key: str) -> bool:
         tag, *names = key.split(".")
         e = Element(tag, tuple(names))
-        return not excluded(e)
+        return not skip(e)
 
     def walk(seq: list, path: list) -> tuple:
         """(plain, linked) characters of usable texts directly in blocks below."""
         plain = linked = 0
         for kind, key, _, _, body in seq:
             if kind == "t":
-                plain, linked = plain + body[1], linked + body[2]
+                if not slots or body[0] is None:
+                    plain, linked = plain + body[1], linked + body[2]
             elif kind == "g":
                 p, k = walk(body, path)
                 plain, linked = plain + p, linked + k
@@ -182,7 +214,7 @@ def article_path(items: list) -> list:
                 here = path + [key]
                 p, k = walk(body, here)
                 tag = key.split(".")[0]
-                if tag in ("article", "main") or "main" in key.split(".")[1:]:
+                if tag in ("article", "main") or "main" in key.replace("-", ".").split(".")[1:]:
                     semantic.append((tag == "article", p, here))
                 weights.append((p - 2 * k, len(here), here))
                 plain, linked = plain + p, linked + k
@@ -190,20 +222,21 @@ def article_path(items: list) -> list:
 
     walk(items, [])
     if semantic:
-        return max(semantic, key=lambda s: (s[0], s[1], [-ord(c) for c in "/".join(s[2])]))[2]
+        best = max(semantic, key=lambda s: (s[0], s[1], [-ord(c) for c in "/".join(s[2])]))
+        return best[2], best[1], True
     if not weights:
-        return []
+        return [], 0, False
     # The deepest element that still has nearly all of the best unlinked text.
     top = max(w for w, _, _ in weights)
     good = [(d, h) for w, d, h in weights if w > 0 and w >= 0.8 * top and h[-1].split(".")[0] not in ("p", "b", "span", "h1")]
-    return max(good, key=lambda x: (x[0], x[1]))[1] if good else []
+    return (max(good, key=lambda x: (x[0], x[1]))[1], top, False) if good else ([], 0, False)
 
 
 def find(root: Element, path: list) -> list:
-    """The elements on a path, in page order, outside excluded ones."""
+    """The elements on a path, in page order."""
     level = [root]
     for key in path:
-        level = [c for e in level for c in e.children if not isinstance(c, str) and c.key == key and not excluded(c)]
+        level = [c for e in level for c in e.children if not isinstance(c, str) and c.key == key]
     return level
 
 
@@ -212,8 +245,8 @@ def main_text(html: str | None, path: list | None) -> str:
     root = parse(html)
     regions = find(root, path) if path else []
     if not regions:
-        regions = find(root, article_path(page_items(root)))
-    return "\n".join(t for e in (regions or [root]) for t in blocks(e, excluded))
+        regions = find(root, article_path(page_items(root), not path))
+    return "\n".join(t for e in (regions or [root]) for t in blocks(e, lambda x: x is not e and excluded(x)))
 
 
 def _folded(batches):

@@ -48,6 +48,19 @@ def test_main_text_by_host_wrapper(spark):
     assert W.extract(df.limit(0)).count() == 0
 
 
+def test_names_that_only_mention_an_excluded_word_keep_the_article():
+    article = "<article><div class='article-header'><h1>Title</h1></div><p>Text</p><div class='ad'>Buy</div></article>"
+    for open_tag in ("<div class='content with-sidebar'>", "<div id='page-no-comments'>", "<div class='has-header'>",
+                     "<div class='header-fixed'>", "<div class='sidebar'>"):
+        assert W.main_text(f"<body>{open_tag}{article}</div></body>", None) == "Title\nText"
+    for name in ("ad", "cookie-notice", "ad-slot-3", "post-comments", "sidebar_left", "site-header"):
+        assert W.main_text(f"<body><article><p>Text</p><div class='x {name}'>Out</div></article></body>", None) == "Text"
+    assert W.main_text("<body><div class='cookie'>We use cookies</div></body>", None) == ""
+    assert W.main_text(f"<body><p>c</p><div class='sidebar'>{article}</div></body>", None) == "Title\nText"
+    teaser = "<div class='related'><article><p>A much longer text of another article</p></article></div>"
+    assert W.main_text(f"<body>{article}{teaser}</body>", None) == "Title\nText"
+
+
 def test_hostile_markup_is_read():
     for bad in ("<", "a<b", "<scr", "<p <p>", "&#xZZ; &bogus; &amp", "<!-- open", "<script>never closed", "</div></div>x"):
         assert isinstance(W.main_text(bad, None), str)
