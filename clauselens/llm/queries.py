@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontam, fim, hardneg, langid, licenses, neardup, pieces, quality_model, quality_rules, urlfilter, warc,
-               wrappers)
+from . import (decontam, fim, hardneg, langid, licenses, neardup, ngramjoin, pieces, quality_model, quality_rules,
+               urlfilter, warc, wrappers)
 from .common import prepare
 
 
@@ -63,6 +63,11 @@ def op10_warc_derivatives(spark, sf_dir):
     return warc.digests(warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages"))))
 
 
+def op11_ngram_join(spark, sf_dir):
+    """Components of the n-gram Jaccard join of all documents."""
+    return ngramjoin.ngram_join(table(spark, sf_dir, "documents"), ngram=4, percent=85)
+
+
 def op12_fill_in_middle(spark, sf_dir):
     """Fill-in-middle form of all documents, by its digests."""
     return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
@@ -76,7 +81,7 @@ def op13_hard_negatives(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_quality_rules, op3_near_duplicates, op4_url_filter, op5_language_id,
     op6_html_extraction, op7_decontamination, op8_license_scan, op9_quality_classifier,
-    op10_warc_derivatives, op12_fill_in_middle, op13_hard_negatives,
+    op10_warc_derivatives, op11_ngram_join, op12_fill_in_middle, op13_hard_negatives,
 )}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,6 +125,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op8_license_scan": licenses.oracle_sql(),
+    "op11_ngram_join": ngramjoin.oracle_sql(),
     "op12_fill_in_middle": fim.oracle_sql(),
     "op13_hard_negatives": hardneg.oracle_sql(),
 }
