@@ -1,25 +1,26 @@
-"""Model-assisted extraction and other Python hooks.
+"""Model-assisted extraction and other Python hooks.
 
-Only rows that need a hook reach Python: fields failing the confidence gate
-are selected first, their chunks ranked inside the row, and only the top-k
-chunks per (document, field) are sent to the extractor through
-``mapInPandas`` (Arrow batches, one extractor instance per task). Results are
-reduced per (document, field) with ``max_by`` and joined back.
+Everything happens in the row: the fields that fail the confidence gate, their ranked
+chunks, the model's answers and the best candidate are columns of the document's row, so
+one pass over the table does it and no text is shuffled. Only what needs Python goes
+there: chunks whose order depends on the fuzzy score, the requests, and the texts of rows
+that need a recogniser. With an answer log (``memo``) equal chunks are asked once over all
+rows and runs; the extracted rows are then written once and joined to their answers.
 
 Hook signatures (user supplied):
 
-* extractor ``(doc_id, field, chunk_start, chunk_text) -> dict | None`` with
-  keys ``text, start, end, confidence``;
+* extractor: see ``calls``;
 * recogniser ``text -> list[(entity_text, label)]``;
 * converter ``bytes -> (text, error)``.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,58 +29,111 @@ from pyspark.sql.functions import pandas_udf
 from .. import policy as P
 from ..functions import chunks as CH
 from ..functions import extract as X
+from ..session import materialize
+from . import calls
+from .calls import ANSWERED, CallLimits
+from .memo import AnswerLog
 
-CANDIDATE_SCHEMA = ("doc_id string, field string, rank int, chunk_start int, chunk_sha string, "
-                    "text string, start int, end int, confidence double")
+ModelMemo = AnswerLog
+
+CANDIDATE = ("chunk_sha", "text", "start", "end", "confidence")
 
 
 # ------------------------------------------------------------------ U4 / C5
 
-def partial_ratio(needle: str, hay: str) -> float:
-    """Best similarity (0-100) of ``needle`` against windows of ``hay``.
-
-    100 when contained. Otherwise windows of the needle's length anchored at
-    occurrences of its first or last character are compared with the
-    normalised indel similarity ``2 * LCS / (len(a) + len(b))``.
-    """
-    if not needle or not hay:
-        return 0.0
-    if needle in hay:
-        return 100.0
-    m = len(needle)
-    best = 0.0
-    starts = {i for i, ch in enumerate(hay) if ch == needle[0]}
-    starts |= {max(0, i - m + 1) for i, ch in enumerate(hay) if ch == needle[-1]}
-    for s in sorted(starts):
-        w = hay[s:s + m]
-        best = max(best, 200.0 * _lcs(needle, w) / (m + len(w)))
-        if best >= 100.0:
-            break
-    return best
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _lcs(a: str, b: str) -> int:
-    """LCS length, bit-parallel over the (short) first string (Hyyro 2004)."""
-    m = len(a)
-    if m == 0 or not b:
-        return 0
+def _lcs_wide(a: str, b: str) -> int:
+    """LCS length, bit-parallel over the first string, of any length (Hyyro 2004)."""
     masks: dict = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << m) - 1
+    full = (1 << len(a)) - 1
     v = full
     for ch in b:
         u = v & masks.get(ch, 0)
         v = ((v + u) | (v - u)) & full
-    return m - bin(v).count("1")
+    return len(a) - v.bit_count()
+
+
+def _window_scores(needle: str, text: np.ndarray, text_from: np.ndarray) -> np.ndarray:
+    """Best score of ``needle`` over the windows of each of several texts, given one after
+    another with their starts. All windows run through the bit-parallel LCS in lanes."""
+    m = len(needle)
+    code = _codes(needle)
+    kinds = np.unique(code)
+    bits = np.zeros(len(kinds), np.uint64)
+    np.bitwise_or.at(bits, np.searchsorted(kinds, code), np.uint64(1) << np.arange(m, dtype=np.uint64))
+    at = np.minimum(np.searchsorted(kinds, text), len(kinds) - 1)
+    masks = np.concatenate([np.where(kinds[at] == text, bits[at], np.uint64(0)), np.zeros(m, np.uint64)])
+    ends = np.append(text_from[1:], len(text))
+    # Windows start at the needle's first character or end at its last one.
+    owner = np.repeat(np.arange(len(text_from)), ends - text_from)
+    heads, tails = np.flatnonzero(text == code[0]), np.flatnonzero(text == code[-1])
+    starts = np.unique(np.concatenate([heads, np.maximum(tails - m + 1, text_from[owner[tails]])]))
+    best = np.zeros(len(text_from))
+    if len(starts):
+        own = owner[starts]
+        size = np.minimum(ends[own] - starts, m)
+        full = np.uint64((1 << m) - 1)
+        v = np.full(len(starts), full)
+        for j in range(m):
+            u = v & np.where(j < size, masks[starts + j], np.uint64(0))
+            v = ((v + u) | (v - u)) & full
+        lcs = m - np.bitwise_count(v).astype(np.int64)
+        np.maximum.at(best, own, 200.0 * lcs / (m + size))
+    return best
+
+
+def partial_ratios(needle: str, texts: list) -> np.ndarray:
+    """U4: best similarity (0-100) of ``needle`` with windows of each text.
+
+    100 when contained. Otherwise windows of the needle's length anchored at occurrences of
+    its first or last character are compared with the normalised indel similarity
+    ``2 * LCS / (len(a) + len(b))``. An empty needle or text scores 0.
+    """
+    out = np.array([100.0 if needle and needle in t else 0.0 for t in texts])
+    rest = [i for i, t in enumerate(texts) if needle and t and out[i] == 0.0]
+    if not rest:
+        return out
+    if len(needle) > 63:                                   # no lane is wide enough
+        m = len(needle)
+        for i in rest:
+            t = texts[i]
+            starts = {k for k, ch in enumerate(t) if ch == needle[0]} | {max(0, k - m + 1) for k, ch in enumerate(t) if ch == needle[-1]}
+            out[i] = max((200.0 * _lcs_wide(needle, t[s:s + m]) / (m + len(t[s:s + m])) for s in starts), default=0.0)
+        return out
+    sizes = [len(texts[i]) for i in rest]
+    out[rest] = _window_scores(needle, _codes("".join(texts[i] for i in rest)), np.cumsum([0, *sizes[:-1]]))
+    return out
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def fuzzy_scores(hints: pd.Series, texts: pd.Series) -> pd.Series:
-    """U4 vectorised: per row the best partial ratio of the hints for each of its texts
-    (a null text scores 100: it holds a hint)."""
-    return pd.Series([[100.0 if t is None else max(partial_ratio(h, t.lower()) for h in hs) for t in ts]
-                      for hs, ts in zip(hints, texts)])
+def partial_ratio(needle: str, hay: str) -> float:
+    """``partial_ratios`` of one text."""
+    return float(partial_ratios(needle, [hay])[0])
+
+
+@pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def fuzzy_scores(rows: pd.Series) -> pd.Series:
+    """U4: per row (a list of (hints, texts), or null) the best partial ratio of the hints for each
+    text; a null text scores 100, it holds a hint. All texts of a batch with the same hints
+    are compared at once."""
+    todo: dict = {}
+    for i, entries in enumerate(rows):
+        for j, e in enumerate(entries if entries is not None else ()):
+            for k, t in enumerate(e["texts"]):
+                if t is not None:
+                    todo.setdefault(tuple(e["hints"]), []).append((i, j, k, t.lower()))
+    out = [None if entries is None else [[100.0] * len(e["texts"]) for e in entries] for entries in rows]
+    for hints, places in todo.items():
+        for at in range(0, len(places), 256):              # about half a million characters at once
+            part = places[at:at + 256]
+            best = np.max([partial_ratios(h, [p[3] for p in part]) for h in hints], axis=0)
+            for (i, j, k, _), score in zip(part, best.tolist()):
+                out[i][j][k] = score
+    return pd.Series(out)
 
 
 # ------------------------------------------------------------------ C4-C6
@@ -91,15 +145,16 @@ def _with_containment(hints):
     return of
 
 
-def rank_chunks(docs: DataFrame, fields, policy: P.Policy = P.current(),
-                text_col: str = "text", keep: int | None = None) -> DataFrame:
-    """Per (document, field) the top ``model_top_k_chunks`` chunks.
+def with_requests(docs: DataFrame, fields, policy: P.Policy = P.current(), text_col: str = "text",
+                  keep: int | None = None) -> DataFrame:
+    """C4-C6 in the row: ``docs`` with the array ``requests`` (field, rank, chunk_start, chunk_text,
+    pre_rank, fuzzy), per field the top ``model_top_k_chunks`` chunks.
 
-    Prefilter by keyword score (top ``keep``, stable), then fuzzy re-rank, all inside the
-    row: nothing is shuffled. A chunk with a contained hint scores 100. The fuzzy UDF (U4)
-    is handed texts only for rows with several chunks, and of them the chunks without a
-    hint; elsewhere the order cannot depend on it and the score of such a chunk is 0. With a column
-    ``failing`` (names of fields) only these fields of a row are ranked.
+    Prefilter by keyword score (top ``keep``, stable), then fuzzy re-rank. A chunk with a
+    contained hint scores 100. The fuzzy UDF (U4) is handed texts only for fields with
+    several chunks, and of them the chunks without a hint; elsewhere the order cannot depend
+    on it and the score of such a chunk is 0. With a column ``failing`` (names of fields) only
+    these fields of a row are ranked.
     """
     hints = dict(policy.field_hints)
     keep = policy.prefilter_chunks if keep is None else keep
@@ -107,27 +162,43 @@ def rank_chunks(docs: DataFrame, fields, policy: P.Policy = P.current(),
     chunks = CH.make_chunks(F.col(text_col), policy.chunk_size, policy.chunk_overlap)
     if wanted:
         chunks = F.when(F.size("failing") > 0, chunks)
-    x = docs.select("doc_id", *(["failing"] if wanted else []), chunks.alias("chunks"))
     entries = []
     for f in fields:
         h = hints.get(f, ())
-        top = CH.prefilter_top(F.col("chunks"), h, keep) if h else F.col("chunks")
-        scored = F.transform(top, _with_containment(h))
-        entry = F.struct(F.lit(f).alias("field"), F.array(*map(F.lit, h)).cast("array<string>").alias("hints"), scored.alias("top"))
+        top = CH.prefilter_top(F.col("_chunks"), h, keep) if h else F.col("_chunks")
+        entry = F.struct(F.lit(f).alias("field"), F.array(*map(F.lit, h)).cast("array<string>").alias("hints"),
+                         F.transform(top, _with_containment(h)).alias("top"))
         entries.append(F.when(F.array_contains("failing", f), entry) if wanted else entry)
+    ranked = F.when(F.size("_chunks") > 0, F.array_compact(F.array(*entries)))
+    x = docs.withColumn("_chunks", chunks).withColumn("_fields", ranked).drop("_chunks")
+
+    def unclear(e):
+        return (F.size(e["hints"]) > 0) & (F.size(e["top"]) > 1) & F.exists(e["top"], lambda c: ~c["contained"])
+
+    def misses(e):
+        texts = F.transform(e["top"], lambda c: F.when(~c["contained"], c["chunk_text"]))
+        return F.struct(e["hints"].alias("hints"), F.when(unclear(e), texts).otherwise(F.array().cast("array<string>")).alias("texts"))
+
+    asked = F.when(F.exists("_fields", unclear), F.transform("_fields", misses))
+    x = x.withColumn("_scores", fuzzy_scores(asked))
+
+    def best(e, i):
+        score = F.get("_scores", i)
+        order = F.array_sort(F.transform(e["top"], lambda c, k: F.struct(
+            (-F.coalesce(F.get(score, k), F.when(c["contained"], 100.0).otherwise(0.0))).alias("minus"), k.alias("pre_rank"), c.alias("c"))))
+        return F.transform(F.slice(order, 1, policy.model_top_k_chunks), lambda c, k: F.struct(
+            e["field"].alias("field"), (k + 1).alias("rank"), c["c"]["chunk_start"].alias("chunk_start"),
+            c["c"]["chunk_text"].alias("chunk_text"), c["pre_rank"].alias("pre_rank"), (-c["minus"]).alias("fuzzy")))
+
+    return x.withColumn("requests", F.flatten(F.transform("_fields", best))).drop("_fields", "_scores")
+
+
+def rank_chunks(docs: DataFrame, fields, policy: P.Policy = P.current(),
+                text_col: str = "text", keep: int | None = None) -> DataFrame:
+    """The requests of ``with_requests`` as rows. Nothing is shuffled."""
+    r = with_requests(docs, fields, policy, text_col, keep).select("doc_id", F.explode_outer("requests").alias("r"))
     # explode_outer: with explode an inferred filter would compute all of this twice
-    t = (x.select("doc_id", F.explode_outer(F.array_compact(F.array(*entries))).alias("t")).where("t IS NOT NULL")
-         .select("doc_id", "t.*"))
-    unclear = (F.size("hints") > 0) & (F.size("top") > 1) & F.exists("top", lambda c: ~c["contained"])
-    misses = F.when(unclear, F.transform("top", lambda c: F.when(~c["contained"], c["chunk_text"])))
-    scored = t.withColumn("scores", fuzzy_scores("hints", F.coalesce(misses, F.array().cast("array<string>"))))
-    order = F.array_sort(F.transform("top", lambda c, i: F.struct(
-        (-F.coalesce(F.get("scores", i), F.when(c["contained"], 100.0).otherwise(0.0))).alias("minus"), i.alias("pre_rank"),
-        c["chunk_start"].alias("chunk_start"), c["chunk_text"].alias("chunk_text"))))
-    best = F.slice(order, 1, policy.model_top_k_chunks)
-    return (scored.select("doc_id", "field", F.posexplode(best).alias("pos", "c"))
-            .select("doc_id", "field", F.col("c.pre_rank").alias("pre_rank"), F.col("c.chunk_start").alias("chunk_start"),
-                    F.col("c.chunk_text").alias("chunk_text"), (-F.col("c.minus")).alias("fuzzy"), (F.col("pos") + 1).alias("rank")))
+    return r.where("r IS NOT NULL").select("doc_id", "r.field", "r.pre_rank", "r.chunk_start", "r.chunk_text", "r.fuzzy", "r.rank")
 
 
 def failing_fields(extracted: DataFrame, policy: P.Policy = P.current(), text_col: str = "text") -> DataFrame:
@@ -142,34 +213,12 @@ def failing_fields(extracted: DataFrame, policy: P.Policy = P.current(), text_co
 # ------------------------------------------------------------------ C7-C9
 
 def call_extractor(requests: DataFrame, extractor_factory: Callable[[], Callable],
-                   partitions: int | None = None) -> DataFrame:
-    """One extractor per task over Arrow batches; any failure -> no candidate.
-
-    Tasks follow the data; a limit on calls at a time belongs into the extractor.
-    ``partitions`` deals the requests to that many tasks instead.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extract = extractor_factory()
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                try:
-                    c = extract(r.doc_id, r.field, int(r.chunk_start), r.chunk_text)
-                except Exception:  # noqa: BLE001 - a failed call yields no candidate
-                    c = None
-                if not c:
-                    continue
-                rows.append((r.doc_id, r.field, int(r.rank), int(r.chunk_start),
-                             hashlib.sha256(r.chunk_text.encode("utf-8")).hexdigest(),
-                             c.get("text"), c.get("start"), c.get("end"), float(c.get("confidence", 0.0))))
-            yield pd.DataFrame(rows, columns=["doc_id", "field", "rank", "chunk_start", "chunk_sha",
-                                              "text", "start", "end", "confidence"])
-
-    req = requests.select("doc_id", "field", F.col("rank").cast("int").alias("rank"),
-                          F.col("chunk_start").cast("int").alias("chunk_start"), "chunk_text")
-    if partitions:
-        req = req.repartition(partitions)
-    return req.mapInPandas(run, CANDIDATE_SCHEMA)
+                   partitions: int | None = None, limits: CallLimits = CallLimits()) -> DataFrame:
+    """What the model returned per request, candidates without text included; a failed call
+    gives no row. ``calls.ask`` gives all answers with their status."""
+    got = calls.ask(requests, extractor_factory, limits, partitions)
+    return got.where((F.col("status") == ANSWERED) | F.col("text").isNotNull()).select(
+        "doc_id", "field", "rank", "chunk_start", *CANDIDATE)
 
 
 def globalize_offsets(cands: DataFrame) -> DataFrame:
@@ -190,80 +239,66 @@ def best_candidate(cands: DataFrame) -> DataFrame:
         F.struct(F.col("confidence"), -F.col("rank"))).alias("best"))
 
 
-def apply_model(extracted: DataFrame, extractor_factory, policy: P.Policy = P.current(),
-                partitions: int | None = None, memo: "ModelMemo | None" = None) -> DataFrame:
-    """X10 last step: fields failing the gate take the best model candidate.
+def _global(a, at: str):
+    """C8 for one answer: an offset below the chunk start is local."""
+    cs = a["chunk_start"]
+    local = (a["start"] < cs) | (a["end"] < cs)
+    return F.when(local, cs + F.greatest(F.lit(0), a[at])).otherwise(a[at])
 
-    ``extracted`` must carry ``text`` (``extract_fields(..., keep_text=True)``); the result
-    does not, so that no text is shuffled to its answers.
-    """
-    from .extraction import SCHEMA_KEYS
-
-    ranked = rank_chunks(failing_fields(extracted, policy), SCHEMA_KEYS, policy)
-    cands = memo.lookup_or_call(ranked, extractor_factory, partitions) if memo else \
-        call_extractor(ranked, extractor_factory, partitions)
-    best = best_candidate(globalize_offsets(cands))
-    piv = best.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "best"))).alias("m"))
-    out = extracted.drop("text").join(piv, "doc_id", "left")
-    cols = []
+
+def _best_in_row(field: str):
+    """C9 in the row: of the field's answers the most confident, the first ranked on ties."""
+    mine = F.filter("answers", lambda a: (a["field"] == field) & (a["status"] == ANSWERED))
+    best = F.array_max(F.transform(mine, lambda a: F.struct(
+        a["confidence"].alias("confidence"), (-a["rank"]).alias("minus"), a["text"].alias("text"),
+        _global(a, "start").alias("start"), _global(a, "end").alias("end"))))
+    return F.when(F.size("answers") > 0, best)
+
+
+def _filled(df: DataFrame, best: dict) -> DataFrame:
+    """Fields replaced by their best candidate (struct columns), provenance included."""
+    cols, added = [], []
     for f, kind in P.SCHEMA_FIELDS:
-        b = F.col("m")[f]
+        b = F.col(best[f])
         if kind == "span":
             val = F.struct(b["text"].alias("text"), b["start"].alias("start"), b["end"].alias("end"),
                            b["confidence"].alias("confidence"), F.lit("llm").alias("source"))
-            cols.append(F.when(b.isNotNull(), val).otherwise(F.col(f)).alias(f))
-        elif kind == "list[text]":
-            cols.append(F.when(b.isNotNull(), F.split(b["text"], r"\s*;\s*|\s+and\s+")).otherwise(F.col(f)).alias(f))
         else:
-            cols.append(F.when(b.isNotNull(), b["text"]).otherwise(F.col(f)).alias(f))
-    prov_add = F.map_from_entries(F.filter(F.array(*[
-        F.when(F.col("m")[f].isNotNull(), F.struct(F.lit(f), F.struct(
-            F.lit("model").alias("source"), F.col("m")[f]["confidence"].alias("confidence"))))
-        for f, _ in P.SCHEMA_FIELDS]), lambda x: x.isNotNull()))
-    prov = F.map_concat(F.map_filter("_provenance", lambda k, v: ~F.array_contains(F.map_keys(prov_add), k)),
-                        prov_add)
-    rest = [c for c in out.columns if c not in SCHEMA_KEYS and c not in ("_provenance", "m")]
-    return out.select(*rest, *cols, prov.alias("_provenance"))
+            val = F.split(b["text"], r"\s*;\s*|\s+and\s+") if kind == "list[text]" else b["text"]
+        cols.append(F.when(b.isNotNull(), val).otherwise(F.col(f)).alias(f))
+        added.append(F.when(b.isNotNull(), F.struct(F.lit(f), F.struct(F.lit("model").alias("source"), b["confidence"].alias("confidence")))))
+    added = F.map_from_entries(F.array_compact(F.array(*added)))
+    prov = F.map_concat(F.map_filter("_provenance", lambda k, v: ~F.array_contains(F.map_keys(added), k)), added)
+    names = [f for f, _ in P.SCHEMA_FIELDS]
+    rest = [c for c in df.columns if c not in (*names, "_provenance", "answers", *best.values())]
+    return df.select(*rest, *cols, prov.alias("_provenance"))
 
 
-# ------------------------------------------------------------------ C10
-
-class ModelMemo:
-    """Answers keyed by (model, field, sha256(chunk)) in a Parquet table.
+def apply_model(extracted: DataFrame, extractor_factory, policy: P.Policy = P.current(),
+                partitions: int | None = None, memo: AnswerLog | None = None,
+                limits: CallLimits | None = None) -> DataFrame:
+    """X10 last step: fields failing the gate take the best model candidate.
 
-    Requests already answered are removed with a left-anti join, equal chunks are asked
-    once, and every answer is appended, empty ones too (text NULL), so nothing is asked
-    twice. Memoised offsets are relative to the chunk.
+    ``extracted`` must carry ``text`` (``extract_fields(..., keep_text=True)``); the result
+    does not. Calls run in place, ``policy.model_concurrency`` at a time per task, unless
+    ``limits`` says otherwise; ``partitions`` deals the rows to that many tasks first.
     """
-
-    SCHEMA = "model string, field string, chunk_sha string, text string, start int, end int, confidence double"
-
-    def __init__(self, spark, path: str, model: str):
-        self.spark, self.path, self.model = spark, path, model
-
-    def _table(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
-
-    def lookup_or_call(self, ranked: DataFrame, extractor_factory, partitions=None) -> DataFrame:
-        key = ["model", "field", "chunk_sha"]
-        req = ranked.select("*", F.sha2(F.col("chunk_text"), 256).alias("chunk_sha"), F.lit(self.model).alias("model"))
-        todo = req.join(self._table().select(*key), key, "left_anti").dropDuplicates(key)
-        # Asked at offset 0, so answers are relative to the chunk.
-        fresh = call_extractor(todo.withColumn("chunk_start", F.lit(0)), extractor_factory, partitions)
-        asked = todo.select(*key).join(fresh.select("field", "chunk_sha", "text", "start", "end", "confidence"),
-                                       ["field", "chunk_sha"], "left")
-        asked.select(*key, "text", "start", "end", "confidence").write.mode("append").parquet(self.path)
-        table = self._table().dropDuplicates(key)
-        hits = req.drop("chunk_text").join(table.where("text IS NOT NULL"), key)
-        shift = F.col("chunk_start")
-        return hits.select("doc_id", "field", F.col("rank").cast("int").alias("rank"),
-                           F.col("chunk_start").cast("int").alias("chunk_start"), "chunk_sha", "text",
-                           (F.col("start") + shift).cast("int").alias("start"),
-                           (F.col("end") + shift).cast("int").alias("end"), "confidence")
+    from .extraction import SCHEMA_KEYS, gate_fields
+
+    limits = limits or CallLimits(concurrency=policy.model_concurrency)
+    rows = extracted.withColumn("failing", gate_fields(policy))
+    rows = with_requests(rows, SCHEMA_KEYS, policy).drop("failing", "text")
+    best = {f: f"_best_{f}" for f in SCHEMA_KEYS}
+    if memo is None:
+        if partitions:
+            rows = rows.repartition(partitions)
+        rows = calls.ask_in_rows(rows, extractor_factory, limits)
+        return _filled(rows.select("*", *[_best_in_row(f).alias(c) for f, c in best.items()]), best)
+    rows = materialize(rows, "checkpoint")
+    asked = rows.select("doc_id", F.inline("requests"))
+    found = best_candidate(globalize_offsets(memo.lookup_or_call(asked, extractor_factory, partitions, limits)))
+    found = found.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("best"))).alias(c) for f, c in best.items()])
+    return _filled(rows.drop("requests").join(found, "doc_id", "left"), best)
 
 
 # ------------------------------------------------------------------ stubs
@@ -285,24 +320,41 @@ def keyword_stub_extractor():
     return extract
 
 
+#: Chunks with these words are refused by the stub below.
+REFUSED = "commercially reasonable"
+
+
+def refusing_stub_extractor():
+    """The stub above, as a model that fails on some chunks."""
+    inner = keyword_stub_extractor()
+
+    def extract(doc_id, field, chunk_start, chunk_text):
+        if REFUSED in chunk_text:
+            raise RuntimeError("refused")
+        return inner(doc_id, field, chunk_start, chunk_text)
+
+    return extract
+
+
 # ------------------------------------------------------------------ U2
 
 def apply_recognizer(extracted: DataFrame, recognizer_factory: Callable[[], Callable],
                      policy: P.Policy = P.current()) -> DataFrame:
     """Entity-based fallback for rows whose rules found no parties or law.
 
-    Only those rows go to Python, in place (nothing is shuffled; rows that need no
-    recogniser pass through as they are); the recogniser is created once per task.
+    One pass, in place: nothing is shuffled, rows that need no recogniser pass through as
+    they are; the recogniser is created once per task.
     Fields it fills have the provenance source ``entity``.
     """
     places, limit, prefix = set(policy.places), policy.max_fallback_parties, policy.place_prefix_chars
+    keep = [c for c in extracted.columns if c != "text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rec = recognizer_factory()
         for b in batches:
             parties, laws = [], []
-            for t in b.pop("text").fillna(""):
-                ents = rec(t[:prefix]) or []
+            for t in b.column("_unread").to_pylist():
+                ents = (rec(t[:prefix]) or []) if t is not None else []
                 names, seen = [], set()
                 for text, label in ents:
                     text = text.strip()
@@ -311,16 +363,13 @@ def apply_recognizer(extracted: DataFrame, recognizer_factory: Callable[[], Call
                         seen.add(text)
                 parties.append(names[:limit] or None)
                 laws.append(next((x for x, lab in ents if lab in ("GPE", "LOC") and x in places), None))
-            yield b.assign(ent_parties=parties, ent_law=laws)
+            yield pa.record_batch([b.column(c) for c in keep] + [pa.array(parties, pa.list_(pa.string())), pa.array(laws, pa.string())],
+                                  names=[*keep, "ent_parties", "ent_law"])
 
-    keep = [c for c in extracted.columns if c != "text"]
+    # All rows pass through once, as Arrow batches; texts only of those that lack a field.
     lacking = F.col("parties").isNull() | F.col("governing_law").isNull()
-    none = extracted.select(*keep, F.lit(None).cast("array<string>").alias("ent_parties"), F.lit(None).cast("string").alias("ent_law"))
-    # Rows travel as JSON of their other columns, which the hook passes on untouched.
-    packed = extracted.where(lacking).select(F.to_json(F.struct(*keep)).alias("row"), "text")
-    found = packed.mapInPandas(run, "row string, ent_parties array<string>, ent_law string")
-    found = found.select(F.from_json("row", extracted.select(*keep).schema).alias("r"), "ent_parties", "ent_law").select("r.*", "ent_parties", "ent_law")
-    both = none.where(~lacking).unionByName(found)
+    rows = extracted.select(*keep, F.when(lacking, F.col("text")).alias("_unread"))
+    both = rows.mapInArrow(run, T.StructType(rows.select(*keep).schema.fields).add("ent_parties", T.ArrayType(T.StringType())).add("ent_law", "string"))
     filled = F.map_from_entries(F.array_compact(F.array(*[
         F.when(F.col(c).isNull() & F.col(e).isNotNull(), F.struct(F.lit(c), F.struct(
             F.lit("entity").alias("source"), F.lit(None).cast("double").alias("confidence"))))

@@ -997,6 +997,7 @@ def strict_high_risk(spark, sf):
 from ..operators import model as MD  # noqa: E402
 from ..operators import report as RP  # noqa: E402
 from ..sources import files as FS  # noqa: E402
+from ..sources.quarantine import Quarantine  # noqa: E402
 from ..schema import PER_DOC  # noqa: E402
 
 
@@ -1030,15 +1031,6 @@ def flat_doc_name(spark, sf):
     return p.select("page_id", FS.flat_name(FS.url_path(F.col("url"))).alias("doc_name"))
 
 
-@query("ingest_skip_existing", """
-SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages WHERE page_id IS NOT NULL)""")
-def ingest_skip_existing(spark, sf):
-    """Documents not yet present among the ingested pages (left-anti join on id)."""
-    from ..sources.tables import read_table
-    existing = read_table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"))
-    return FS.skip_existing(_documents(spark, sf).select("doc_id", "source"), existing)
-
-
 _HTML_SQL = (f"trim(regexp_replace(regexp_replace(html, {O.q(FS.HTML_DROP_RX)}, ' ', 'g'), "
              f"{O.q(O.WS_CLASS + '+')}, ' ', 'g'), ' ')")
 
@@ -1054,13 +1046,55 @@ def ingest_pages(spark, sf):
     return p.select("*", FS.short_text_flag(F.col("text")).alias("short_text"))
 
 
-@query("ingest_error_split", """
-SELECT page_id, CASE WHEN contains(lower(html), '<body') THEN 'converted' ELSE 'failed' END AS status FROM pages""")
-def ingest_error_split(spark, sf):
-    """Converted vs failed pages (a page without a body fails; the run continues)."""
+def _page_files(spark, sf, damaged: int | None = None, every: int = 1):
+    """Pages as files ``(doc_id, source_path, content)``, of ids divisible by ``every``; of those divisible by
+    ``damaged`` the body tag is lost, so that the converter fails."""
     from ..sources.tables import read_table
-    p = read_table(spark, sf, "pages")
-    return p.select("page_id", F.when(F.lower("html").contains("<body"), "converted").otherwise("failed").alias("status"))
+    html = F.col("html")
+    if damaged:
+        html = F.when(F.col("page_id") % damaged == 0, F.regexp_replace(html, "(?i)<body", "<b0dy")).otherwise(html)
+    p = read_table(spark, sf, "pages").where(F.col("page_id") % every == 0)
+    return p.select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("source_path"), F.encode(html, "UTF-8").alias("content"))
+
+
+@query("ingest_error_split", f"""
+SELECT CAST(page_id AS VARCHAR) AS doc_id, CASE WHEN ok THEN 'converted' ELSE 'failed' END AS status,
+  CASE WHEN ok THEN length({_HTML_SQL}) END AS chars, CASE WHEN NOT ok THEN 'no body' END AS error
+FROM (SELECT *, contains(lower(html), '<body') AND page_id % 5 <> 0 AS ok FROM pages)""")
+def ingest_error_split(spark, sf):
+    """Pages through the converter hook, split into texts and failures; every fifth file is damaged."""
+    ok, bad = FS.split_errors(FS.convert(_page_files(spark, sf, damaged=5), FS.html_converter))
+    return (ok.select("doc_id", F.lit("converted").alias("status"), F.length("text").cast("bigint").alias("chars"), F.lit(None).cast("string").alias("error"))
+            .unionByName(bad.select("doc_id", F.lit("failed").alias("status"), F.lit(None).cast("bigint").alias("chars"), "error")))
+
+
+def _delivered_twice(spark, sf) -> Quarantine:
+    """Two deliveries of the pages: of the even ids, one in five damaged; of all ids, one in fifteen damaged."""
+    q = Quarantine(spark, FS.work_dir(spark, "quarantine"))
+    q.ingest(_page_files(spark, sf, damaged=5, every=2), FS.html_converter, run="first")
+    q.ingest(_page_files(spark, sf, damaged=15), FS.html_converter, run="second")
+    return q
+
+
+_DELIVERED_SQL = """(SELECT *, page_id % 2 = 0 AS early, page_id % 2 = 0 AND page_id % 5 <> 0 AND body AS ok1, page_id % 15 <> 0 AND body AS ok2
+  FROM (SELECT *, contains(lower(html), '<body') AS body FROM pages))"""
+
+
+@query("ingest_skip_existing", f"""
+SELECT CAST(page_id AS VARCHAR) AS doc_id, CASE WHEN ok1 THEN 1 ELSE 2 END AS run, length({_HTML_SQL}) AS chars,
+  length({_HTML_SQL}) < {P.SHORT_TEXT_CHARS} AS short_text FROM {_DELIVERED_SQL} WHERE ok1 OR ok2""")
+def ingest_skip_existing(spark, sf):
+    """Pages delivered twice; the second run skips what the first converted."""
+    c = _delivered_twice(spark, sf).converted()
+    return c.select("doc_id", ((F.col("batch") - 1) / 2).cast("bigint").alias("run"), F.length("text").alias("chars"), "short_text")
+
+
+@query("ingest_quarantine", f"""
+SELECT CAST(page_id AS VARCHAR) AS doc_id, url AS source_path, 'no body' AS error, CASE WHEN early THEN 2 ELSE 1 END AS attempts
+FROM {_DELIVERED_SQL} WHERE NOT ok1 AND NOT ok2""")
+def ingest_quarantine(spark, sf):
+    """What stays in quarantine after two deliveries, with its attempts."""
+    return _delivered_twice(spark, sf).failures()
 
 
 def _pages_as_files(spark, sf) -> str:
@@ -1084,12 +1118,13 @@ def ingest_files(spark, sf):
     return conv.select("doc_id", "source_path", F.length("text").alias("chars"), "error")
 
 
-@query("text_corpus_roundtrip")
+@query("text_corpus_roundtrip", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS char_count FROM documents""")
 def text_corpus_roundtrip(spark, sf):
-    """Documents written as text files and scanned back (whole-text, id = file name)."""
+    """Documents written as a text corpus, one file each, and scanned back with their ids."""
     root = FS.work_dir(spark, "texts")
-    _documents(spark, sf).select("text").write.option("maxRecordsPerFile", 1).text(root)
-    return FS.scan_text(spark, root, "*.txt")
+    FS.write_texts(_documents(spark, sf).select("doc_id", "text"), root)
+    return FS.scan_texts(spark, root)
 
 
 @query("sink_roundtrip")
@@ -1167,7 +1202,38 @@ def chunk_fuzzy_rank(spark, sf):
         "doc_id", "field", "rank", "pre_rank", "chunk_start", "fuzzy")
 
 
-@query("chunk_topk")
+def _requests_ctes():
+    """The request of every (contract, field) that fails the gate: its best chunk. A chunk with
+    a hint scores 100, so without one the order matters only among several chunks, which
+    contracts don't have."""
+    failing = f"SELECT doc_id, field FROM ({_GATE_SQL}) WHERE NOT passes"
+    req = """SELECT doc_id, field, chunk_start, chunk_text FROM (
+  SELECT f.*, ch.chunk_start, ch.chunk_text, row_number() OVER (PARTITION BY f.doc_id, f.field ORDER BY score > 0 DESC, score DESC, idx) AS rn
+  FROM failing f JOIN sc USING (doc_id, field) JOIN ch USING (doc_id, idx)) WHERE rn = 1"""
+    return [("ch", _chunks_sql("contracts")), ("sc", _FIELD_SCORES_SQL), ("failing", failing), ("req", req)]
+
+
+def _stub_ctes():
+    """What the stub model answers: the sentence around the first hint."""
+    first = "least(" + ", ".join(f"CASE WHEN field = {O.q(f)} AND contains(low, {O.q(x)}) THEN strpos(low, {O.q(x)}) - 1 END" for f, h in _HINTS for x in h) + ")"
+    at = f"SELECT *, {first} AS s FROM (SELECT *, lower(chunk_text) AS low FROM req)"
+    ends = "SELECT *, CASE WHEN strpos(substr(low, s + 1), '.') > 0 THEN s + strpos(substr(low, s + 1), '.') ELSE length(chunk_text) END AS e FROM stub_at"
+    return _requests_ctes() + [("stub_at", at), ("stub_end", ends), ("stub", f"""
+SELECT doc_id, field, CAST(1 AS BIGINT) AS rank, chunk_start, chunk_text, sha256(chunk_text) AS chunk_sha,
+  CASE WHEN s IS NULL THEN '' ELSE {O.strip('substring(chunk_text, s + 1, e - s)')} END AS text,
+  CAST(coalesce(s, 0) AS BIGINT) AS "start", CAST(CASE WHEN s IS NULL THEN 0 ELSE e END AS BIGINT) AS "end",
+  CASE WHEN s IS NULL THEN 0.0 ELSE 0.5 END AS confidence FROM stub_end""")]
+
+
+def _model_sql(body: str) -> str:
+    return O.with_extra(["contracts", "extracted"], _stub_ctes(), body)
+
+
+_ANSWER_COLS = 'doc_id, field, rank, chunk_start, chunk_sha, text, "start", "end", confidence'
+
+
+@query("chunk_topk", O.with_extra(["contracts", "extracted"], _requests_ctes(), """
+SELECT doc_id, field, CAST(1 AS BIGINT) AS rank, chunk_start, CAST(length(chunk_text) AS BIGINT) AS chunk_chars FROM req"""))
 def chunk_topk(spark, sf):
     """The chunk sent to the model per (contract, field) whose rule value fails the gate."""
     return _ranked_requests(spark, sf).select(
@@ -1179,42 +1245,96 @@ def _ranked_requests(spark, sf):
     return MD.rank_chunks(MD.failing_fields(_unresolved_contracts(spark, sf)), [f for f, _ in P.SCHEMA_FIELDS])
 
 
-@query("model_extract")
+#: The stub answers at once, so its calls need no threads.
+_AT_ONCE = MD.CallLimits(concurrency=1, attempts=2, backoff_seconds=0.0)
+
+
+@query("model_extract", _model_sql(f"SELECT {_ANSWER_COLS} FROM stub"))
 def model_extract(spark, sf):
     """Model candidates (deterministic stub model) for fields failing the gate."""
     r = _ranked_requests(spark, sf)
-    return MD.call_extractor(r, MD.keyword_stub_extractor)
+    return MD.call_extractor(r, MD.keyword_stub_extractor, limits=_AT_ONCE)
+
+
+@query("model_answers", _model_sql(f"""
+SELECT doc_id, field, chunk_sha, CASE WHEN refused THEN 'failed' WHEN text = '' THEN 'empty' ELSE 'answered' END AS status,
+  CAST(CASE WHEN refused THEN 2 ELSE 1 END AS BIGINT) AS attempts, CASE WHEN refused THEN 'RuntimeError: refused' END AS reason,
+  CASE WHEN NOT refused THEN text END AS text
+FROM (SELECT *, contains(chunk_text, {O.q(MD.REFUSED)}) AS refused FROM stub)"""))
+def model_answers(spark, sf):
+    """Every call as a row, failed ones with their attempts and reason (a stub that refuses some chunks)."""
+    got = MD.calls.ask(_ranked_requests(spark, sf), MD.refusing_stub_extractor, _AT_ONCE)
+    return got.select("doc_id", "field", "chunk_sha", "status", "attempts", "reason", "text")
 
 
-@query("globalize_offsets")
+@query("globalize_offsets", _model_sql(f"SELECT {_ANSWER_COLS} FROM stub"))
 def globalize_offsets(spark, sf):
-    """Model offsets made global."""
+    """Model offsets made global (contracts are one chunk, so here they stay; tests cover others)."""
     return MD.globalize_offsets(REGISTRY["model_extract"](spark, sf))
 
 
-@query("best_candidate")
+@query("best_candidate", _model_sql("""SELECT doc_id, field, text, "start", "end", confidence FROM stub WHERE text <> ''"""))
 def best_candidate(spark, sf):
     """Best non-empty candidate per (document, field)."""
     b = MD.best_candidate(MD.globalize_offsets(REGISTRY["model_extract"](spark, sf)))
     return b.select("doc_id", "field", "best.*")
 
 
-@query("extract_with_model")
-def extract_with_model(spark, sf):
-    """X10 complete: rule -> fallback -> model cascade with provenance (stub model)."""
-    m = MD.apply_model(_unresolved_contracts(spark, sf), MD.keyword_stub_extractor)
+_FILLED_SQL = """
+SELECT e.doc_id, coalesce(pt.text, e.pt_text) AS payment_terms, coalesce(tc.text, e.tc_text) AS termination_clause,
+  coalesce(gl.text, e.governing_law) AS governing_law, '{' || array_to_string(list_filter([
+    CASE WHEN pa.text IS NULL AND parties_source IS NOT NULL THEN '"parties":{"source":"' || parties_source || '"}' END,
+    CASE WHEN gl.text IS NULL AND law_source IS NOT NULL THEN '"governing_law":{"source":"' || law_source || '"}' END,
+    CASE WHEN pa.text IS NOT NULL THEN '"parties":' || model END, CASE WHEN ed.text IS NOT NULL THEN '"effective_date":' || model END,
+    CASE WHEN gl.text IS NOT NULL THEN '"governing_law":' || model END, CASE WHEN pt.text IS NOT NULL THEN '"payment_terms":' || model END,
+    CASE WHEN tc.text IS NOT NULL THEN '"termination_clause":' || model END], lambda x: x IS NOT NULL), ',') || '}' AS provenance
+FROM (SELECT *, '{"source":"model","confidence":0.5}' AS model FROM extracted) e
+""" + "\n".join(f"LEFT JOIN (SELECT doc_id, text FROM stub WHERE field = '{f}' AND text <> '') {a} ON {a}.doc_id = e.doc_id" for f, a in (
+    ("parties", "pa"), ("effective_date", "ed"), ("governing_law", "gl"), ("payment_terms", "pt"), ("termination_clause", "tc")))
+
+
+def _with_model(m):
     return m.select("doc_id", F.col("payment_terms.text").alias("payment_terms"),
                     F.col("termination_clause.text").alias("termination_clause"), "governing_law",
                     F.to_json("_provenance").alias("provenance"))
 
 
-@query("model_memo")
+@query("extract_with_model", _model_sql(_FILLED_SQL))
+def extract_with_model(spark, sf):
+    """X10 complete: rule -> fallback -> model cascade with provenance (stub model), in one pass."""
+    return _with_model(MD.apply_model(_unresolved_contracts(spark, sf), MD.keyword_stub_extractor, limits=_AT_ONCE))
+
+
+@query("extract_with_memo", _model_sql(_FILLED_SQL))
+def extract_with_memo(spark, sf):
+    """The same cascade with an answer log: equal chunks are asked once."""
+    memo = MD.AnswerLog(spark, FS.work_dir(spark, "memo"), "stub")
+    return _with_model(MD.apply_model(_unresolved_contracts(spark, sf), MD.keyword_stub_extractor, memo=memo, limits=_AT_ONCE))
+
+
+@query("model_memo", _model_sql(f"SELECT {_ANSWER_COLS} FROM stub WHERE text <> ''"))
 def model_memo(spark, sf):
-    """Model answers memoised in a Parquet table; the second pass is served from it."""
-    r = _ranked_requests(spark, sf)
-    memo = MD.ModelMemo(spark, FS.work_dir(spark, "memo"), "stub")
-    memo.lookup_or_call(r, MD.keyword_stub_extractor).count()
-    return memo.lookup_or_call(r, MD.keyword_stub_extractor)
+    """A first run against a model that refuses some chunks, a second one that asks only those
+    again; the candidates that the compacted log then serves."""
+    r = MD.materialize(_ranked_requests(spark, sf), "checkpoint")
+    memo = MD.AnswerLog(spark, FS.work_dir(spark, "memo"), "stub")
+    memo.ask_missing(r, MD.refusing_stub_extractor, _AT_ONCE)
+    memo.ask_missing(r, MD.keyword_stub_extractor, _AT_ONCE)
+    memo.compact()
+    return memo.lookup(r)
+
+
+@query("model_log", _model_sql(f"""
+SELECT field, chunk_sha, CASE WHEN text = '' THEN 'empty' ELSE 'answered' END AS status,
+  CAST(CASE WHEN contains(chunk_text, {O.q(MD.REFUSED)}) THEN 3 ELSE 1 END AS BIGINT) AS attempts
+FROM (SELECT DISTINCT field, chunk_sha, chunk_text, text FROM stub)"""))
+def model_log(spark, sf):
+    """The log itself after a run with refused chunks (two attempts each) and a second one."""
+    r = MD.materialize(_ranked_requests(spark, sf), "checkpoint")
+    memo = MD.AnswerLog(spark, FS.work_dir(spark, "memo"), "stub")
+    for factory in (MD.refusing_stub_extractor, MD.keyword_stub_extractor, MD.refusing_stub_extractor):
+        memo.ask_missing(r, factory, _AT_ONCE)
+    return memo.state().select("field", "chunk_sha", "status", "attempts")
 
 
 @query("entity_hook")

@@ -51,6 +51,19 @@ def scan_text(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
         "doc_id", "text", F.length("text").alias("char_count"))
 
 
+def write_texts(docs: DataFrame, path: str) -> str:
+    """``(doc_id, text)`` as a text corpus: one file per document, in a folder that names its
+    id. A null text becomes an empty file. Spark's writer ends the file with a newline."""
+    docs.repartition("doc_id").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    return path
+
+
+def scan_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, text, char_count)`` of a corpus of ``write_texts``, whatever the id's type."""
+    t = spark.read.schema("value string, doc_id string").text(path, wholetext=True)
+    return t.select("doc_id", F.regexp_replace("value", r"\n\z", "").alias("text")).select("*", F.length("text").alias("char_count"))
+
+
 def short_text_flag(text: Column, min_chars: int = P.SHORT_TEXT_CHARS) -> Column:
     """Trimmed length below ``min_chars``."""
     return F.length(py_strip(F.coalesce(text, F.lit("")))) < min_chars
