@@ -4,8 +4,9 @@ Plan shape at scale:
 
 * corpus scalars (median net days, top law) are global aggregations consumed
   as scalar subqueries - one value each, computed once and broadcast by Spark;
-* per-party statistics are ``groupBy(party_key)`` with partial aggregation, so
-  a party holding a third of all contracts is pre-combined map-side;
+* per-party statistics come from counts per (party, value), which hash aggregates
+  combine map-side, so a party holding a third of all contracts is small before the
+  shuffle; medians and modes are read off the counts (``quantiles``);
 * statistics return to documents with an equi-join on ``party_key``. Rows
   without a party key skip the join entirely (they would all hash to one
   partition); the join strategy (broadcast vs sort-merge) and skew splitting
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import policy as P
 from ..functions.text import truthy_str
+from .quantiles import medians, modes
 from .validate import issue, keep_issues
 
 ND = "payment_net_days"
@@ -44,33 +46,37 @@ def net_days_median(v: DataFrame) -> DataFrame:
 
 
 def governing_law_counts(v: DataFrame) -> DataFrame:
-    """A3: ``(governing_law, contracts, first_doc)``; order with ``contracts DESC``."""
+    """A3: ``(governing_law, contracts)``."""
     return (v.where(truthy_str(F.col("governing_law")))
-            .groupBy("governing_law")
+            .groupBy("governing_law").agg(F.count(F.lit(1)).alias("contracts")))
+
+
+def governing_laws_listed(v: DataFrame) -> DataFrame:
+    """A3 for the report, which lists equally frequent laws as they were first seen:
+    ``(governing_law, contracts, first_doc)``."""
+    return (v.where(truthy_str(F.col("governing_law"))).groupBy("governing_law")
             .agg(F.count(F.lit(1)).alias("contracts"), F.min("doc_id").alias("first_doc")))
 
 
 def governing_law_top(v: DataFrame) -> DataFrame:
-    """A4: most frequent law; ties go to the law seen first."""
+    """A4: most frequent law; ties go to the law seen first (the first document that has one
+    of the most frequent laws says which). No row if there is no law."""
     c = governing_law_counts(v)
-    return c.agg(F.min_by("governing_law", F.struct(-F.col("contracts"), F.col("first_doc")))
-                 .alias("governing_law_top"))
+    most = c.agg(F.max("contracts").alias("m")).scalar()
+    leaders = c.where(F.col("contracts") == most).select("governing_law")
+    first = v.select("doc_id", "governing_law").join(leaders, "governing_law").orderBy("doc_id").limit(1)
+    return first.select(F.col("governing_law").alias("governing_law_top"))
 
 
 def party_net_days_median(v: DataFrame) -> DataFrame:
     """A5 (+A7): per party the contract count and the median net days (NULL if none)."""
-    return (v.where(F.col("party_key").isNotNull())
-            .groupBy("party_key")
-            .agg(F.count(F.lit(1)).alias("contracts"), F.median(ND).alias("party_median")))
+    return medians(v.where(F.col("party_key").isNotNull()), ["party_key"], ND, "contracts", "party_median")
 
 
 def party_law_mode(v: DataFrame) -> DataFrame:
     """Per party the most frequent law; ties go to the law seen first."""
-    per_law = (v.where(F.col("party_key").isNotNull() & truthy_str(F.col("governing_law")))
-               .groupBy("party_key", "governing_law")
-               .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")))
-    return per_law.groupBy("party_key").agg(
-        F.min_by("governing_law", F.struct(-F.col("n"), F.col("first_doc"))).alias("party_mode"))
+    with_law = v.where(F.col("party_key").isNotNull() & truthy_str(F.col("governing_law")))
+    return modes(with_law, "party_key", "governing_law", "doc_id", "party_mode")
 
 
 def party_contract_counts(v: DataFrame) -> DataFrame:
@@ -80,8 +86,7 @@ def party_contract_counts(v: DataFrame) -> DataFrame:
 
 
 def party_stats(v: DataFrame) -> DataFrame:
-    """A5 + A6 + A7 keyed by party; both inputs are already hash-partitioned on
-    ``party_key`` so the join adds no exchange."""
+    """A5 + A6 + A7 keyed by party."""
     return party_net_days_median(v).join(party_law_mode(v), "party_key", "left")
 
 
@@ -175,7 +180,7 @@ def crossref_report(xr: DataFrame) -> dict:
     """All report parts as DataFrames (bounded rendering lives in ``report``)."""
     return {
         "summary": crossref_summary(xr),
-        "governing_law_counts": governing_law_counts(xr),
+        "governing_law_counts": governing_laws_listed(xr),
         "per_party_contract_counts": party_contract_counts(xr),
         "evidence": crossref_evidence(xr),
     }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import date_to_month
 from ..functions.text import truthy_str
+from .quantiles import medians
 
 
 def kpi_net_days(per_doc: DataFrame) -> DataFrame:
@@ -52,10 +53,9 @@ def kpi_party_avg_risk(per_doc: DataFrame, n: int = 10) -> DataFrame:
 
 def kpi_monthly(per_doc: DataFrame) -> DataFrame:
     """K6: contracts and median net days per effective month."""
-    return (per_doc.where(F.col("effective_date").isNotNull())
-            .groupBy(date_to_month(F.col("effective_date")).alias("month"))
-            .agg(F.count(F.lit(1)).alias("contracts"),
-                 F.median("payment_net_days").alias("median_net_days")))
+    dated = per_doc.where(F.col("effective_date").isNotNull()).select(
+        date_to_month(F.col("effective_date")).alias("month"), "payment_net_days")
+    return medians(dated, ["month"], "payment_net_days", "contracts", "median_net_days")
 
 
 def dashboard_metrics(per_doc: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def crossref_lines(xr: DataFrame, n: int = LIST_ROWS) -> DataFrame:
     """
     spark = xr.sparkSession
     head = crossref.crossref_summary(xr).collect()[0]
-    laws, parties = crossref.governing_law_counts(xr), crossref.party_contract_counts(xr)
+    laws, parties = crossref.governing_laws_listed(xr), crossref.party_contract_counts(xr)
     ev = crossref.crossref_evidence(xr)
     out = [text_lines(spark, [
         "# Cross-Reference Report (Validator)\n", f"- Documents: **{head['doc_count']}**",

@@ -52,7 +52,7 @@ def test_folder_to_outputs(spark, tmp_path):
 def test_report_lists_all_parties_and_laws(spark):
     from clauselens.operators import crossref
     v = spark.createDataFrame([(f"d{i:04d}", f"p{i:04d}", f"law{i:04d}") for i in range(450)], "doc_id string, party_key string, governing_law string")
-    parties, laws = crossref.party_contract_counts(v), crossref.governing_law_counts(v)
+    parties, laws = crossref.party_contract_counts(v), crossref.governing_laws_listed(v)
     assert parties.count() == laws.count() == 450
     part = RP._part(parties, 3, -RP.F.col("contracts"), RP.F.col("party_key"), RP.F.col("party_key"))
     assert [r["line"] for r in RP.in_order(part).collect()] == [f"p{i:04d}" for i in range(450)]
