@@ -60,6 +60,27 @@ def prefilter_top(chunks: Column, hints, keep: int = 5) -> Column:
     return F.slice(ranked, 1, keep)
 
 
+def hint_scores(chunks: Column, hints) -> Column:
+    """C2 of all fields at once: per chunk a struct of its index and every field's keyword score.
+    Each text is lower-cased once and the result carries no text. Stage it as a column: it
+    is read once per field."""
+    scores = lambda low: [
+        sum((F.contains(low, F.lit(h)).cast("int") for h in dict.fromkeys(words)), F.lit(0)).alias(f) for f, words in hints]
+    return F.transform(F.transform(chunks, lambda c: F.lower(c["text"])),
+                       lambda low, i: F.struct(i.cast("int").alias("idx"), *scores(low)))
+
+
+def prefilter_top_all(scores: Column, hints, keep: int = 5) -> Column:
+    """C4 of all fields from ``hint_scores``: ``ARRAY<STRUCT<field, rank, idx, score>>``, per field
+    the best ``keep`` chunks, stable on ties."""
+    tops = []
+    for f, _ in hints:
+        order = F.array_sort(F.transform(scores, lambda x: F.struct((-x[f]).alias("neg"), x["idx"].alias("idx"))))
+        tops.append(F.transform(F.slice(order, 1, keep), lambda x, r: F.struct(
+            F.lit(f).alias("field"), (r + 1).alias("rank"), x["idx"].alias("idx"), (-x["neg"]).alias("score"))))
+    return F.flatten(F.array(*tops))
+
+
 def hint_contained(chunk_text: Column, hints) -> Column:
     """True when any hint is a substring (partial ratio is then 100)."""
     low = F.lower(chunk_text)

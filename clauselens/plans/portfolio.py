@@ -17,13 +17,15 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import policy as P
-from ..operators import crossref, risk
+from ..operators import crossref, risk, textmine as TM
 from ..operators.extraction import extract_fields
 from ..operators.validate import validate_first_pass
 from ..session import materialize
 from ..sources.contracts import contracts
+from ..sources.tables import documents
 
 _CACHE: dict = {}
 
@@ -74,10 +76,22 @@ class Portfolio:
     def per_doc(self) -> DataFrame:
         return risk.per_doc_metrics(self.validated, self.policy)
 
+    @cached_property
+    def clause_corpus(self) -> TM.SentenceCorpus:
+        """Sentences of the risky snippets with ids (doc, snippet, sentence)."""
+        s = TM.split_sentences(TM.risky_snippets(self.validated), ["doc_id", "snippet_pos"], "snippet")
+        return TM.SentenceCorpus(s.select("*", F.struct("doc_id", "snippet_pos", "sentence_pos").alias("sid")))
+
+    @cached_property
+    def document_corpus(self) -> TM.SentenceCorpus:
+        """Sentences of the documents table with ids (doc, sentence)."""
+        s = TM.split_sentences(documents(self.spark, self.sf_dir), ["doc_id"], "text")
+        return TM.SentenceCorpus(s.select("*", F.struct("doc_id", "sentence_pos").alias("sid")))
+
     def release(self) -> None:
         """Give back what is cached; frames made from it stay valid and recompute."""
         alive = self.spark.sparkContext._jsc is not None
-        for name in ("first_pass", "validated", "extracted", "per_doc"):
+        for name in ("first_pass", "validated", "extracted", "per_doc", "clause_corpus", "document_corpus"):
             df = self.__dict__.pop(name, None)
             if df is not None and alive and name in ("first_pass", "validated"):
                 df.unpersist()

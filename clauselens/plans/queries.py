@@ -597,13 +597,6 @@ def _doc_sentences(spark, sf):
     return s.select("*", F.struct("doc_id", "sentence_pos").alias("sid"))
 
 
-def _contract_sentences(spark, sf):
-    """Sentences of the risky contract snippets with ids (doc, snippet, sentence)."""
-    sn = TM.risky_snippets(pf(spark, sf).validated)
-    s = TM.split_sentences(sn, ["doc_id", "snippet_pos"], "snippet")
-    return s.select("*", F.struct("doc_id", "snippet_pos", "sentence_pos").alias("sid"))
-
-
 _DOC_SENTS = ("doc_sents", O.sentences_from("documents", ["doc_id"], "text"))
 _DOC_SID = ("sents", "SELECT struct_pack(doc_id := doc_id, sentence_pos := sentence_pos) AS sid, sentence FROM doc_sents")
 _SNIPS = ("snips", O.snippets_sql())
@@ -629,7 +622,7 @@ SELECT sentence, m AS occurrences, first_sid.doc_id AS first_doc, first_sid.sent
   round(score, 6) AS score FROM t_scored"""))
 def tfidf_sentence_score(spark, sf):
     """TF-IDF row-sum score of every distinct sentence of the documents table."""
-    s = TM.tfidf_scores(_doc_sentences(spark, sf))
+    s = pf(spark, sf).document_corpus.scores()
     return s.select("sentence", F.col("m").alias("occurrences"), F.col("first_sid.doc_id").alias("first_doc"),
                     F.col("first_sid.sentence_pos").alias("first_pos"), r6(F.col("score")).alias("score"))
 
@@ -648,7 +641,7 @@ SELECT sentence, first_sid.doc_id AS first_doc, first_sid.snippet_pos AS first_s
   first_sid.sentence_pos AS first_pos, round(rank_score, 6) AS score FROM t_top"""))
 def corpus_summary(spark, sf):
     """T5: the 10-sentence extractive summary of the risky contract clauses."""
-    top = TM.corpus_summary(_contract_sentences(spark, sf))
+    top = pf(spark, sf).clause_corpus.summary()
     return top.select("sentence", F.col("first_sid.doc_id").alias("first_doc"),
                       F.col("first_sid.snippet_pos").alias("first_snippet"),
                       F.col("first_sid.sentence_pos").alias("first_pos"), r6(F.col("rank_score")).alias("score"))
@@ -659,7 +652,7 @@ SELECT sentence, first_sid.doc_id AS first_doc, first_sid.sentence_pos AS first_
   round(rank_score, 6) AS score FROM t_top"""))
 def document_summary(spark, sf):
     """T5 over the whole documents table."""
-    top = TM.corpus_summary(_doc_sentences(spark, sf))
+    top = pf(spark, sf).document_corpus.summary()
     return top.select("sentence", F.col("first_sid.doc_id").alias("first_doc"),
                       F.col("first_sid.sentence_pos").alias("first_pos"), r6(F.col("rank_score")).alias("score"))
 
@@ -667,7 +660,33 @@ def document_summary(spark, sf):
 @query("clause_themes")
 def clause_themes(spark, sf):
     """Six clause themes (TF-IDF + KMeans) with their ten heaviest terms."""
-    return TM.clause_themes(_contract_sentences(spark, sf))
+    return TM.clause_themes(pf(spark, sf).clause_corpus)
+
+
+@query("theme_examples")
+def theme_examples(spark, sf):
+    """Six example sentences of each of the six themes, nearest to the centroid first."""
+    c = pf(spark, sf).clause_corpus
+    return c.examples(c.fit_themes())
+
+
+#: Centroids given by words, so that SQL can tell their nearest sentences too.
+_WORD_THEMES = (("terminate", "termination", "written notice"), ("payment", "payment terms", "invoice"), ("governed", "laws", "state"))
+_CENTROIDS = [(t, w, 1 / len(ws) ** 0.5) for t, ws in enumerate(_WORD_THEMES) for w in ws]
+
+
+@query("theme_nearest", O.with_extra(["validated"], [_SNIPS, _CON_SENTS, _CON_SID] + O.tfidf_ctes("sents") + [
+    ("c", "SELECT * FROM (VALUES " + ", ".join(f"({t}, {O.q(w)}, {c!r})" for t, w, c in _CENTROIDS) + ") AS c(theme, term, c)"),
+    ("dots", """SELECT first_sid, theme, sum(tf * idf * c) AS dot FROM t_ex JOIN t_vocab USING (term) JOIN c USING (term) GROUP BY first_sid, theme"""),
+    ("away", """SELECT t_ds.first_sid, sentence, m, th.theme, round(sqrt(greatest(0.0, CASE WHEN sw2 > 0 THEN 1.0 - 2 * coalesce(dot, 0.0) / sqrt(sw2) ELSE 0.0 END
+        + size)), 9) AS distance FROM t_ds CROSS JOIN (SELECT theme, sum(c * c) AS size FROM c GROUP BY theme) th
+        LEFT JOIN t_per USING (first_sid) LEFT JOIN dots ON dots.first_sid = t_ds.first_sid AND dots.theme = th.theme"""),
+    ("near", "SELECT * FROM away QUALIFY row_number() OVER (PARTITION BY first_sid ORDER BY distance, theme) = 1"),
+], """SELECT CAST(theme AS BIGINT) AS theme, CAST(row_number() OVER w AS BIGINT) AS rank, sentence, m, round(distance, 6) AS distance
+FROM near WINDOW w AS (PARTITION BY theme ORDER BY distance, first_sid) QUALIFY row_number() OVER w <= 6"""))
+def theme_nearest(spark, sf):
+    """The six sentences nearest to each of three centroids that words define."""
+    return pf(spark, sf).clause_corpus.examples(_CENTROIDS).withColumn("distance", r6(F.col("distance")))
 
 
 # ================================================================== chunks
@@ -715,12 +734,11 @@ _FIELD_SCORES_SQL = " UNION ALL ".join(
 
 
 def _field_scores(c):
-    parts = [c.select("doc_id", "idx", F.lit(f).alias("field"),
-                      CH.keyword_score(F.col("chunk_text"), h).cast("bigint").alias("score")) for f, h in _HINTS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows (doc_id, idx, field, score); every chunk is lower-cased once."""
+    low = c.select("doc_id", "idx", F.lower("chunk_text").alias("low"))
+    scores = [F.struct(F.lit(f).alias("field"), sum((F.contains("low", F.lit(x)).cast("bigint") for x in dict.fromkeys(h)), F.lit(0)).cast("bigint").alias("score"))
+              for f, h in _HINTS]
+    return low.select("doc_id", "idx", F.inline(F.array(*scores)))
 
 
 @query("chunk_keyword_score", O.with_extra(["contracts"], [("ch", _chunks_sql("contracts"))], _FIELD_SCORES_SQL))
@@ -734,24 +752,11 @@ SELECT doc_id, field, rank, idx, score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, idx) AS BIGINT) AS rank FROM sc)
 WHERE rank <= 5"""))
 def chunk_prefilter_top5(spark, sf):
-    """C4: per document and field the five best chunks by hint score (stable on ties), in-row.
-
-    One narrow select per field, unioned: measured faster than building all
-    fields' rankings in a single projection (whose nested array functions
-    Spark evaluates without code generation).
-    """
-    d = _documents(spark, sf).select(
-        "doc_id", CH.make_chunks(F.col("text"), P.CHUNK_SIZE, P.CHUNK_OVERLAP).alias("chunks"))
-    parts = []
-    for f, h in _HINTS:
-        top = CH.prefilter_top(F.col("chunks"), h, 5)
-        parts.append(d.select("doc_id", F.lit(f).alias("field"), F.posexplode(top).alias("r0", "c"))
-                     .select("doc_id", "field", (F.col("r0") + 1).alias("rank"), F.col("c.idx").alias("idx"),
-                             F.col("c.keyword_score").cast("bigint").alias("score")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """C4: per document and field the five best chunks by hint score (stable on ties), in the
+    row: one scan for all fields, no shuffle, no text beyond the scores."""
+    scores = CH.hint_scores(CH.make_chunks(F.col("text"), P.CHUNK_SIZE, P.CHUNK_OVERLAP), _HINTS)
+    d = _documents(spark, sf).select("doc_id", scores.alias("scores"))
+    return d.select("doc_id", F.inline(CH.prefilter_top_all(F.col("scores"), _HINTS, 5)))
 
 
 # ================================================================= explore
@@ -1176,7 +1181,7 @@ def scan_artifacts(spark, sf):
 def report_lines(spark, sf):
     """The cross-reference, analysis and summary reports as lines with their place."""
     p = pf(spark, sf)
-    summary = TM.corpus_summary(_contract_sentences(spark, sf))
+    summary = p.clause_corpus.summary()
     lines = RP.crossref_lines(p.validated)
     more = RP.text_lines(spark, RP.analysis_markdown(p.per_doc, FN.findings(p.validated)) + RP.summary_markdown(p.per_doc, summary), 100)
     return lines.unionByName(more)

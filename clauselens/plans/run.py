@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import policy as P
-from ..operators import crossref, findings as FN, kpis as K, report as RP, textmine as TM
+from ..operators import crossref, findings as FN, kpis as K, report as RP
 from ..operators.extraction import extract_record
 from ..session import apply_defaults, ensure_checkpoint_dir
 from ..sources import files as FS
@@ -51,9 +51,7 @@ def run_documents(docs: DataFrame, out_dir: str, policy: P.Policy = P.current())
     FS.write_csv(pf.per_doc, f"{out}/analyze/per_doc_csv")
     FS.write_json(pf.per_doc, f"{out}/analyze/per_doc_json")
     FS.write_json(K.kpi_document(pf.per_doc), f"{out}/analyze/kpis")
-    sn = TM.split_sentences(TM.risky_snippets(pf.validated), ["doc_id", "snippet_pos"], "snippet")
-    sn = sn.select("*", F.struct("doc_id", "snippet_pos", "sentence_pos").alias("sid"))
-    top = TM.corpus_summary(sn, top_k=policy.top_k_summary, keywords=policy.risk_keywords)
+    top = pf.clause_corpus.summary(policy.top_k_summary, policy.risk_keywords)
     RP.write_lines(RP.text_lines(spark, RP.summary_markdown(pf.per_doc, top), 0), f"{out}/analyze/summary.md")
     findings = FN.findings(pf.validated)
     FS.write_csv(findings, f"{out}/report/findings_csv")
