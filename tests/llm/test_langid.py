@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+import zstandard
 
 from clauselens.llm import langid as L
 import llm_fixtures as X
@@ -68,3 +69,59 @@ def test_held_out_accuracy(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     r = L.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (r.lang == r.lang_pred).mean() > 0.98
+
+
+def brute(text, dictionaries):
+    """(sizes, language, score): every piece with every dictionary, by the definitions."""
+    import unicodedata
+    if not text or not any(unicodedata.category(c)[0] == "L" for c in text):
+        return None, "und", 0.0
+    sizes = {}
+    for lang, d in dictionaries.items():
+        total = 0
+        for i in range(0, len(text), 8192):
+            seen, words = set(), []
+            for w in "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text[i:i + 8192].lower()).encode().split():
+                if w not in seen:
+                    seen.add(w)
+                    words.append(w)
+            c = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            total += len(c.compress(b" ".join(words)))
+        sizes[lang] = total
+    ranked = sorted(sizes.items(), key=lambda x: (x[1], list(dictionaries).index(x[0])))
+    return list(sizes.values()), ranked[0][0], (ranked[1][1] - ranked[0][1]) / ranked[1][1]
+
+
+def test_sizes_choice_and_score_equal_brute_force(spark, docs):  # noqa: F811
+    learned = L.learn(docs)
+    got = {}
+    for r in L.identify(docs).collect():
+        got.setdefault(r["doc_id"], (r["lang_pred"], r["score"]))
+    model = L.Model(learned)
+    for d, t, _ in X.documents():
+        if d is not None and len(t or "") < 60_000:
+            sizes, lang, score = brute(t, learned)
+            assert got[d] == (lang, score), d
+            assert sizes is None or model.sizes(t) == pytest.approx(sizes, abs=0)
+
+
+def test_very_many_lang_values(spark):
+    ids = (i for i in range(10 ** 6) if zlib.crc32(str(i).encode()) % 4 != 2)
+    words = {f"l{k:04d}": " ".join(f"{'abcdefghij'[int(c)]}{c2}{k % 7}x" for c in f"{k:04d}" for c2 in "mnop") for k in range(5000)}
+    rows = [(next(ids), f"{w} " * 3, lang) for lang, w in words.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some = spark.createDataFrame([(i, rows[i][1], None) for i in (7, 4321)] + [(1, None, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in L.identify(some, training=df).collect()}
+    assert got[1]["lang_pred"] == "und" and {got[i]["lang_pred"] for i in (7, 4321)} <= set(words)
+    learned = L.learn(df, max_languages=300)
+    assert len(learned) == 300 and sum(map(len, learned.values())) <= 2 * L.TOTAL_SLICES * L.SLICE_CHARS
+
+
+def test_groups_of_languages_give_the_same(monkeypatch):
+    name = "abcdefghi"
+    dictionaries = {f"l{k}": (f"word{c}word other{c}other thing{c}thing " * 5).encode() for k, c in enumerate(name)}
+    texts = ["worddword thingdthing", "otheriother wordiword", None, "12", "nothing known"]
+    want = L.Model(dictionaries).predict_all(texts)
+    monkeypatch.setattr(L, "HELD", 4)
+    monkeypatch.setattr(L.Model, "ROWS", 2)
+    assert L.Model(dictionaries).predict_all(texts) == want and want[0][0] == "l3" and want[1][0] == "l8"
