@@ -62,6 +62,29 @@ def test_wide_buckets_take_the_bound_and_lose_no_link(spark, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("wide", [4, 64])
+def test_repeated_rows_in_wide_open_buckets(spark, monkeypatch, wide):
+    """Rows that stand in the table many times over count once for rarity and in the joins."""
+    monkeypatch.setattr(N, "WIDE_BUCKET", wide)
+    rng = random.Random(13)
+    rows = hot_group(13, 110)
+    rows += [r for r in rows for _ in range(rng.choice([0, 0, 1, 6]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = N.near_duplicates(df).collect()
+    assert len(out) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in out} == brute(sorted(set(rows)), 3, 85)
+
+
+def test_repeated_rows_do_not_change_what_is_frequent(spark):
+    sets = {i: list(range(100)) + [1000 + i] for i in range(80)}
+    rows = spark.createDataFrame([(7, i, [7]) for i in sets], "key long, rep long, bands array<long>")
+    df = spark.createDataFrame(list(sets.items()), "rep long, shingles array<long>")
+    N.prepare(spark)
+    facts = {r["rep"]: r["frequent"] for r in N.OpenBuckets(rows, df, 85).facts.collect()}
+    assert set(facts.values()) == {100}
+
+
 def test_pair_of_a_wide_and_a_narrow_member_is_made(spark):
     # Document 0 is in a wide bucket and shares a small one with 500, which is in no wide one.
     common = list(range(10 ** 6, 10 ** 6 + 100))
