@@ -45,6 +45,13 @@ def parse(text: str | None) -> Element:
         return root
     stack, at, n = [root], 0, len(text)
     match = _TOKEN.match
+    open_: dict = {}                        # how many elements of a tag are open
+
+    def close(k):
+        for e in stack[k:]:
+            open_[e.tag] -= 1
+        del stack[k:]
+
     while at < n:
         m = match(text, at)
         at = m.end()
@@ -58,25 +65,27 @@ def parse(text: str | None) -> Element:
             break
         tag = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag not in INLINE:               # a block ends an open paragraph
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+            if open_.get("p"):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "p":
+                        close(k)
+                        break
+                    if stack[k].tag not in INLINE:
+                        break
             ends = CLOSES.get(tag)
-            if ends:
+            if ends and any(open_.get(t) for t in ends.split()):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in HOLDERS:
                         break
                     if stack[k].tag in ends.split():
-                        del stack[k:]
+                        close(k)
                         break
         e = Element(tag, _names(m[3]))
         stack[-1].children.append(e)
@@ -86,36 +95,45 @@ def parse(text: str | None) -> Element:
             at = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(e)
+            open_[tag] = open_.get(tag, 0) + 1
     return root
 
 
-def blocks(root: Element, skip) -> list:
+def blocks(root: Element, skip, fixed=None) -> list:
     """Texts of the blocks below an element in page order: character references decoded,
-    white space reduced to one space, trimmed, empty ones left out. ``skip(element)``
-    leaves out a whole subtree. Walks without recursion, so depth has no limit."""
+    white space reduced to one space, trimmed, empty ones left out. ``skip(element, path)``
+    leaves out a whole subtree; the path is the keys from the root down to the element. A block
+    whose texts are all ``fixed(path, text)`` is left out too. Walks without recursion, so depth
+    has no limit."""
     out: list = []
     run: list = []
+    varies = fixed is None
 
     def flush():
+        nonlocal varies
         if run:
             t = " ".join(html.unescape("".join(run)).split())
-            if t:
+            if t and varies:
                 out.append(t)
             run.clear()
+        varies = fixed is None
 
-    todo: list = [(root, False)]
+    todo: list = [(root, False, "")]
     while todo:
-        node, closing = todo.pop()
+        node, closing, path = todo.pop()
         if isinstance(node, str):
             run.append(node)
+            if not varies and not node.isspace() and not fixed(path, node):
+                varies = True
         elif closing:
             flush()
         elif node.tag == "br":
             run.append(" ")
-        elif not skip(node):
+        elif not skip(node, path):
             if node.tag not in INLINE:
                 flush()
-                todo.append((node, True))
-            todo.extend((c, False) for c in reversed(node.children))
+                todo.append((node, True, path))
+            below = path if node is root else f"{path}/{node.key}"
+            todo.extend((c, False, below) for c in reversed(node.children))
     flush()
     return out

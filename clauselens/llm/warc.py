@@ -107,7 +107,7 @@ def visible_text(payload: str, media_type: str) -> str:
     """Lines of visible text; plain text as it is."""
     if media_type == "text/plain":
         return payload
-    return "\n".join(blocks(parse(payload), lambda e: e.tag in INVISIBLE))
+    return "\n".join(blocks(parse(payload), lambda e, _: e.tag in INVISIBLE))
 
 
 CONVERTED = ("text/html", "application/xhtml+xml", "text/plain")

@@ -78,3 +78,97 @@ def test_given_pages_against_a_plain_reader(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     want = {r["page_id"]: plain(r["html"]) for r in df.collect()}
     assert {r["page_id"]: r["text"] for r in W.extract(df).collect()} == want
+
+
+# ------------------------------------------------------------------ the wrapper makes the text
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in W.extract(df).orderBy("page_id").collect()]
+
+
+def test_fixed_texts_of_the_host_are_left_out_and_slots_stay(spark):
+    pages = [f"<article><h1>Title {i}</h1><div>Share on X</div><p>Text {i} of it</p><ul><li><a href=x>More of our news</a></ul><p>Always said here</p>"
+             f"<div>Author {i}</div><div>Part <b>{i}</b> of it</div></article>" for i in range(9)]
+    got = extracted(spark, pages)
+    assert got == [f"Title {i}\nText {i} of it\nAlways said here\nAuthor {i}\nPart {i} of it" for i in range(9)]
+    # Without the wrapper the texts of the host stay; so they do on hosts with few different pages.
+    assert [W.main_text(p, None) for p in pages] != got
+    assert all("Share on X" in t for t in extracted(spark, pages[:4] * 5))
+
+
+def test_readers_records_go_under_any_class_also_where_one_stands_alone(spark):
+    def page(i, n):
+        records = "".join(f"<div class='item'><span class='user'>Ann {k}</span><time>now</time><p>Nice {k}!</p></div>" for k in range(n))
+        return f"<article><h1>T{i}</h1><p>Text {i}</p><p>And more {i}</p><div class='talk'>{records}</div></article>"
+
+    pages = [page(i, n) for i, n in enumerate((3, 1, 0, 2, 1))]
+    assert extracted(spark, pages) == [f"T{i}\nText {i}\nAnd more {i}" for i in range(5)]
+    assert "Nice" in W.main_text(pages[1], None)              # one record alone says nothing
+    # Repeated parts of an article that name nobody stay.
+    steps = [f"<article><div class='step'><h2>Step {k}</h2><p>Do {k}</p></div><div class='step'><h2>Then {k}</h2><p>Go {k}</p></div></article>" for k in range(6)]
+    assert extracted(spark, steps) == [f"Step {k}\nDo {k}\nThen {k}\nGo {k}" for k in range(6)]
+
+
+def test_names_of_comments_and_notices():
+    for name in ("discussion", "responses", "cookiebar", "commentlist", "thread", "site-discussion"):
+        assert W.main_text(f"<article><p>Text</p><div class='{name}'>Out</div></article>", None) == "Text"
+    assert W.main_text("<article><p>Text</p><div class='commentary'>In</div></article>", None) == "Text\nIn"
+
+
+def test_own_header_stays_and_other_headers_go():
+    assert W.main_text("<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>Text</p><header>Skip</header></article></body>", None) == "Title\nText"
+
+
+def test_a_form_around_the_page_is_no_form(spark):
+    page = "<body><form id='aspnetForm'>%s<form><p>Name</p><input></form></form></body>"
+    assert W.main_text(page % "<article><h1>T</h1><p>Text</p></article>", None) == "T\nText"
+    assert W.main_text(page % "<div><h1>T</h1><p>A long text of the page</p><p>and more of it</p></div>", None) == "T\nA long text of the page\nand more of it"
+    assert W.main_text("<body><article><p>Text of the page that is long</p><form><p>Your name</p></form></article></body>", None) == "Text of the page that is long"
+    assert extracted(spark, [page % f"<article><p>Text {i}</p></article>" for i in range(6)]) == [f"Text {i}" for i in range(6)]
+
+
+def test_long_flat_pages_take_little_time_and_memory():
+    import resource
+    import time
+    before, t0 = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.monotonic()
+    pages = ["<article>" + "".join(f"line {k} of {p}<br>" for k in range(n)) + "</article>" for p, n in (("a", 50_000), ("b", 49_999))]
+    w = W.merged(W.page_wrapper(pages[0]), W.page_wrapper(pages[1]))
+    assert len(W.json.dumps(w)) < 10_000                       # folded, whatever the length
+    assert W.main_text(pages[0], W.read_rules(W.json.dumps(W.host_rules(w)))).count("line") == 50_000
+    mixed = [["<p>x</p>", "<h2>y</h2>", "<ul><li>z</ul>", "text", "<pre>q</pre>"][(k * k + s * k // 7) % 5] for s in (1, 5) for k in range(20_000)]
+    W.merged(W.page_wrapper("<main>" + "".join(mixed[:20_000]) + "</main>"), W.page_wrapper("<main>" + "".join(mixed[20_000:]) + "</main>"))
+    assert time.monotonic() - t0 < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000     # KB
+
+
+def test_unmatched_tags_do_not_stall():
+    import time
+    t0 = time.monotonic()
+    parse("<div>" * 50_000 + "</section>" * 50_000 + "<li>" * 10)
+    assert time.monotonic() - t0 < 5
+
+
+def test_alignments_are_common_subsequences():
+    import random
+    rng = random.Random(2)
+    for table in (250_000, 0):
+        limit, W.MAX_TABLE = W.MAX_TABLE, table
+        try:
+            for _ in range(60):
+                a, b = ([rng.choice("abcdefgh") + rng.choice(["", str(rng.randrange(30))]) for _ in range(rng.randint(0, 40))] for _ in range(2))
+                pairs = W._common(a, b)
+                assert all(a[x] == b[y] for x, y in pairs)
+                assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        finally:
+            W.MAX_TABLE = limit
+    assert W._common(list("abcde"), list("abxde")) == [(0, 0), (1, 1), (3, 3), (4, 4)]
+
+
+def test_wrapper_does_not_depend_on_the_order_of_pages(spark):
+    pages = [f"<article><h1>T{i}</h1>" + "<p>x</p>" * (i % 4) + ("<div>Share on X</div>" if i % 2 else "<div>Share on X</div><ul><li>a</ul>") + f"<p>{i}</p></article>" for i in range(12)]
+    df = spark.createDataFrame([(f"http://h.example/{i}", p) for i, p in enumerate(pages)], "url string, html string")
+    import json
+    rules = {json.dumps(W.host_rules(json.loads(W.host_wrappers(d).first()["wrapper"])))
+             for d in (df.coalesce(1), df.orderBy(df.url.desc()).coalesce(1), df.repartition(7))}
+    assert len(rules) == 1
