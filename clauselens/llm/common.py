@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import apply_defaults, ensure_checkpoint_dir
 
 
+ROWS_AT_ONCE = 1024
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session defaults, shipped package and checkpoint folder."""
     apply_defaults(spark)
@@ -21,8 +24,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
-    """``mapInArrow`` with a plain function over record batches (one call a task)."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with a plain function over record batches (one call a task), handed on in
+    slices of ``ROWS_AT_ONCE``, so that a worker holds few texts as Python objects at a time."""
+
+    def run(batches):
+        return fn(b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, max(1, b.num_rows), ROWS_AT_ONCE))
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list:
