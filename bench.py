@@ -49,6 +49,10 @@ def main() -> None:
 
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus),
                           extra={"spark.driver.memory": "16g"})
+    # A fixed piece of work, so that runs on machines of different speed can be told apart.
+    t0 = time.time()
+    spark.range(0, 300_000_000, 1, cpus).selectExpr("sum(xxhash64(id) % 1000)").collect()
+    calibration = round(time.time() - t0, 3)
     times = {}
     for key in HEADLINE:
         fn = REGISTRY.get(key)
@@ -59,7 +63,7 @@ def main() -> None:
         times[key] = round(time.time() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus}))
+                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "calibration": calibration}))
     spark.stop()
 
 

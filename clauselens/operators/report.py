@@ -105,10 +105,10 @@ def analysis_markdown(per_doc: DataFrame, fnd: DataFrame, policy: P.Policy = P.c
     cols = ["doc_id", "risk_score", "risk_bucket", "issues_count", "payment_net_days", "governing_law"]
     lines += FN.markdown_table(per_doc, cols, [F.desc("risk_score"), "doc_id"], policy.top_risky_docs)
     lines.append("")
-    sec = FN.report_sections(fnd).cache()
+    shown = sorted(FN.report_sections(fnd).collect(), key=lambda r: r["row"])     # ten rows a section at most
     for title, _ in FN.SECTIONS:
         lines.append(f"## {title}\n")
-        rows = sec.where(F.col("section") == title).orderBy("row").collect()
+        rows = [r for r in shown if r["section"] == title]
         if not rows:
             lines.append("_none_\n")
             continue
@@ -118,5 +118,4 @@ def analysis_markdown(per_doc: DataFrame, fnd: DataFrame, policy: P.Policy = P.c
         lines += ["", "**Representative Quotes:**"]
         lines += [f"> {r['quote'].strip()}" for r in rows if r["quote"] and r["quote"].strip()]
         lines.append("")
-    sec.unpersist()
     return lines
