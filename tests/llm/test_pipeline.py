@@ -29,7 +29,7 @@ def folder(spark, docs, tmp_path_factory):
 
 def test_stages_and_names():
     assert [n for n, _ in C.STAGES] == ["language_id", "quality_rules", "near_dedup", "decontamination", "sentencepiece"]
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLE) <= set(QUERIES)
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(ORACLE) <= set(QUERIES)
 
 
 def test_run_equals_brute_force(spark, docs, folder):
