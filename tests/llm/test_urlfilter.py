@@ -7,7 +7,8 @@ from clauselens.llm import urlfilter as U
 
 URLS = ["http://a.net/x", "https://Example.NET/en/1", "http://www.example.net/en/", "http://example.net/en", "http://x.example.com/de/y?q#f",
         "http://x.org/fr/1", "http://x.org/en/", "http://net/", "http://net", "http://badnet/", "http://a.net?x=/", "no scheme", "", None,
-        "http://a.net:80/x", "http:///path", "x://y://net/", "http://a.net./x", "http://ex\u00c9.net/\u00e9", "http://a.net/x", "ftp://a..net//en/"]
+        "http://a.net:80/x", "http:///path", "x://y://net/", "http://a.net./x", "http://ex\u00c9.net/\u00e9", "http://a.net/x", "ftp://a..net//en/",
+        "http://" + "a." * 3000 + "example.net/en/x", "http://.net/", "http://./", "http://deep.b.c.org/fr/"]
 
 
 def brute(url, rules, default="allow"):
@@ -22,7 +23,8 @@ def brute(url, rules, default="allow"):
     return host, path, best[2], best[3]
 
 
-@pytest.mark.parametrize("rules", [U.CONTRACT_RULES, (("net", "", "block"), ("a.net", "/x", "allow"), ("org", "/fr", "block"), ("COM", "/de/y", "block"))])
+@pytest.mark.parametrize("rules", [U.CONTRACT_RULES, (("net", "", "block"), ("a.net", "/x", "allow"), ("org", "/fr", "block"), ("COM", "/de/y", "block")),
+                                   (("b.c.org", "/fr", "block"), ("example.net", "/", "allow"))])
 def test_verdicts_equal_brute_force(spark, rules):
     pages = spark.createDataFrame([(i, u, "h", "v", "r") for i, u in enumerate(URLS)] + [(None, URLS[0], "h", "v", "r")],
                                   "page_id long, url string, host string, verdict string, rule string")
