@@ -1,10 +1,12 @@
 """Operator 2: quality rules with an isolation forest on rule statistics.
 
 Every document yields counts (words, symbols, repeated lines, repeated three-word
-windows, upper case, exclamation marks, short words). Two fixed rules reject a
+windows, upper case, exclamation marks, short words, lines). Two fixed rules reject a
 document outright (``base_failed``). For the others shares of these counts go down
 the trees of an isolation forest: random splits isolate unusual documents early, so
-a short mean path means an anomaly. The forest is fitted on a bounded sample of the
+a short mean path means an anomaly. Repeated lines and windows enter with what their
+share exceeds ``USUAL_REPEATS`` by: good documents repeat a few lines too, and raw
+shares would make anomalies of them. The forest is fitted on a bounded sample of the
 labelled rows (``SAMPLE_ROWS``); the score limit is calibrated on all labelled rows,
 aggregated by score, as the limit with the best balanced accuracy.
 
@@ -31,13 +33,15 @@ SAMPLE_ROWS = 4096
 TREES = 100
 TREE_ROWS = 256
 SEED = 20240229
+#: Share of repeated lines or words up to which repetition is nothing unusual: half the base rule's limit.
+USUAL_REPEATS = MAX_REPEAT_PERCENT / 200
 #: Scores are compared in steps of 1/SCORE_STEPS, so calibration groups are few.
 SCORE_STEPS = 2000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-          "n_upper", "n_marks", "n_short")
+          "n_upper", "n_marks", "n_short", "n_lines")
 COUNT_SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
-SHARES = ("mean_word", "symbols", "upper", "marks", "short")
+SHARES = ("mean_word", "symbols", "upper", "marks", "short", "excess_lines", "excess_repeats")
 
 _SPACE = [0x20, *range(0x09, 0x0E)]
 _SYMBOLS = [ord(c) for c in "#*$%&|<>"]
@@ -62,15 +66,16 @@ def doc_counts(text: bytes | None) -> tuple:
                 covered[j:n - 2 + j] |= at
             repeated = int(covered.sum())
     return (n, chars, int(byte[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated,
-            int(byte[0x41:0x5B].sum()), int(byte[0x21]), int(np.count_nonzero(end - start < 4)))
+            int(byte[0x41:0x5B].sum()), int(byte[0x21]), int(np.count_nonzero(end - start < 4)), len(lines))
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
     """Counts (rows of ``COUNTS``) as the forest's inputs (columns of ``SHARES``)."""
     c = np.asarray(counts, np.float64).reshape(-1, len(COUNTS))
-    words, chars, symbols, _, _, upper, marks, short = c.T
+    words, chars, symbols, dup_lines, repeated, upper, marks, short, lines = c.T
     w, ch = np.maximum(words, 1), np.maximum(chars, 1)
-    return np.stack([chars / w, symbols / ch, upper / ch, marks / ch, short / w], 1)
+    excess = (np.maximum(x - USUAL_REPEATS, 0) for x in (dup_lines / np.maximum(lines, 1), repeated / w))
+    return np.stack([chars / w, symbols / ch, upper / ch, marks / ch, short / w, *excess], 1)
 
 
 def base_failed(counts: np.ndarray) -> np.ndarray:

@@ -52,6 +52,20 @@ def test_forest_scores_outliers_higher_and_is_deterministic():
     assert np.isfinite(same.score(np.ones((2, 2)))).all()
 
 
+def test_repetition_goes_down_the_trees():
+    c = dict.fromkeys(Q.COUNTS, 0) | {"n_words": 100, "word_chars": 500, "n_lines": 10}
+    row = lambda **k: list((c | k).values())
+    usual, lines, words = Q.shares([row(n_dup_lines=2, n_repeat_words=20), row(n_dup_lines=5), row(n_repeat_words=45)])
+    assert (usual == Q.shares([row()])[0]).all()
+    assert lines[Q.SHARES.index("excess_lines")] == 0.25 and words[Q.SHARES.index("excess_repeats")] == pytest.approx(0.2)
+    rng = np.random.default_rng(2)
+    rows = np.array([row(word_chars=w, n_dup_lines=d) for w, d in zip(rng.integers(450, 550, 400), [8, 0, 0, 0, 0, 0, 0, 0] * 50)])
+    rows[8:, Q.COUNTS.index("n_dup_lines")] = 0                     # one document of many repeated lines among 400
+    forest = Q.IsolationForest(Q.shares(rows), tree_rows=400)
+    score = forest.score(Q.shares(rows))
+    assert score[0] > np.quantile(score[1:], 0.95)
+
+
 def test_limit_calibration():
     assert Q.best_limit([(0.4, 10, 0), (0.5, 5, 1), (0.7, 0, 8)]) == pytest.approx(0.6)
     assert Q.best_limit([(0.4, 10, 0)]) == 1.0 and Q.best_limit([]) == 1.0
