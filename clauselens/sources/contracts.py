@@ -11,12 +11,13 @@ text was rendered from.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .tables import read_table, spread
+from .tables import deal_rows, read_table, spread
 
-# Placeholders {orders} {customer} {nation} are filled with DataFrames in Spark
-# and with view names in the DuckDB oracle.
-CONTRACTS_SQL = """
+# The SELECT list reads rows o, c and n. Spark hands them joined, c and n as structs beside the
+# columns of o; the DuckDB oracle fills {orders} {customer} {nation} with view names.
+CONTRACT_COLUMNS = """
 SELECT 'C' || lpad(CAST(o.o_orderkey AS STRING), 8, '0') || '.txt' AS doc_id,
   'MASTER SUPPLY AGREEMENT. This Agreement is '
   || CASE WHEN o.o_orderkey % 31 = 0 THEN 'offered by ' ELSE 'made by and between ' END
@@ -40,20 +41,34 @@ SELECT 'C' || lpad(CAST(o.o_orderkey AS STRING), 8, '0') || '.txt' AS doc_id,
   || CASE WHEN o.o_orderkey % 10 = 3 THEN '' ELSE 'Termination. Either party may terminate this Agreement upon ' || CAST(10 * (1 + o.o_orderkey % 9) AS STRING) || ' days written notice'
        || CASE WHEN o.o_orderkey % 5 = 2 THEN ' following a material breach of this Agreement. ' ELSE ' to the other party. ' END END
   || 'IN WITNESS WHEREOF the undersigned have executed this Agreement.' AS text
-FROM {orders} o
+"""
+CONTRACT_ROWS = """FROM {orders} o
 JOIN {customer} c ON o.o_custkey = c.c_custkey
 JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 """
 
 
+CONTRACTS_SQL = CONTRACT_COLUMNS + CONTRACT_ROWS
+
+#: Contracts of one task of the stages that follow: a few seconds of patterns and some 30 MB.
+CONTRACTS_PER_TASK = 25_000
+
+
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text)`` for every order of the given scale factor."""
-    return spark.sql(
-        CONTRACTS_SQL,
-        orders=spread(read_table(spark, sf_dir, "orders"), "o_orderkey"),
+    """``(doc_id, text)`` for every order of the given scale factor.
+
+    The narrow rows are joined first and then dealt to as many tasks as there are rows for;
+    texts are rendered after that, in the task that reads them. A join leaves tasks of the
+    size of its narrow rows, each of which would render and read a multiple of that."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    rows = spark.sql(
+        "SELECT o.*, struct(c.c_name) AS c, struct(n.n_name) AS n " + CONTRACT_ROWS,
+        orders=spread(orders, "o_orderkey"),
         customer=read_table(spark, sf_dir, "customer"),
         nation=read_table(spark, sf_dir, "nation"),
     )
+    dealt = deal_rows(rows, orders.count(), CONTRACTS_PER_TASK, F.xxhash64(*rows.columns))
+    return spark.sql(CONTRACT_COLUMNS + "FROM {rows} o", rows=dealt)
 
 
 def contracts_sql_duckdb() -> str:

@@ -30,6 +30,13 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *by)
 
 
+def deal_rows(df: DataFrame, rows: int, per_task: int, *by) -> DataFrame:
+    """``df`` of some ``rows`` rows dealt by hash to tasks of about ``per_task`` rows, at least the
+    session's parallelism: tasks keep their size as the table grows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(n, -(-rows // per_task)), *by)
+
+
 def documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """The ``documents`` table; ``lang`` is pushed down to the scan."""
     df = read_table(spark, sf_dir, "documents")
