@@ -45,15 +45,15 @@ def run_documents(docs: DataFrame, out_dir: str, policy: P.Policy = P.current())
     pf = Portfolio(spark, "", policy, docs=docs)
     FS.write_json(extract_record(pf.extracted), f"{out}/extract/records")
     FS.write_json(pf.validated, f"{out}/validate/documents")
-    for name, part in crossref.crossref_report(pf.validated).items():
+    for name, part in crossref.crossref_report(pf.marked).items():
         FS.write_json(part, f"{out}/validate/crossref/{name}")
-    RP.write_lines(RP.crossref_lines(pf.validated), f"{out}/validate/crossref/report.md")
+    RP.write_lines(RP.crossref_lines(pf.marked), f"{out}/validate/crossref/report.md")
     FS.write_csv(pf.per_doc, f"{out}/analyze/per_doc_csv")
     FS.write_json(pf.per_doc, f"{out}/analyze/per_doc_json")
     FS.write_json(K.kpi_document(pf.per_doc), f"{out}/analyze/kpis")
     top = pf.clause_corpus.summary(policy.top_k_summary, policy.risk_keywords)
     RP.write_lines(RP.text_lines(spark, RP.summary_markdown(pf.per_doc, top), 0), f"{out}/analyze/summary.md")
-    findings = FN.findings(pf.validated)
+    findings = pf.findings
     FS.write_csv(findings, f"{out}/report/findings_csv")
     FS.write_json(findings, f"{out}/report/findings_json")
     RP.write_lines(RP.text_lines(spark, RP.analysis_markdown(pf.per_doc, findings, policy), 0), f"{out}/report/report.md")
