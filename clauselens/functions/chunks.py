@@ -26,18 +26,21 @@ def make_chunks(text: Column, size: int = 2000, overlap: int = 150) -> Column:
     if size <= 0:
         raise ValueError("chunk size must be positive")
     stride = size - overlap if size > overlap else size
-    n = F.length(text)
-    k_last = F.greatest(F.lit(0), F.ceil((n - F.lit(size)) / F.lit(stride))).cast("int")
-    body = F.transform(
-        F.sequence(F.lit(0), k_last),
-        lambda k: _chunk(text, k, k * stride, F.least(n, k * stride + size)),
-    )
-    tail_start = n - F.lit(overlap)
-    has_tail = (F.lit(overlap > 0)) & (tail_start > k_last * stride)
-    tail = F.array(_chunk(text, k_last + 1, tail_start, n))
-    chunks = F.when(has_tail, F.concat(body, tail)).otherwise(body)
-    return F.when(n > 0, chunks).otherwise(
-        F.array().cast("array<struct<idx:int,start:int,end:int,text:string>>"))
+
+    def of(n):                                             # bound once: a length is counted over the whole text
+        k_last = F.greatest(F.lit(0), F.ceil((n - F.lit(size)) / F.lit(stride))).cast("int")
+        body = F.transform(
+            F.sequence(F.lit(0), k_last),
+            lambda k: _chunk(text, k, k * stride, F.least(n, k * stride + size)),
+        )
+        tail_start = n - F.lit(overlap)
+        has_tail = (F.lit(overlap > 0)) & (tail_start > k_last * stride)
+        tail = F.array(_chunk(text, k_last + 1, tail_start, n))
+        chunks = F.when(has_tail, F.concat(body, tail)).otherwise(body)
+        return F.when(n > 0, chunks).otherwise(
+            F.array().cast("array<struct<idx:int,start:int,end:int,text:string>>"))
+
+    return F.get(F.transform(F.array(F.length(text)), of), 0)
 
 
 def keyword_score(chunk_text: Column, hints) -> Column:

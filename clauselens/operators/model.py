@@ -58,33 +58,60 @@ def _lcs_wide(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def _window_scores(needle: str, text: np.ndarray, text_from: np.ndarray) -> np.ndarray:
-    """Best score of ``needle`` over the windows of each of several texts, given one after
-    another with their starts. All windows run through the bit-parallel LCS in lanes."""
-    m = len(needle)
-    code = _codes(needle)
-    kinds = np.unique(code)
-    bits = np.zeros(len(kinds), np.uint64)
-    np.bitwise_or.at(bits, np.searchsorted(kinds, code), np.uint64(1) << np.arange(m, dtype=np.uint64))
-    at = np.minimum(np.searchsorted(kinds, text), len(kinds) - 1)
-    masks = np.concatenate([np.where(kinds[at] == text, bits[at], np.uint64(0)), np.zeros(m, np.uint64)])
-    ends = np.append(text_from[1:], len(text))
-    # Windows start at the needle's first character or end at its last one.
-    owner = np.repeat(np.arange(len(text_from)), ends - text_from)
-    heads, tails = np.flatnonzero(text == code[0]), np.flatnonzero(text == code[-1])
-    starts = np.unique(np.concatenate([heads, np.maximum(tails - m + 1, text_from[owner[tails]])]))
-    best = np.zeros(len(text_from))
-    if len(starts):
-        own = owner[starts]
-        size = np.minimum(ends[own] - starts, m)
-        full = np.uint64((1 << m) - 1)
-        v = np.full(len(starts), full)
-        for j in range(m):
-            u = v & np.where(j < size, masks[starts + j], np.uint64(0))
-            v = ((v + u) | (v - u)) & full
-        lcs = m - np.bitwise_count(v).astype(np.int64)
-        np.maximum.at(best, own, 200.0 * lcs / (m + size))
-    return best
+class _Lanes:
+    """Texts laid out for the bit-parallel LCS: the characters of all texts, each followed by
+    ``GAP`` blanks that match nothing, as numbers of the characters that needles have (0: none)."""
+
+    GAP = 63
+
+    def __init__(self, needles, texts: list):
+        self.kinds = {ch: k for k, ch in enumerate(sorted(set("".join(needles))), 1)}
+        code = _codes(("\0" * self.GAP).join([*texts, ""]))
+        top = max(map(ord, self.kinds))
+        table = np.zeros(top + 2, np.intp)
+        table[[ord(ch) for ch in self.kinds]] = [*self.kinds.values()]
+        self.at = table[np.minimum(code, top + 1)]
+        self.sizes = np.array([len(t) for t in texts])
+        self.ends = np.cumsum(self.sizes + self.GAP) - self.GAP
+        self.starts = self.ends - self.sizes
+        self.inside = np.ones(len(code), bool)
+        gaps = (self.ends[:, None] + np.arange(self.GAP)).ravel()
+        self.at[gaps] = 0
+        self.inside[gaps] = False
+        self.kind = self.at.astype(np.min_scalar_type(len(self.kinds)))  # the same, quick to compare
+
+    def scores(self, needle: str) -> np.ndarray:
+        """Best score of ``needle`` over the windows of each text. The LCS runs at every place of
+        the texts at once, a lane per place and no wider than the needle needs; of them only
+        windows that start at the needle's first character or end at its last one count."""
+        m = len(needle)
+        lane = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if m <= np.iinfo(t).bits)
+        bits = np.zeros(len(self.kinds) + 1, lane)
+        for i, ch in enumerate(needle):
+            bits[self.kinds[ch]] |= lane(1 << i)
+        masks = np.take(bits, self.at)
+        n = len(masks) - m + 1                             # windows after that lie in the last gap
+        full = lane((1 << m) - 1)
+        v = np.full(n, full)
+        u, t = np.empty_like(v), np.empty_like(v)
+        for j in range(m):                                 # v = (v + u) | (v - u); bits above the needle's never come down
+            np.bitwise_and(v, masks[j:j + n], out=u)
+            np.add(v, u, out=t)
+            np.bitwise_xor(v, u, out=v)
+            np.bitwise_or(v, t, out=v)
+        lcs = np.bitwise_count(np.bitwise_and(np.invert(v, out=v), full, out=v))
+        tail = self.kind == self.kinds[needle[-1]]
+        counts = (self.kind[:n] == self.kinds[needle[0]]) | tail[m - 1:]
+        counts[self.starts] |= tail[self.starts[:, None] + np.arange(m)].any(axis=1)
+        lcs *= (counts & self.inside[:n]).view(np.uint8)
+        # Windows cut by the end of their text are shorter, so they are scored one by one.
+        short = np.arange(1, m)
+        cut = self.ends[:, None] - short
+        held = cut >= self.starts[:, None]
+        cut = np.where(held, cut, 0)
+        best = (np.where(held, lcs[cut], 0) * 200.0 / (m + short)).max(axis=1, initial=0.0)
+        lcs[cut[held]] = 0
+        return np.maximum(best, 200.0 * np.maximum.reduceat(lcs, self.starts) / (m + m))
 
 
 def partial_ratios(needle: str, texts: list) -> np.ndarray:
@@ -105,8 +132,7 @@ def partial_ratios(needle: str, texts: list) -> np.ndarray:
             starts = {k for k, ch in enumerate(t) if ch == needle[0]} | {max(0, k - m + 1) for k, ch in enumerate(t) if ch == needle[-1]}
             out[i] = max((200.0 * _lcs_wide(needle, t[s:s + m]) / (m + len(t[s:s + m])) for s in starts), default=0.0)
         return out
-    sizes = [len(texts[i]) for i in rest]
-    out[rest] = _window_scores(needle, _codes("".join(texts[i] for i in rest)), np.cumsum([0, *sizes[:-1]]))
+    out[rest] = _Lanes([needle], [texts[i] for i in rest]).scores(needle)
     return out
 
 
@@ -115,36 +141,55 @@ def partial_ratio(needle: str, hay: str) -> float:
     return float(partial_ratios(needle, [hay])[0])
 
 
-@pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def fuzzy_scores(rows: pd.Series) -> pd.Series:
-    """U4: per row (a list of (hints, texts), or null) the best partial ratio of the hints for each
-    text; a null text scores 100, it holds a hint. All texts of a batch with the same hints
-    are compared at once."""
-    todo: dict = {}
-    for i, entries in enumerate(rows):
-        for j, e in enumerate(entries if entries is not None else ()):
-            for k, t in enumerate(e["texts"]):
-                if t is not None:
-                    todo.setdefault(tuple(e["hints"]), []).append((i, j, k, t.lower()))
-    out = [None if entries is None else [[100.0] * len(e["texts"]) for e in entries] for entries in rows]
-    for hints, places in todo.items():
-        for at in range(0, len(places), 256):              # about half a million characters at once
-            part = places[at:at + 256]
-            best = np.max([partial_ratios(h, [p[3] for p in part]) for h in hints], axis=0)
-            for (i, j, k, _), score in zip(part, best.tolist()):
-                out[i][j][k] = score
-    return pd.Series(out)
+#: Texts laid out at once: their lanes stay in the processor's cache.
+TEXTS_AT_ONCE = 32
 
 
-# ------------------------------------------------------------------ C4-C6
+def best_ratios(hints, texts: list) -> np.ndarray:
+    """U4: the best ``partial_ratios`` over several hints, per text. Texts are laid out once for all hints."""
+    best = np.zeros(len(texts))
+    some = [i for i, t in enumerate(texts) if t]
+    narrow = [h for h in dict.fromkeys(hints) if h and len(h) <= _Lanes.GAP]
+    for h in dict.fromkeys(hints):
+        if len(h) > _Lanes.GAP:
+            np.maximum(best, partial_ratios(h, texts), out=best)
+    for at in range(0, len(some) if narrow else 0, TEXTS_AT_ONCE):
+        part = some[at:at + TEXTS_AT_ONCE]
+        lanes = _Lanes(narrow, [texts[i] for i in part])
+        best[part] = np.max([best[part], *map(lanes.scores, narrow)], axis=0)
+    return best
+
 
-def _with_containment(hints):
-    def of(c):
-        held = CH.hint_contained(c["text"], hints) if hints else F.lit(False)
-        return F.struct(c["start"].alias("chunk_start"), c["text"].alias("chunk_text"), held.alias("contained"))
-    return of
+def fuzzy_scores(hints: list):
+    """U4 as a function of three columns: the texts of a row, their numbers, and per list in
+    ``hints`` that is wanted a struct (no, misses), the number of the list and those of the
+    texts to compare with it. Gives per text the best partial ratio for each list (null where
+    it is not wanted). A text wanted for several lists comes once."""
+    @pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def scores(texts: pd.Series, numbers: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = [None if r is None else [[None] * len(hints) for _ in r] for r in texts]
+        groups: dict = {}                                  # lists a text is compared with -> rows of scores, texts
+        for row, r, ids, entries in zip(out, texts, numbers, wanted):
+            of: dict = {}
+            for e in entries if r is not None else ():
+                for i in e["misses"]:
+                    of.setdefault(i, set()).add(e["no"])
+            for scored, text, i in zip(row or (), r if r is not None else (), ids if r is not None else ()):
+                groups.setdefault(tuple(sorted(of[i])), []).append((scored, text))
+        for ks, places in groups.items():
+            for at in range(0, len(places), 256):          # about half a million characters at once
+                part = places[at:at + 256]
+                low = [t.lower() for _, t in part]
+                for k in ks:
+                    for (scored, _), best in zip(part, best_ratios(hints[k], low).tolist()):
+                        scored[k] = best
+        return pd.Series(out)
+
+    return scores
 
 
+# ------------------------------------------------------------------ C4-C6
+
 def with_requests(docs: DataFrame, fields, policy: P.Policy = P.current(), text_col: str = "text",
                   keep: int | None = None) -> DataFrame:
     """C4-C6 in the row: ``docs`` with the array ``requests`` (field, rank, chunk_start, chunk_text,
@@ -155,42 +200,56 @@ def with_requests(docs: DataFrame, fields, policy: P.Policy = P.current(), text_
     several chunks, and of them the chunks without a hint; elsewhere the order cannot depend
     on it and the score of such a chunk is 0. With a column ``failing`` (names of fields) only
     these fields of a row are ranked.
+
+    Every chunk is lower-cased once for all fields, and what is sorted and filtered per field
+    are numbers of chunks: texts are looked up for the UDF, once per chunk, and for the result.
     """
-    hints = dict(policy.field_hints)
+    words = dict(policy.field_hints)
+    hinted = [(f, words[f]) for f in dict.fromkeys(fields) if words.get(f)]
+    number = {f: k for k, (f, _) in enumerate(hinted)}
     keep = policy.prefilter_chunks if keep is None else keep
     wanted = "failing" in docs.columns
     chunks = CH.make_chunks(F.col(text_col), policy.chunk_size, policy.chunk_overlap)
     if wanted:
         chunks = F.when(F.size("failing") > 0, chunks)
+    none = F.array().cast("array<int>")
     entries = []
     for f in fields:
-        h = hints.get(f, ())
-        top = CH.prefilter_top(F.col("_chunks"), h, keep) if h else F.col("_chunks")
-        entry = F.struct(F.lit(f).alias("field"), F.array(*map(F.lit, h)).cast("array<string>").alias("hints"),
-                         F.transform(top, _with_containment(h)).alias("top"))
+        if f in number:
+            order = F.array_sort(F.transform("_held", lambda x: F.struct((-x[f]).alias("neg"), x["idx"].alias("idx"))))  # noqa: B023
+            top = F.transform(F.slice(order, 1, keep), lambda x: F.struct(x["idx"].alias("idx"), (x["neg"] < 0).alias("contained")))
+        else:
+            top = F.transform("_chunks", lambda c: F.struct(c["idx"].alias("idx"), F.lit(False).alias("contained")))
+        entry = F.struct(F.lit(f).alias("field"), F.lit(number.get(f, -1)).alias("no"), top.alias("top"))
         entries.append(F.when(F.array_contains("failing", f), entry) if wanted else entry)
-    ranked = F.when(F.size("_chunks") > 0, F.array_compact(F.array(*entries)))
-    x = docs.withColumn("_chunks", chunks).withColumn("_fields", ranked).drop("_chunks")
-
-    def unclear(e):
-        return (F.size(e["hints"]) > 0) & (F.size(e["top"]) > 1) & F.exists(e["top"], lambda c: ~c["contained"])
-
-    def misses(e):
-        texts = F.transform(e["top"], lambda c: F.when(~c["contained"], c["chunk_text"]))
-        return F.struct(e["hints"].alias("hints"), F.when(unclear(e), texts).otherwise(F.array().cast("array<string>")).alias("texts"))
 
-    asked = F.when(F.exists("_fields", unclear), F.transform("_fields", misses))
-    x = x.withColumn("_scores", fuzzy_scores(asked))
+    def with_misses(e):
+        rest = F.transform(F.filter(e["top"], lambda c: ~c["contained"]), lambda c: c["idx"])
+        return F.struct(e["field"].alias("field"), e["no"].alias("no"), e["top"].alias("top"),
+                        F.when((e["no"] >= 0) & (F.size(e["top"]) > 1), rest).otherwise(none).alias("misses"))
+
+    x = docs.withColumn("_chunks", chunks)
+    x = x.withColumn("_held", F.when(F.size("_chunks") > 0, CH.hint_scores(F.col("_chunks"), hinted)))
+    ranked = F.transform(F.array_compact(F.array(*entries)), with_misses)
+    x = x.withColumn("_fields", F.when(F.size("_chunks") > 0, ranked)).drop("_held")
+    x = x.withColumn("_asked", F.array_distinct(F.flatten(F.transform("_fields", lambda e: e["misses"]))))
+    texts = F.when(F.size("_asked") > 0, F.transform("_asked", lambda i: F.get("_chunks", i)["text"]))
+    wanted = F.transform("_fields", lambda e: F.struct(e["no"].alias("no"), e["misses"].alias("misses")))
+    x = x.withColumn("_scores", fuzzy_scores([h for _, h in hinted])(texts, F.col("_asked"), wanted))
+
+    def best(e):
+        def score(c):
+            fuzzy = F.get(F.get("_scores", F.array_position("_asked", c["idx"]).cast("int") - 1), e["no"])
+            return F.coalesce(fuzzy, F.when(c["contained"], 100.0).otherwise(0.0))
 
-    def best(e, i):
-        score = F.get("_scores", i)
         order = F.array_sort(F.transform(e["top"], lambda c, k: F.struct(
-            (-F.coalesce(F.get(score, k), F.when(c["contained"], 100.0).otherwise(0.0))).alias("minus"), k.alias("pre_rank"), c.alias("c"))))
+            (-score(c)).alias("minus"), k.alias("pre_rank"), c["idx"].alias("idx"))))
         return F.transform(F.slice(order, 1, policy.model_top_k_chunks), lambda c, k: F.struct(
-            e["field"].alias("field"), (k + 1).alias("rank"), c["c"]["chunk_start"].alias("chunk_start"),
-            c["c"]["chunk_text"].alias("chunk_text"), c["pre_rank"].alias("pre_rank"), (-c["minus"]).alias("fuzzy")))
+            e["field"].alias("field"), (k + 1).alias("rank"), F.get("_chunks", c["idx"])["start"].alias("chunk_start"),
+            F.get("_chunks", c["idx"])["text"].alias("chunk_text"), c["pre_rank"].alias("pre_rank"), (-c["minus"]).alias("fuzzy")))
 
-    return x.withColumn("requests", F.flatten(F.transform("_fields", best))).drop("_fields", "_scores")
+    x = x.withColumn("requests", F.flatten(F.transform("_fields", best)))
+    return x.drop("_chunks", "_fields", "_asked", "_scores")
 
 
 def rank_chunks(docs: DataFrame, fields, policy: P.Policy = P.current(),

@@ -1200,10 +1200,18 @@ def _unresolved_contracts(spark, sf):
     return extract_fields(pf(spark, sf).docs, keep_text=True)
 
 
+#: Documents of one task of the fuzzy ranking: some 5 MB of text and a few seconds.
+DOCUMENTS_PER_TASK = 2_000
+
+
 @query("chunk_fuzzy_rank")
 def chunk_fuzzy_rank(spark, sf):
-    """Fuzzy re-rank (partial ratio) of each document's prefiltered chunks, top-k kept."""
-    return MD.rank_chunks(_documents(spark, sf), [f for f, _ in P.FIELD_HINTS]).select(
+    """Fuzzy re-rank (partial ratio) of each document's prefiltered chunks, top-k kept. Documents
+    are dealt by their number: a scan's splits hold whole row groups, so one of them may hold all rows."""
+    from ..sources.tables import deal_rows, read_table
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    dealt = deal_rows(docs, docs.count(), DOCUMENTS_PER_TASK, F.xxhash64("doc_id", "text"))
+    return MD.rank_chunks(dealt, [f for f, _ in P.FIELD_HINTS]).select(
         "doc_id", "field", "rank", "pre_rank", "chunk_start", "fuzzy")
 
 
