@@ -229,8 +229,8 @@ SELECT doc_id, CAST(pos AS BIGINT) AS pos, name, {O.norm_party('name')} AS norma
 def norm_party_name(spark, sf):
     """Every extracted party name and its normal form."""
     e = pf(spark, sf).extracted
-    x = e.select("doc_id", F.posexplode("parties").alias("p0", "name"))
-    return x.select("doc_id", (F.col("p0") + 1).alias("pos"), "name",
+    x = e.select("doc_id", F.posexplode_outer("parties").alias("p0", "name"))
+    return x.where(F.col("p0").isNotNull()).select("doc_id", (F.col("p0") + 1).alias("pos"), "name",
                     N.norm_party_name(F.col("name")).alias("normalized"))
 
 
@@ -277,8 +277,9 @@ def risk_bucket(spark, sf):
 # ============================================================ per-doc rules
 
 def _issue_rows(df, col, types):
-    x = df.select("doc_id", F.posexplode(col).alias("issue_pos", "i")).where(F.col("i.type").isin(*types))
-    return x
+    # outer: with posexplode a filter on the array's size is inferred, and it would compute the
+    # issues a second time, from the text on, below the join and the dealing of the contracts
+    return df.select("doc_id", F.posexplode_outer(col).alias("issue_pos", "i")).where(F.col("i.type").isin(*types))
 
 
 def _issue_sql(cte, col, types, extra=""):
@@ -898,14 +899,14 @@ def strict_risk_score(spark, sf):
         ("termination_clause", "tc_start IS NULL")))))
 def strict_missing(spark, sf):
     """L2: MISSING on all five schema fields."""
-    x = _strict(spark, sf).select("doc_id", F.explode("_strict_issues").alias("i"))
+    x = _strict(spark, sf).select("doc_id", F.explode_outer("_strict_issues").alias("i"))
     return x.where(F.col("i.type") == "MISSING").select("doc_id", F.col("i.field").alias("field"))
 
 
 @query("nonstandard_law", _strict_sql("SELECT doc_id, governing_law FROM s_base WHERE notice = 1"))
 def nonstandard_law(spark, sf):
     """L3: governing law outside the approved list (exact raw match)."""
-    x = _strict(spark, sf).select("doc_id", "governing_law", F.explode("_strict_issues").alias("i"))
+    x = _strict(spark, sf).select("doc_id", "governing_law", F.explode_outer("_strict_issues").alias("i"))
     return x.where(F.col("i.type") == "NOTICE").select("doc_id", "governing_law")
 
 
@@ -924,7 +925,7 @@ SELECT term, count(*) AS mentions FROM (SELECT unnest(list_concat(pt_terms, tc_t
 GROUP BY term ORDER BY mentions DESC, term LIMIT 10"""))
 def ambiguous_terms(spark, sf):
     """The corpus' most frequent matched ambiguity terms (top 10)."""
-    x = _strict(spark, sf).select(F.explode("_strict_issues").alias("i")).where(
+    x = _strict(spark, sf).select(F.explode_outer("_strict_issues").alias("i")).where(
         (F.col("i.type") == "AMBIGUOUS") & F.col("i.field").isin("payment_terms", "termination_clause"))
     t = x.select(F.explode(F.split(F.col("i.value"), ", ")).alias("term"))
     return (t.groupBy("term").agg(F.count(F.lit(1)).alias("mentions"))
@@ -941,8 +942,8 @@ SELECT doc_id, CAST(pos - 1 AS BIGINT) AS pos, upper(cur) AS currency, TRY_CAST(
     FROM first_pass WHERE pt_text IS NOT NULL))"""))
 def payment_amounts(spark, sf):
     """Every currency amount of the payment terms."""
-    s = _strict(spark, sf).select("doc_id", F.posexplode("payment_amounts").alias("pos", "p"))
-    return s.select("doc_id", "pos", F.col("p.currency").alias("currency"), F.col("p.amount").alias("amount"))
+    s = _strict(spark, sf).select("doc_id", F.posexplode_outer("payment_amounts").alias("pos", "p"))
+    return s.where(F.col("pos").isNotNull()).select("doc_id", "pos", F.col("p.currency").alias("currency"), F.col("p.amount").alias("amount"))
 
 
 @query("redacted_parties", _strict_sql("SELECT doc_id FROM s_base WHERE redacted"))
