@@ -99,7 +99,8 @@ def kpi_document(per_doc: DataFrame) -> DataFrame:
 
 def issue_type_counts(issues_df: DataFrame, issues_col: str = "_issues") -> DataFrame:
     """Issues per type across the portfolio."""
-    return (issues_df.select(F.explode(issues_col).alias("i"))
+    # outer: with explode an inferred filter would compute the issues twice
+    return (issues_df.select(F.posexplode_outer(issues_col).alias("pos", "i")).where(F.col("pos").isNotNull())
             .groupBy(F.col("i.type").alias("issue_type")).agg(F.count(F.lit(1)).alias("issues")))
 
 
@@ -121,6 +122,10 @@ def strict_documents(strict_docs: DataFrame) -> DataFrame:
 
 
 def strict_high_risk(strict_docs: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` riskiest documents of the high bucket with their issues."""
-    return (strict_docs.where(F.col("risk_bucket") == "high").select("doc_id", "risk_score", "_strict_issues")
-            .orderBy(F.desc("risk_score"), "doc_id").limit(n))
+    """The ``n`` riskiest documents of the high bucket with their issues. The bucket is the first
+    key of the order and is filtered after the cut: a filter before it would be pushed below the
+    extraction and compute the score a second time, from the text on."""
+    high = F.col("risk_bucket") == "high"
+    return (strict_docs.select("doc_id", "risk_score", "_strict_issues", "risk_bucket")
+            .orderBy(F.desc(F.coalesce(high, F.lit(False))), F.desc("risk_score"), "doc_id").limit(n)
+            .where(high).drop("risk_bucket"))
