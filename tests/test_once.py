@@ -41,3 +41,19 @@ def test_high_risk_is_cut_among_the_high(spark):
     d = spark.createDataFrame([(*r, ["x"]) for r in rows], "doc_id string, risk_score int, risk_bucket string, _strict_issues array<string>")
     assert [tuple(r) for r in K.strict_high_risk(d, 2).collect()] == [("c", 9, ["x"]), ("b", 7, ["x"])]
     assert [r["doc_id"] for r in K.strict_high_risk(d).collect()] == ["c", "b", "f"]
+
+
+def test_white_space_at_hand_collapses_as_the_class_does(spark):
+    from clauselens.functions.text import PY_WHITESPACE, collapse_ws, collapse_ws_at_hand
+    texts = ["", " ", "a b", " a  b   c ", "a\tb", "a \n\n b  c", "é  è", "a   b  c", "x\x7f  y", None] + [f"a{w}{w} b{w}" for w in PY_WHITESPACE]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = d.select(collapse_ws_at_hand(d.t).alias("a"), collapse_ws(d.t).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and None in [r["a"] for r in got]
+
+
+def test_spans_count_characters(spark):
+    """Also after characters of two UTF-16 units, and no head within a word counts."""
+    from clauselens.functions.extract import TERMINATION_HEAD_RX, find_span
+    d = spark.createDataFrame([("Predetermination. Termination now.",), ("\U0001F600 é \U0001F600 termination",), ("é Termination",), ("none",), ("",), (None,)], "t string")
+    got = [r[0] and r[0]["start"] for r in d.select(find_span(d.t, TERMINATION_HEAD_RX, 5).alias("s")).collect()]
+    assert got == [18, 6, 2, None, None, None]
