@@ -57,3 +57,16 @@ def test_spans_count_characters(spark):
     d = spark.createDataFrame([("Predetermination. Termination now.",), ("\U0001F600 é \U0001F600 termination",), ("é Termination",), ("none",), ("",), (None,)], "t string")
     got = [r[0] and r[0]["start"] for r in d.select(find_span(d.t, TERMINATION_HEAD_RX, 5).alias("s")).collect()]
     assert got == [18, 6, 2, None, None, None]
+
+
+def test_distinct_sentences_stay_dealt_by_their_digest(spark):
+    """The written table tells how it is dealt: terms of a sentence and their sums need no exchange."""
+    from clauselens.operators import textmine as TM
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    c = TM.SentenceCorpus(spark.createDataFrame([(1, "The buyer shall pay within thirty days."), (2, "The seller shall deliver.")], "sid int, sentence string"))
+    assert "hashpartitioning(h1" in c.distinct._jdf.queryExecution().executedPlan().outputPartitioning().toString()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == was
+    for df in (c.counts, c.norms, c.scores()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+    assert {r["sentence"]: r["m"] for r in c.scores().collect()} == {"The buyer shall pay within thirty days.": 1, "The seller shall deliver.": 1}
